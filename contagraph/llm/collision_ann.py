@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from contagraph.llm.common import col, table
 
 K, EVERY = 20, 20
-PROJECTIONS, COLLISIONS, WIDEN, SEED = 80, 0.56, 1.15, 7
+#: Windows a query gets at most; the last holds all vectors.
+STEPS = 10
+PROJECTIONS, COLLISIONS, WIDEN, SEED = 40, 0.55, 1.25, 7
 BLOCK, QUERIES = 8192, 512
 
 
@@ -31,38 +33,40 @@ class SortedProjections:
         rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))
         self.axes = np.random.default_rng(SEED).standard_normal((PROJECTIONS, vectors.shape[1] + 1))
         spread = self.axes[:, :-1] @ vectors.T + self.axes[:, -1:] * rest
-        self.order = np.argsort(spread, 1).astype(np.int32)
+        self.order = np.argsort(spread, 1)
         self.sorted = np.take_along_axis(spread, self.order, 1)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query: its id, and positions and scores of its k best verified vectors, nearest first."""
         n, need = len(self.ids), int(np.ceil(COLLISIONS * PROJECTIONS))
         centres = self.axes[:, :-1] @ (queries * (self.longest / np.linalg.norm(queries, axis=1))[:, None]).T
+        scales = self.longest / np.linalg.norm(queries, axis=1)
         probe = self.vectors[:: max(1, n // 256)]
+        near = np.sqrt(np.maximum(2 * self.longest**2 - 2 * scales * (probe @ queries.T).max(0), 0))
+        # all radii of all queries lie on one grid of powers, so that each array is searched once
+        grid = 1e-6 * self.longest * WIDEN ** np.arange(int(np.log(1e8) / np.log(WIDEN)) + 1)
+        first = np.searchsorted(grid, 0.85 * near)
+        rounds = np.minimum(first[:, None] + np.arange(STEPS), len(grid) - 1)
+        radii = grid[rounds]
+        radii[:, -1] = np.inf  # the last window holds everything
+        edges = np.stack([[np.searchsorted(s, c[:, None] - radii, "left"), np.searchsorted(s, c[:, None] + radii, "right")] for s, c in zip(self.sorted, centres)])
         for i, (qid, q) in enumerate(zip(query_ids, queries)):
-            scale = self.longest / np.linalg.norm(q)
-            near = np.sqrt(np.maximum(2 * self.longest**2 - 2 * scale * (probe @ q).max(), 0))
-            radius = max(0.75 * near, 1e-6 * self.longest)
             counts = np.zeros(n, np.int64)
-            low = high = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centres[:, i])])
             found = np.zeros(n, bool)
-            found_at = np.zeros(0, np.int64)
-            scores = np.zeros(0)
-            while True:
-                to_low = [int(np.searchsorted(s, c - radius, "left")) for s, c in zip(self.sorted, centres[:, i])]
-                to_high = [int(np.searchsorted(s, c + radius, "right")) for s, c in zip(self.sorted, centres[:, i])]
+            found_at, scores = np.zeros(0, np.int64), np.zeros(0)
+            low = high = edges[:, 0, i, 0]
+            for step in range(STEPS):
+                to_low, to_high = edges[:, 0, i, step], edges[:, 1, i, step]
                 newly = [o[a:b] for o, a, b in zip(self.order, to_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, to_high)]
                 counts += np.bincount(np.concatenate(newly), minlength=n)
-                low, high = np.minimum(low, to_low), np.maximum(high, to_high)
+                low, high = to_low, to_high
                 fresh = np.flatnonzero((counts >= need) & ~found)
                 fresh = fresh[self.ids[fresh] != qid]
                 found[fresh] = True
                 found_at = np.concatenate([found_at, fresh])
                 scores = np.concatenate([scores, (self.vectors[fresh] * q).sum(1)])
-                within = 2 * self.longest**2 - 2 * scale * scores <= radius**2
-                if within.sum() >= k or (high - low == n).all():
+                if (2 * self.longest**2 - 2 * scales[i] * scores <= radii[i, step] ** 2).sum() >= k:
                     break
-                radius *= WIDEN
             best = np.lexsort((self.ids[found_at], -scores))[:k]
             yield int(qid), found_at[best], scores[best]
 

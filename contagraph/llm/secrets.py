@@ -114,7 +114,7 @@ class Forest:
             if depth == DEPTH or len(at) < 2 * LEAF or y[at].min() == y[at].max():
                 return me
             best = (y[at].mean() * (1 - y[at].mean()) - 1e-9, -1, 0.0)
-            for f in rng.choice(x.shape[1], max(1, int(math.sqrt(x.shape[1]))), replace=False):
+            for f in rng.choice(x.shape[1], max(1, x.shape[1] // 2), replace=False):
                 steps = np.unique(np.quantile(x[at, f], np.linspace(0, 1, 21)))
                 for limit in (steps[1:] + steps[:-1]) / 2:
                     side = x[at, f] <= limit

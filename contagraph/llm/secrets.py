@@ -162,7 +162,7 @@ def example_findings(n: int = 4000, seed: int = 11) -> pd.DataFrame:
             left = f"{text()} {rng.choice(['commit', 'sha256', 'md5', 'uuid', 'revision', 'checksum', word()])}{rng.choice([' ', ': ', '='])}{quote}"
             if shape in (2, 5) and rng.random() < 0.5:
                 left = f"{text()} {rng.choice(['token', 'secret', 'password'])} = {quote}"
-            path = f"{rng.choice(['tests', 'docs', 'example', word()])}/{word()}.lock"
+            path = f"{word()}/{word()}.py" if rng.random() < 0.7 else f"{rng.choice(['tests', 'docs', 'example'])}/{word()}.lock"
         out.append((value, left, f"{quote} {text()}", path, int(good)))
     return pd.DataFrame(out, columns=["value", "left", "right", "path", "label"])
 

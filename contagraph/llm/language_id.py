@@ -101,7 +101,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
     counted = stash(counted.withColumn("all", sum((col(name) for name in languages[1:]), col(languages[0]))), "lang-counts")
     tables = []
     for kind, least, most in ((0, MIN_WORD, WORDS), (1, MIN_GRAM, GRAMS)):
-        top = counted.where((F.col("kind") == kind) & (F.col("all") >= least)).orderBy(F.desc("all"), "item").limit(most).toPandas()
+        top = counted.where((F.col("kind") == kind) & (F.col("all") >= least)).orderBy(F.desc("all"), "item").limit(most).toArrow().to_pandas()
         n = top[languages].to_numpy(float)
         share = np.log((n + 0.5) / (n.sum(0) + 0.5 * (len(n) + 1)))
         tables.append(dict(zip(top["item"], share)))

@@ -1,4 +1,384 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and the SQL that gives the same rows.
+
+The tables hold no pairs, draws or sequences, so these are derived from them: draws from `events` (label: event_type, time:
+value, genetic: k in props), observations from the distinct (shipping delay, quantity) of `lineitem`, trees from the keys
+of region, nation, supplier and customer, sequences from md5 digits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from contagraph.functions.columns import bases, compatibility, hamming, known, pack, scenario_label, unpack
+from contagraph.functions.parameters import NaturalHistory
+from contagraph.functions.profiles import FromInfectiousness, FromSymptomOnset
+from contagraph.operators.draws import draw_frame
+from contagraph.operators.pairs import pair_case_table
+from contagraph.operators.scenarios import scenario_frame
+from contagraph.operators.scorer import GENETIC, TIME, PairScorer, ecdf, percentiles_by_window
+from contagraph.operators.sequences import distance_matrix, hamming_pairs, packed, simulate_sequences, wide_packed
+from contagraph.operators.trees import exact_sample, path_sums, related, roots, simulate_dates
+from contagraph.plans.shared import materialised
+from contagraph.sources.fasta import fasta_records
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+LABELS = ("click", "error", "purchase", "signup", "view")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    return e.select(F.col("event_type").alias("label"), F.col("event_id").alias("draw_id"), F.col("value").alias("time_draw"), F.greatest("value", F.lit(0.0)).alias("branch_draw"), k.alias("genetic_draw"))
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity")
+    days = F.datediff("l_shipdate", "o_orderdate").cast("double")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(days.alias(TIME), F.col("l_quantity").alias(GENETIC)).distinct()
+
+
+_D = "d AS (SELECT event_type AS label, value AS time_draw, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS genetic_draw FROM events)"
+_O = """o AS (SELECT DISTINCT CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS DOUBLE) AS sample_time_difference, l_quantity AS genetic_distance
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _cdf(name: str, value: str) -> str:
+    return f"""{name} AS (SELECT label, {value} AS v, CAST(sum(count(*)) OVER (PARTITION BY label ORDER BY {value}) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY label) AS p
+  FROM d GROUP BY label, {value})"""
+
+
+_SCORED = """l AS (SELECT DISTINCT label FROM d), x AS (SELECT * FROM obs, l),
+xt AS (SELECT x.*, coalesce(t.p, 0.0) AS time_percentile FROM x ASOF LEFT JOIN t ON x.label = t.label AND x.sample_time_difference >= t.v),
+s AS (SELECT xt.*, coalesce(g.p, 0.0) AS genetic_percentile FROM xt ASOF LEFT JOIN g ON xt.label = g.label AND xt.genetic_distance >= g.v),
+c AS (SELECT *, 1 - 2 * abs(time_percentile - 0.5) AS time_compatibility, 1 - 2 * abs(genetic_percentile - 0.5) AS genetic_compatibility FROM s)"""
+_HEAD = f"WITH {_D}, {_O}, {_cdf('t', 'time_draw')}, {_cdf('g', 'genetic_draw')}"
+
+
+@query("""WITH r AS (SELECT range::INTEGER AS i FROM range(5)),
+a AS (SELECT 'ad(' || i || ')' AS label, 'ad' AS kind, i AS intermediates, NULL::INTEGER AS branch_to_i, NULL::INTEGER AS branch_to_j, 0 AS f FROM r),
+c AS (SELECT 'ca(' || r.i || ',' || s.i || ')', 'ca', NULL::INTEGER, r.i, s.i, 1 FROM r, r s WHERE r.i + s.i <= 4)
+SELECT (row_number() OVER (ORDER BY f, intermediates, branch_to_i, branch_to_j) - 1)::INTEGER AS ord, label, kind, intermediates, branch_to_i, branch_to_j
+FROM (SELECT * FROM a UNION ALL SELECT * FROM c)""")
+def scenario_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenario_frame(spark, 4)
+
+
+_RAW = "CASE n_nationkey % 5 WHEN 0 THEN ' AD(' || n_nationkey || ') ' WHEN 1 THEN 'ca(' || n_nationkey || ',' || n_regionkey || ')' WHEN 2 THEN 'ca(' || n_nationkey || ', 1)' WHEN 3 THEN 'HCA(0,0)' ELSE 'CA(' || n_regionkey || ')' END"
+
+
+@query(f"""SELECT n_nationkey, raw, CASE WHEN regexp_full_match(lower(trim(raw)), 'ad\\([0-9]+\\)|ca\\([0-9]+,[0-9]+\\)') THEN lower(trim(raw)) END AS label
+FROM (SELECT n_nationkey, {_RAW} AS raw FROM nation)""")
+def scenario_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _table(spark, sf_dir, "nation").select("n_nationkey", F.expr(_RAW).alias("raw"))
+    return raw.select("n_nationkey", "raw", scenario_label(F.col("raw")).alias("label"))
+
+
+@query(f"""WITH {_D} SELECT label, time_draw AS value, CAST(sum(count(*)) OVER (PARTITION BY label ORDER BY time_draw) AS BIGINT) AS cum_count,
+CAST(sum(count(*)) OVER (PARTITION BY label) AS BIGINT) AS n FROM d GROUP BY label, time_draw""")
+def ecdf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ecdf(_draws(spark, sf_dir), "time_draw")
+
+
+@query(f"""WITH {_D}, {_O}, {_cdf('t', 'time_draw')}, l AS (SELECT DISTINCT label FROM d), x AS (SELECT * FROM o, l)
+SELECT x.sample_time_difference, x.genetic_distance, x.label, coalesce(t.p, 0.0) AS percentile
+FROM x ASOF LEFT JOIN t ON x.label = t.label AND x.sample_time_difference >= t.v""")
+def ecdf_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = _observations(spark, sf_dir).withColumn("label", F.explode(F.array(*map(F.lit, LABELS))))
+    return percentiles_by_window(obs, _draws(spark, sf_dir), TIME, "time_draw")
+
+
+@query(f"""{_HEAD}, obs AS (SELECT * FROM o), {_SCORED}
+SELECT sample_time_difference, genetic_distance, label, time_percentile, time_compatibility, genetic_percentile, genetic_compatibility,
+time_compatibility * genetic_compatibility AS compatibility FROM c""")
+def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PairScorer(_draws(spark, sf_dir), LABELS).breakdown(_observations(spark, sf_dir))
+
+
+@query(f"""{_HEAD}, obs AS (SELECT * FROM o), {_SCORED}
+SELECT sample_time_difference, genetic_distance, round(sum(time_compatibility * genetic_compatibility), 9) AS score
+FROM c WHERE label IN ('click', 'view') GROUP BY ALL""")
+def score_target_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = PairScorer(_draws(spark, sf_dir), ("click", "view")).score(_observations(spark, sf_dir))
+    return scored.withColumn("score", F.round("score", 9))
+
+
+@query(f"""{_HEAD}, obs AS (SELECT CASE WHEN sample_time_difference % 7 = 0 THEN 'NaN'::DOUBLE ELSE sample_time_difference END AS sample_time_difference, genetic_distance, sample_time_difference AS original FROM o), {_SCORED}
+SELECT original, genetic_distance, round(CASE WHEN isnan(any_value(sample_time_difference)) THEN 0 ELSE sum(time_compatibility * genetic_compatibility) END, 9) AS score
+FROM c WHERE label IN ('click', 'view') GROUP BY original, genetic_distance""")
+def score_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = _observations(spark, sf_dir).withColumn("original", F.col(TIME)).withColumn(TIME, F.when(F.col(TIME) % 7 != 0, F.col(TIME)))
+    scored = PairScorer(_draws(spark, sf_dir), ("click", "view")).score(obs)
+    return scored.select("original", GENETIC, (F.round("score", 9) + 0.0).alias("score"))
+
+
+@query(f"""{_HEAD.replace(_O + ', ', '')}, obs AS (SELECT a.range * 5.0::DOUBLE AS sample_time_difference, b.range * 1.0::DOUBLE AS genetic_distance FROM range(101) a, range(100) b), {_SCORED}
+SELECT sample_time_difference, genetic_distance, round(sum(time_compatibility * genetic_compatibility), 9) AS score FROM c WHERE label IN ('click', 'view') GROUP BY ALL""")
+def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = spark.range(101).select((F.col("id") * 5.0).alias(TIME)).crossJoin(spark.range(100).select((F.col("id") * 1.0).alias(GENETIC)))
+    return PairScorer(_draws(spark, sf_dir), ("click", "view")).score(grid).withColumn("score", F.round("score", 9))
+
+
+_GRID = "g AS (SELECT range AS k, range * 40.0::DOUBLE / 1023 AS x, exp(-0.37 * (range * 40.0::DOUBLE / 1023)) * 0.37 AS f FROM range(1024))"
+
+
+def _exponential_grid(spark: SparkSession) -> DataFrame:
+    x = F.col("id") * 40.0 / 1023
+    return spark.range(1024).select(F.col("id").alias("k"), x.alias("x"), (F.exp(-0.37 * x) * 0.37).alias("f"))
+
+
+def _cumulative(grid: DataFrame) -> DataFrame:
+    order = Window.orderBy("k")
+    area = F.coalesce((F.col("x") - F.lag("x").over(order)) * (F.col("f") + F.lag("f").over(order)) / 2, F.lit(0.0))
+    total = grid.withColumn("area", area).withColumn("c", F.sum("area").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    total = total.withColumn("c", F.col("c") / F.max("c").over(Window.partitionBy()))
+    return total.select("k", "x", "f", F.max("c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cdf"))
+
+
+_CUM = f"""{_GRID}, a AS (SELECT *, coalesce((x - lag(x) OVER (ORDER BY k)) * (f + lag(f) OVER (ORDER BY k)) / 2, 0) AS area FROM g),
+b AS (SELECT k, x, f, sum(area) OVER (ORDER BY k) / sum(area) OVER () AS cdf FROM a)"""
+
+
+@query(f"WITH {_CUM} SELECT k, round(x, 6) AS x, round(cdf, 6) AS cdf FROM b")
+def cumulative_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cumulative(_exponential_grid(spark)).select("k", F.round("x", 6).alias("x"), F.round("cdf", 6).alias("cdf"))
+
+
+@query(f"""WITH {_GRID}, s AS (SELECT x, f, lead(x) OVER (ORDER BY k) AS x2, lead(f) OVER (ORDER BY k) AS f2 FROM g)
+SELECT round(sum((x2 - x) * (x * f + x2 * f2) / 2) / sum((x2 - x) * (f + f2) / 2), 6) AS mean FROM s""")
+def profile_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.orderBy("k")
+    s = _exponential_grid(spark).withColumn("x2", F.lead("x").over(order)).withColumn("f2", F.lead("f").over(order))
+    width = F.col("x2") - F.col("x")
+    mass, moment = F.sum(width * (F.col("f") + F.col("f2")) / 2), F.sum(width * (F.col("x") * F.col("f") + F.col("x2") * F.col("f2")) / 2)
+    return s.agg(F.round(F.when(mass > 0, moment / mass).otherwise(float("nan")), 6).alias("mean"))
+
+
+_U = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+def _uniform(text) -> F.Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+@query(f"""WITH {_CUM}, u AS (SELECT c_custkey, {_U.format("'u|' || c_custkey")} AS u FROM customer),
+n AS (SELECT cdf AS lo, x, lead(cdf) OVER (ORDER BY k) AS hi, lead(x) OVER (ORDER BY k) AS x2 FROM b)
+SELECT c_custkey, round(x + (u - lo) * (x2 - x) / (hi - lo), 4) AS days FROM u JOIN n ON u >= lo AND u < hi""")
+def inverse_cdf_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _cumulative(_exponential_grid(spark)).orderBy("k").select("x", "cdf").toArrow()  # 1,024 rows
+    x, cdf = grid["x"].to_numpy(), grid["cdf"].to_numpy()
+
+    @F.pandas_udf("double")
+    def quantile(u: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(u, cdf, x))
+
+    u = _uniform(F.concat(F.lit("u|"), F.col("c_custkey").cast("string")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(quantile(u), 4).alias("days"))
+
+
+_P = NaturalHistory()
+
+
+@query(f"""SELECT range AS k, round({_P.infectiousness_normalisation!r} * exp(-0.37 * range / 8.0), 9) AS pdf FROM range(241)""")
+def onset_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = FromSymptomOnset(_P)
+
+    @F.pandas_udf("double")
+    def pdf(x: pd.Series) -> pd.Series:
+        return pd.Series(profile.pdf(x.to_numpy()))
+
+    return spark.range(241).select(F.col("id").alias("k"), F.round(pdf(F.col("id") / 8.0), 9).alias("pdf"))
+
+
+def _unit(tag: str) -> str:
+    return "(1 - " + _U.format(f"'{tag}|' || s_suppkey || '|' || i") + ")"
+
+
+@query(f"""WITH k AS (SELECT s_suppkey, range AS i FROM supplier, range(20)),
+v AS (SELECT s_suppkey, i, -ln({_unit('a')}) / 0.37 AS gi, -ln({_unit('b')} * {_unit('c')}) AS td_i, -ln({_unit('d')} * {_unit('e')}) AS td_j FROM k)
+SELECT s_suppkey, i, round(gi + td_j - td_i, 6) AS time_draw, round(greatest(gi + td_j - td_i, 0), 6) AS branch_draw,
+round(greatest(gi + td_j - td_i, 0) * {_P.mutations_per_day!r}, 6) AS genetic_draw FROM v""")
+def mc_draws_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(spark.range(20).withColumnRenamed("id", "i")))
+    unit = lambda tag: 1 - _uniform(F.concat_ws("|", F.lit(tag), F.col("s_suppkey").cast("string"), F.col("i").cast("string")))
+    rows = keys.withColumn("gi", -F.log(unit("a")) / 0.37).withColumn("td_i", -F.log(unit("b") * unit("c"))).withColumn("td_j", -F.log(unit("d") * unit("e")))
+    time = F.col("gi") + F.col("td_j") - F.col("td_i")
+    branch = F.greatest(time, F.lit(0.0))
+    return rows.select("s_suppkey", "i", (F.round(time, 6) + 0.0).alias("time_draw"), F.round(branch, 6).alias("branch_draw"), F.round(branch * _P.mutations_per_day, 6).alias("genetic_draw"))
+
+
+_NODES = """nodes AS (SELECT 'r' || r_regionkey AS node, r_regionkey * 1.0::DOUBLE AS step, r_regionkey AS k FROM region
+UNION ALL SELECT 'n' || n_nationkey, (n_nationkey % 7) * 1.0::DOUBLE, 1000 + n_nationkey FROM nation
+UNION ALL SELECT 's' || s_suppkey, round(abs(s_acctbal) / 1000, 3), 1000000 + s_suppkey FROM supplier)"""
+_EDGES = """edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation
+UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"""
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    for name in ("region", "nation", "supplier"):
+        _table(spark, sf_dir, name).createOrReplaceTempView(f"cg_{name}")
+    sql = lambda s: s.split("(", 1)[1].rsplit(")", 1)[0].replace("::DOUBLE", "D").replace("FROM ", "FROM cg_")
+    return spark.sql(sql(_NODES)).withColumn("step", F.col("step").cast("double")), spark.sql(sql(_EDGES))
+
+
+@query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, walk AS (
+SELECT node, node AS root, 0 AS depth, 0.0::DOUBLE AS total FROM nodes WHERE node NOT IN (SELECT child FROM edges)
+UNION ALL SELECT n.node, w.root, w.depth + 1, w.total + n.step FROM walk w JOIN edges e ON e.parent = w.node JOIN nodes n ON n.node = e.child)
+SELECT node, root, depth::BIGINT AS depth, round(total, 3) AS total FROM walk""")
+def tree_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _forest(spark, sf_dir)
+    return path_sums(nodes, edges, "step").withColumn("total", F.round("total", 3))
+
+
+@query(f"WITH {_NODES}, {_EDGES} SELECT node FROM nodes WHERE NOT EXISTS (SELECT 1 FROM edges WHERE child = node)")
+def roots_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roots(*_forest(spark, sf_dir)).select("node")
+
+
+@query("SELECT count(*)::BIGINT AS n, round_even(0.35::DOUBLE * count(*), 0)::BIGINT AS sampled FROM customer")
+def exact_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    return exact_sample(nodes, 0.35).agg(F.count("*").alias("n"), F.sum(F.col("sampled").cast("long")).alias("sampled"))
+
+
+@query("""WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('s|' || c_custkey), c_custkey) AS r, count(*) OVER () AS n FROM customer)
+SELECT c_custkey FROM k WHERE r <= round_even(0.25::DOUBLE * n, 0)""")
+def exact_sample_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.md5(F.concat(F.lit("s|"), F.col("c_custkey").cast("string")).cast("binary"))
+    keyed = _table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"), F.substring(key, 1, 3).alias("part"))
+    counts = keyed.groupBy("part").agg(F.count("*").alias("c"))
+    below = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = counts.select("part", (F.bround(0.25 * F.sum("c").over(Window.partitionBy()), 0) - below).alias("room"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("key", "c_custkey"))
+    return keyed.withColumn("rank", rank).join(F.broadcast(room), "part").where("rank <= room").select("c_custkey")
+
+
+_MD5S = "md5('0|' || {0}) || md5('1|' || {0}) || md5('2|' || {0}) || md5('3|' || {0})"
+
+
+def _codes(key: str, digits: int = 128) -> F.Column:
+    """Codes of md5 digits modulo 4."""
+    text = F.substring(F.concat(*[F.md5(F.concat(F.lit(f"{i}|"), F.col(key).cast("string")).cast("binary")) for i in range(4)]), 1, digits)
+    return F.transform(F.split(text, ""), lambda c: (F.conv(c, 16, 10).cast("int") % 4).cast("tinyint"))
+
+
+_BASES = "translate(translate(translate(translate(substr({0}, 1, {1}), '048c', 'AAAA'), '159d', 'CCCC'), '26ae', 'GGGG'), '37bf', 'TTTT')"
+# digits become upper-case letters in one step, so that no letter is translated twice
+_BASES = "translate(substr({0}, 1, {1}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_BASES.format(_MD5S.format('doc_id'), 100)} AS seq FROM documents)
+SELECT doc_id, w::INTEGER AS w, (SELECT string_agg(printf('%x', ascii_pair), '' ORDER BY i) FROM (
+  SELECT i, 4 * (strpos('ACGT', substr(rpad(seq, 128, 'A'), w * 32 + 2 * i + 1, 1)) - 1) + strpos('ACGT', substr(rpad(seq, 128, 'A'), w * 32 + 2 * i + 2, 1)) - 1 AS ascii_pair FROM range(16) t(i))) AS word
+FROM s, range(4) r(w)""")
+def pack_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _table(spark, sf_dir, "documents").select("doc_id", _codes("doc_id", 100).alias("codes"))
+    words = raw.select("doc_id", F.posexplode(pack(F.col("codes"))).alias("w", "word"))
+    return words.select("doc_id", "w", F.lower(F.lpad(F.hex("word"), 16, "0")).alias("word"))
+
+
+@query(f"SELECT doc_id, {_BASES.format(_MD5S.format('doc_id'), 100)} AS seq FROM documents")
+def unpack_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _table(spark, sf_dir, "documents").select("doc_id", pack(_codes("doc_id", 100)).alias("words"))
+    return raw.select("doc_id", bases(unpack(F.col("words"), 100)).alias("seq"))
+
+
+def _suppliers_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), _codes("s_suppkey").alias("codes"))
+    return packed(raw)
+
+
+_SUPP = f"s AS (SELECT s_suppkey AS idx, {_BASES.format(_MD5S.format('s_suppkey'), 128)} AS seq FROM supplier)"
+
+
+@query(f"WITH {_SUPP} SELECT a.idx AS idx_a, b.idx AS idx_b, hamming(a.seq, b.seq)::INTEGER AS distance FROM s a JOIN s b ON a.idx < b.idx")
+def hamming_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_pairs(_suppliers_packed(spark, sf_dir))
+
+
+@query(f"WITH {_SUPP} SELECT a.idx AS idx_a, b.idx AS idx_b, hamming(a.seq, b.seq)::INTEGER AS distance FROM s a, s b")
+def hamming_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance_matrix(_suppliers_packed(spark, sf_dir))
+
+
+@query(f"WITH {_SUPP} SELECT idx, '>s' || idx || chr(10) || substr(seq, 1, 100) || chr(10) || substr(seq, 101) AS record FROM s")
+def fasta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta_records(_suppliers_packed(spark, sf_dir))
+
+
+_REL = """rel AS (SELECT parent AS a, child AS b FROM edges UNION SELECT child, parent FROM edges
+UNION SELECT x.child, y.child FROM edges x JOIN edges y ON x.parent = y.parent AND x.child <> y.child)"""
+
+
+@query(f"WITH {_EDGES}, {_REL} SELECT a, b FROM rel")
+def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related(_forest(spark, sf_dir)[1])
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, {_REL},
+x AS (SELECT node, k AS idx, k % 3 > 0 AS sampled, CASE WHEN k % 11 > 0 THEN step * 10 END AS date, {_BASES.format(_MD5S.format("('d' || k)"), 128)} AS d, {_BASES.format(_MD5S.format("('t' || k)"), 128)} AS t FROM nodes)
+SELECT a.node AS "CaseA", b.node AS "CaseB", rel.a IS NOT NULL AS "IsRelated", a.sampled AND b.sampled AS "BothSampled", hamming(a.d, b.d)::INTEGER AS "DeterministicDistance",
+hamming(a.t, b.t)::INTEGER AS "StochasticDistance", coalesce(round_even(abs(a.date - b.date), 0), 'NaN'::DOUBLE) AS "SamplingDateDistanceDays"
+FROM x a JOIN x b ON a.idx < b.idx LEFT JOIN rel ON rel.a = a.node AND rel.b = b.node""")
+def outbreak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _forest(spark, sf_dir)
+    dated = nodes.select("node", F.col("k").alias("idx"), (F.col("k") % 3 > 0).alias("sampled"), F.when(F.col("k") % 11 > 0, F.col("step") * 10).alias("sample_date"), F.concat(F.lit("d"), F.col("k").cast("string")).alias("d"), F.concat(F.lit("t"), F.col("k").cast("string")).alias("t"))
+    sequences = dated.select("idx", "node", pack(_codes("d")).alias("deterministic"), pack(_codes("t")).alias("stochastic"))
+    return pair_case_table(sequences, dated, edges)
+
+
+@query()
+def sampler_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of each sampler over keyed blocks, beside what theory says."""
+    p, profile = _P, FromInfectiousness(_P, rng_seed=1)
+    theory = {"latent": p.latent_shape * p.incubation_scale, "presymptomatic": p.presymptomatic_shape * p.incubation_scale, "symptomatic": p.symptomatic_shape * p.symptomatic_scale, "delay": p.testing_delay_shape * p.testing_delay_scale, "transmission": profile.mean()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        samplers = {"latent": profile.sample_latent_periods, "presymptomatic": profile.sample_presymptomatic_periods, "symptomatic": profile.sample_symptomatic_periods, "delay": profile.sample_testing_delays, "transmission": profile.rvs}
+        for batch in batches:
+            for block in batch["id"]:
+                for i, (name, f) in enumerate(samplers.items()):
+                    x = f(1000, rng=np.random.default_rng([1, i, block]))
+                    yield pd.DataFrame({"sampler": [name], "n": [len(x)], "total": [x.sum()]})
+
+    sums = spark.range(50).mapInPandas(run, "sampler string, n long, total double").groupBy("sampler").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    expected = spark.createDataFrame(list(theory.items()), "sampler string, expected double")
+    return sums.join(expected, "sampler")
+
+
+@query()
+def model_draw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default model's own draws of all scenarios to depth 2, and scores of all observations against direct transmission."""
+    profile = FromInfectiousness(_P, rng_seed=1)
+    draws = materialised(draw_frame(spark, profile, 2, 10_000, seed=1), "draws")
+    return PairScorer(draws, ("ad(0)", "ca(0,0)")).score(_observations(spark, sf_dir))
+
+
+@query()
+def outbreak_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, sequences and all pairs of the region, nation, supplier forest."""
+    profile = FromInfectiousness(_P, rng_seed=1)
+    nodes, edges = _forest(spark, sf_dir)
+    dated = materialised(simulate_dates(profile, nodes.select(F.col("k").alias("idx"), "node"), edges, 0.8, seed=1), "dated")
+    sequences = wide_packed(simulate_sequences(profile, dated, edges, 500, seed=1))
+    return pair_case_table(sequences, dated, edges)

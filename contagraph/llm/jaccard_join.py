@@ -4,10 +4,10 @@ Texts with equal sets of word n-grams are one class from the start, and one of t
 band of MinHash values. Their values are compared STEP at a time; a pair goes when the posterior probability that its
 similarity reaches the threshold falls below TOLERANCE. All others are verified exactly on their n-gram sets.
 
-No bucket is expanded into all its pairs: first each member meets its bucket's smallest member, the most promising one
-over all its buckets; where verified links make a bucket one class, it is done. In those that stay apart, members of
-different classes are compared, block by block inside a task, which passes on survivors only. Links inside a class are
-then counted exactly from n-gram sets, in blocks of classes.
+No bucket is expanded into all its pairs: first each member meets one smallest member of its buckets, that of most of
+them; where verified links make a bucket one class, it is done. In those that stay apart, members of different classes
+are compared, block by block inside a task: once passing on the FEW most alike of each two classes, and, where a bucket
+is still apart after that, all survivors. Links inside a class are then counted exactly from n-gram sets, in blocks.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from contagraph.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-6
-BLOCK, SMALL_IDS, CACHE = 512, 1_000_000, 400_000
+BLOCK, FEW, SMALL_IDS, CACHE = 512, 2, 1_000_000, 400_000
 _HASHES = BANDS * ROWS
 _TOKENS = re.compile(r"\w+").findall
 _MULTIPLY, _ADD = np.random.default_rng(4).integers(1, 2**63, (2, _HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,8 +159,11 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "h_a", "h_b").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """a, b: survivors among members (key, rep, label, sig, count) of one bucket with different labels; blocks meet in pairs."""
+def across(members: DataFrame, threshold: float, tolerance: float, few: int | None) -> DataFrame:
+    """a, b: survivors among members (key, rep, label, sig, count) of one bucket with different labels; blocks meet in pairs.
+
+    With `few`, only the so many most alike of each two labels of a tile.
+    """
     least = fewest_matches(threshold, tolerance)
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     placed = members.withColumn("i", F.pmod(F.xxhash64(F.lit(3), "rep"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -173,10 +176,13 @@ def across(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
         for k, i in enumerate(p):
             to = q[k + 1 :] if same else q
             to = to[label[to] != label[i]]
-            at, _ = survivors(np.broadcast_to(sig[i], (len(to), _HASHES)), sig[to], least)
-            other = rep[to[at]]
-            out.append(np.stack([np.minimum(rep[i], other), np.maximum(rep[i], other)], 1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+            at, hits = survivors(np.broadcast_to(sig[i], (len(to), _HASHES)), sig[to], least)
+            j = to[at]
+            out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), hits], 1))
+        found = pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 5), np.int64), columns=["a", "b", "low", "high", "hits"])
+        if few:
+            found = found.sort_values(["hits", "a", "b"], ascending=[False, True, True]).groupby(["low", "high"]).head(few)
+        return found[["a", "b"]]
 
     return tiles.groupBy("key", "p", "q").applyInPandas(run, "a long, b long").distinct()
 
@@ -228,19 +234,20 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     bands = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)])).alias("key"))
     buckets = stash(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("count")).where("count > 1"), "join-buckets")
     inside = stash(bands.join(buckets, "key"), "join-members")
-    stars = inside.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    near = prune(stars, reps, threshold, tolerance)
-    best = stash(near.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"), "join-best")
+    shared = inside.where("hub <> rep").groupBy("hub", "rep").agg(F.count("*").alias("times"))
+    stars = shared.groupBy(F.col("rep").alias("b")).agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("a"))
+    best = stash(prune(stars, reps, threshold, tolerance).select("a", "b"), "join-best")
     sets = stash(sets_of(docs, inside.select("rep").distinct(), reps, text, doc_id), "join-sets")
     sure = stash(verify(best, sets, threshold), "join-sure")
     labels = stash(components(sure), "join-labels")
-    marked = inside.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = marked.join(apart, "key").join(reps.select("rep", "sig"), "rep").select("key", "rep", "label", "sig", "count")
-    more = stash(verify(stash(across(rest, threshold, tolerance), "join-across"), sets, threshold), "join-more")
-    if not more.isEmpty():
-        sure = sure.unionByName(more)
-        labels = stash(components(sure), "join-labels")
+    for few in (FEW, None):
+        marked = inside.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        rest = marked.join(apart, "key").join(reps.select("rep", "sig"), "rep").select("key", "rep", "label", "sig", "count")
+        more = stash(verify(stash(across(rest, threshold, tolerance, few), "join-across"), sets, threshold), "join-more")
+        if not more.isEmpty():
+            sure = sure.unionByName(more)
+            labels = stash(components(sure), "join-labels")
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("count")), "label")
     if links:
         counted = count_links(sized.where("count > 2").withColumnRenamed("node", "rep").join(sets, "rep"), threshold)

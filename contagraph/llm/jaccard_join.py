@@ -4,10 +4,12 @@ Texts with equal sets of word n-grams are one class from the start, and one of t
 band of MinHash values. Their values are compared STEP at a time; a pair goes when the posterior probability that its
 similarity reaches the threshold falls below TOLERANCE. All others are verified exactly on their n-gram sets.
 
-No bucket is expanded into all its pairs: first each member meets its bucket's smallest member, the most promising one
-over all its buckets; where verified links make a bucket one class, it is done. In those that stay apart, members of
-different classes are compared, block by block inside a task, which passes on survivors only. Links inside a class are
-then counted exactly from n-gram sets, in blocks of classes.
+No bucket is expanded into all its pairs. First each member of a bucket of the FIRST bands meets its smallest member;
+the most promising such link of each text is verified, and classes form. In all bands, buckets then hold classes and no
+longer single texts: those of several classes have one member of each meet one of the smallest. In buckets that still
+stay apart, members of different classes are compared, block by block inside a task, which prunes, verifies and passes
+on links only.
+Links inside a class are then counted exactly from n-gram sets, in blocks of classes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contagraph.llm.common import col, fresh, stash, table
@@ -30,7 +32,7 @@ from contagraph.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-6
-BLOCK, SMALL_IDS, CACHE = 512, 1_000_000, 400_000
+FIRST, BLOCK, SMALL_IDS, CACHE = 3, 512, 1_000_000, 400_000
 _HASHES = BANDS * ROWS
 _TOKENS = re.compile(r"\w+").findall
 _MULTIPLY, _ADD = np.random.default_rng(4).integers(1, 2**63, (2, _HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,25 +162,39 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def across(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """a, b: survivors among members (key, rep, label, sig, count) of one bucket with different labels; blocks meet in pairs."""
+    """a, b: links among members (band, key, rep, label, sig, h, count) of one bucket with different labels; blocks meet in pairs.
+
+    A pair is handled in the first band in which it agrees: pruned there by its MinHash values, then verified on its sets.
+    """
     least = fewest_matches(threshold, tolerance)
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     placed = members.withColumn("i", F.pmod(F.xxhash64(F.lit(3), "rep"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = placed.select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "rep", "label", "sig")
+    tiles = placed.select("band", "key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "rep", "label", "sig", "h")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        sig, rep, label = _matrix(x["sig"]), x["rep"].to_numpy(), x["label"].to_numpy()
+        sig, rep, label, band = _matrix(x["sig"]), x["rep"].to_numpy(), x["label"].to_numpy(), int(x["band"].iloc[0])
+        sets = [np.frombuffer(h, np.uint64) for h in x["h"]]
+        size = np.array([len(s) for s in sets], np.int64)
+        earlier = np.zeros((len(sig), band), np.uint64)
+        for r in range(ROWS):
+            earlier = earlier * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : ROWS * band : ROWS]
         p, q = np.flatnonzero(x["i"] == x["p"]), np.flatnonzero(x["i"] == x["q"])
         same, out = x["p"].iloc[0] == x["q"].iloc[0], []
         for k, i in enumerate(p):
             to = q[k + 1 :] if same else q
-            to = to[label[to] != label[i]]
-            at, _ = survivors(np.broadcast_to(sig[i], (len(to), _HASHES)), sig[to], least)
-            other = rep[to[at]]
-            out.append(np.stack([np.minimum(rep[i], other), np.maximum(rep[i], other)], 1))
+            to = to[(label[to] != label[i]) & (np.minimum(size[to], size[i]) >= threshold * np.maximum(size[to], size[i]))]
+            to = to[~(earlier[to] == earlier[i]).any(1)]
+            if len(to):
+                to = to[survivors(np.broadcast_to(sig[i], (len(to), _HASHES)), sig[to], least)[0]]
+            if len(to):
+                other = np.concatenate([sets[t] for t in to])
+                at = np.minimum(np.searchsorted(sets[i], other), size[i] - 1)
+                both = np.add.reduceat(sets[i][at] == other, np.concatenate([[0], np.cumsum(size[to])[:-1]]), dtype=np.int64)
+                other = rep[to[both >= threshold * (size[to] + size[i] - both)]]
+                out.append(np.stack([np.minimum(rep[i], other), np.maximum(rep[i], other)], 1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
-    return tiles.groupBy("key", "p", "q").applyInPandas(run, "a long, b long").distinct()
+    return tiles.groupBy("band", "key", "p", "q").applyInPandas(run, "a long, b long")
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -215,6 +231,21 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return tiles.groupBy("label", "p", "q").applyInPandas(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def _banded(bands: int) -> Column:
+    """band, key: a row for each of the first bands of sig."""
+    return F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(bands)])).alias("band", "key")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def _with_sets(sets: DataFrame, wanted: DataFrame, docs: DataFrame, reps: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """sets with those of the wanted reps that it lacks."""
+    lacking = stash(wanted.join(sets.select("rep"), "rep", "left_anti"), "join-wanted")
+    return sets if lacking.isEmpty() else sets.unionByName(stash(sets_of(docs, lacking, reps, text, doc_id), "join-sets"))
+
+
 def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id", links: bool = True) -> DataFrame:
     """uid, doc_id, class_id, n_copies, n_links, stays: one row for each row of docs.
 
@@ -225,19 +256,33 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     """
     rows = stash(sign(docs, text, doc_id), "join-rows")
     reps = stash(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.min_by("doc_id", "uid").alias("doc_id"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "join-reps")
-    bands = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)])).alias("key"))
-    buckets = stash(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("count")).where("count > 1"), "join-buckets")
-    inside = stash(bands.join(buckets, "key"), "join-members")
-    stars = inside.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    near = prune(stars, reps, threshold, tolerance)
-    best = stash(near.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"), "join-best")
-    sets = stash(sets_of(docs, inside.select("rep").distinct(), reps, text, doc_id), "join-sets")
+    first = reps.select("rep", _banded(FIRST))
+    hubs = first.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("count")).where("count > 1")
+    stars = first.join(hubs, ["band", "key"]).where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    best = stash(prune(stars, reps, threshold, tolerance).groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"), "join-best")
+    sets = stash(sets_of(docs, _ends(best), reps, text, doc_id), "join-sets")
     sure = stash(verify(best, sets, threshold), "join-sure")
     labels = stash(components(sure), "join-labels")
-    marked = inside.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = marked.join(apart, "key").join(reps.select("rep", "sig"), "rep").select("key", "rep", "label", "sig", "count")
-    more = stash(verify(stash(across(rest, threshold, tolerance), "join-across"), sets, threshold), "join-more")
+
+    tagged = reps.select("rep", "sig").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("solo", F.col("label").isNull()).withColumn("label", F.coalesce("label", "rep"))
+    groups = tagged.select("rep", "label", "solo", _banded(BANDS)).groupBy("band", "key", "label").agg(F.min("rep").alias("rep"), F.first("solo").alias("solo"), F.count("*").alias("n"))
+    mixed = groups.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", "label").alias("hub"), F.sum("n").alias("count"), F.min("solo").alias("solos")).where("low < high")
+    inside = stash(groups.select("band", "key", "label", "rep").join(mixed, ["band", "key"]), "join-groups")
+    near = prune(inside.where("label <> low").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, threshold, tolerance)
+    of = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    to = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    named = near.join(of, "b", "left").join(to, "a", "left").select("a", "b", "hits", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    best = stash(named.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("e")).select("e.*"), "join-best")
+    sets = _with_sets(sets, _ends(best), docs, reps, text, doc_id)
+    sure = sure.unionByName(stash(verify(best, sets, threshold), "join-more"))
+    labels = stash(components(sure), "join-labels")
+
+    now = labels.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    apart = inside.where("count > 2 or not solos").join(now, "label", "left").withColumn("new", F.coalesce("new", "label")).groupBy("band", "key").agg(F.min("new").alias("low"), F.max("new").alias("high"), F.first("count").alias("count")).where("low < high").select("band", "key", "count")
+    rest = stash(reps.select("rep", _banded(BANDS)).join(apart, ["band", "key"]), "join-rest")
+    sets = _with_sets(sets, rest.select("rep").distinct(), docs, reps, text, doc_id)
+    rest = rest.join(reps.select("rep", "sig").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(sets, "rep"), "rep").withColumn("label", F.coalesce("label", "rep"))
+    more = stash(across(rest, threshold, tolerance), "join-across")
     if not more.isEmpty():
         sure = sure.unionByName(more)
         labels = stash(components(sure), "join-labels")

@@ -3,6 +3,11 @@
 A recording (WAV bytes) becomes frames of 12 pitch-class energies. Sixteen filters compare the energy of two parts of a
 window of frames, in constant time from an integral image, and give two bits each: one 32-bit integer a frame.
 Recordings align where their integers agree most often at one offset and few bits differ along the overlap.
+
+Recordings of equal integers are one from the start. Others are compared if they share KEY consecutive integers. First
+each member of such a bucket meets its smallest, and classes form. In buckets that stay apart, members of different
+classes are compared inside a task, block by block, which passes on links only. Links inside a class are then counted
+in blocks too.
 """
 
 from __future__ import annotations
@@ -13,17 +18,18 @@ import wave
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from contagraph.llm.common import col, stash, table
 from contagraph.llm.components import components
 
 FRAME, HOP, SPAN = 512, 128, 12
-#: Two recordings match if they share RUNS integers at one offset, overlap by OVERLAP integers, and differ in at most ERRORS of the bits.
-RUNS, OVERLAP, ERRORS, KEY = 3, 16, 0.15, 2
+#: Two recordings match if they share KEY consecutive integers, and RUNS at one offset, overlap by OVERLAP integers, and differ in at most ERRORS of the bits.
+RUNS, OVERLAP, ERRORS, KEY, BLOCK = 3, 16, 0.15, 2, 512
 _LIMITS = (-0.25, 0.0, 0.25)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -108,7 +114,8 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, float]:
 
 
 def matches(x: np.ndarray, y: np.ndarray) -> bool:
-    _, n, errors = align(x, y)
+    """Whether x and y align; the same for either order."""
+    _, n, errors = align(*sorted((x, y), key=lambda v: v.tobytes()))
     return n >= RUNS and errors <= ERRORS
 
 
@@ -136,32 +143,78 @@ def _checked(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def grams(prints: bytes) -> set[bytes]:
+    """All runs of KEY integers."""
+    return {prints[i : i + 4 * KEY] for i in range(0, len(prints) - 4 * KEY + 1, 4)}
+
+
+def _tiles(members: DataFrame, by: str) -> GroupedData:
+    """members (by, rep, label, prints, count) of each group in blocks; each pair of blocks is one group."""
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    placed = members.withColumn("i", F.pmod(F.xxhash64(F.lit(7), "rep"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return placed.select(by, F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "rep", "label", "prints").groupBy(by, "p", "q")
+
+
+def _couples(x: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """Row numbers of the pairs that a tile has to compare."""
+    p, q = np.flatnonzero(x["i"] == x["p"]), np.flatnonzero(x["i"] == x["q"])
+    same = x["p"].iloc[0] == x["q"].iloc[0]
+    return ((i, j) for k, i in enumerate(p) for j in (q[k + 1 :] if same else q))
+
+
+def across(members: DataFrame) -> DataFrame:
+    """a, b: links among members (key, rep, label, prints, count) of one bucket with different labels, each pair compared in its smallest key."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        rep, label, key = x["rep"].to_numpy(), x["label"].to_numpy(), bytes(x["key"].iloc[0])
+        runs, prints = [grams(v) for v in x["prints"]], [np.frombuffer(v, "<u4") for v in x["prints"]]
+        found = [(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in _couples(x) if label[i] != label[j] and min(runs[i] & runs[j]) == key and matches(prints[i], prints[j])]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return _tiles(members, "key").applyInPandas(run, "a long, b long")
+
+
+def count_links(members: DataFrame) -> DataFrame:
+    """rep, links: of members (label, rep, prints, count) of one class, the others that match it."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        runs, prints, links = [grams(v) for v in x["prints"]], [np.frombuffer(v, "<u4") for v in x["prints"]], np.zeros(len(x), np.int64)
+        for i, j in _couples(x):
+            if not runs[i].isdisjoint(runs[j]) and matches(prints[i], prints[j]):
+                links[[i, j]] += 1
+        return pd.DataFrame({"rep": x["rep"], "links": links})
+
+    return _tiles(members, "label").applyInPandas(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
 def align_recordings(media: DataFrame, audio: str = "audio", rec_id: str = "rec_id") -> DataFrame:
     """rec_id, n_prints, class_id, n_copies, n_links: a row for each row of media.
 
     class_id is the smallest id among recordings that match it directly or through others; n_copies the rows of equal
-    fingerprints; n_links the verified matches kept to span the class. Recordings that share KEY consecutive integers
-    meet their bucket's smallest member; where a bucket stays in several classes, its members meet its largest too, and
-    each class the next one. Null, unreadable, silent and too short recordings match nothing but equal fingerprints do count as copies
-    only where there are any. Null ids join classes but never name them. A bucket's members are never paired with each other.
+    fingerprints; n_links the different fingerprints that match it. Classes and links are exact. Null, unreadable,
+    silent and too short recordings without an integer match nothing and are no copies. Null ids join classes but never
+    name them. Repeated rows are copies; extra columns don't matter. Comparing costs the square of a bucket's classes
+    and of a class's different fingerprints, spread over tasks in blocks of BLOCK.
     """
     rows = stash(fingerprints(media, audio, rec_id), "chroma-rows")
     reps = stash(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.min("prints").alias("prints"), F.min("n").alias("n"), F.count("*").alias("copies")), "chroma-reps")
     at = F.explode(F.sequence(F.lit(0), F.col("n") - KEY))
-    grams = reps.where(F.col("n") >= KEY).select("rep", "prints", at.alias("i")).select("rep", F.xxhash64(F.substring("prints", 1 + 4 * F.col("i"), F.lit(4 * KEY))).alias("key")).distinct()
-    buckets = grams.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    inside = stash(grams.join(buckets, "key"), "chroma-members")
+    keyed = reps.where(F.col("n") >= KEY).select("rep", "prints", at.alias("i")).select("rep", F.substring("prints", 1 + 4 * F.col("i"), F.lit(4 * KEY)).alias("key")).distinct()
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("count")).where("count > 1")
+    inside = stash(keyed.join(buckets, "key"), "chroma-members")
     sure = stash(_checked(inside.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), reps), "chroma-sure")
     labels = stash(components(sure), "chroma-labels")
-    marked = inside.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    # a bucket of two has been compared by its one star pair
+    marked = inside.where("count > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     apart = marked.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select("key")
-    more = marked.join(apart, "key").where("high <> rep").select(F.col("rep").alias("a"), F.col("high").alias("b")).distinct()
-    found = stash(_checked(more, reps), "chroma-more")
+    pairs_left = marked.join(apart, "key").join(reps.select("rep", "prints"), "rep")
+    found = stash(across(pairs_left), "chroma-more")
     if not found.isEmpty():
-        sure = stash(sure.unionByName(found).distinct(), "chroma-links")
-        labels = stash(components(sure), "chroma-labels")
-    degree = sure.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    known = reps.select("digest", "rep", "copies").join(labels.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        labels = stash(components(sure.unionByName(found)), "chroma-labels")
+    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("count")), "label")
+    counted = count_links(sized.where("count > 2").withColumnRenamed("node", "rep").join(reps.select("rep", "prints"), "rep"))
+    sized = sized.join(counted, F.col("rep") == F.col("node"), "left").select("node", "label", F.coalesce("links", F.lit(1)).alias("links"))
+    known = reps.select("digest", "rep", "copies").join(sized, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     all_rows = stash(rows.select("uid", "rec_id", "n", "digest").join(known, "digest", "left").withColumn("label", F.coalesce("label", "uid")), "chroma-all")
     first = all_rows.groupBy("label").agg(F.min("rec_id").alias("class_id"))
     return all_rows.join(first, "label").select("rec_id", F.col("n").cast("long").alias("n_prints"), "class_id", F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"))

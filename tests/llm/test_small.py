@@ -187,6 +187,28 @@ def test_chroma(spark):
     assert [got[i]["class_id"] for i in range(1, 8)] == [1, 1, 1, 4, 5, 6, 7] and got[1]["n_copies"] == 2 and got[3]["n_links"] == 1
 
 
+def test_chroma_against_brute_force(spark, monkeypatch):
+    """Four tunes share an opening, so their keys hold several classes; each has versions with some notes changed."""
+    monkeypatch.setattr(chroma, "BLOCK", 3)
+    rng, rows = np.random.default_rng(9), []
+    opening = rng.random(10)
+    for _ in range(4):
+        tune = np.concatenate([opening, rng.random(30)])
+        for changed in (0, 1, 2, 3, 6, 12):
+            own = tune.copy()
+            own[rng.choice(np.arange(10, 40), changed, replace=False)] = rng.random(changed)
+            rows.append((int(rng.integers(1, 10**6)), chroma.tune(list(own))))
+    prints = {i: chroma.fingerprint(*chroma.samples_of(a)) for i, a in rows}
+    runs = {i: chroma.grams(v.astype("<u4").tobytes()) for i, v in prints.items()}
+    links = {i: {j for j in prints if i != j and runs[i] & runs[j] and chroma.matches(prints[i], prints[j])} for i in prints}
+    label = {i: i for i in prints}
+    for _ in prints:
+        label = {i: min(label[i], *(label[j] for j in links[i])) if links[i] else label[i] for i in prints}
+    got = {r["rec_id"]: (r["class_id"], r["n_links"]) for r in chroma.align_recordings(spark.createDataFrame(rows, "rec_id long, audio binary")).collect()}
+    assert got == {i: (label[i], len(links[i])) for i in prints}
+    assert 1 < len(set(label.values())) < len(rows) and max(map(len, links.values())) > 2
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from contagraph.llm.common import col, fold, fresh, stash, table
 
-CLUSTERED, SUFFIXES, CLASSES, ROUNDS, FREQUENT = 2000, 256, 64, 4, 150_000
+CLUSTERED, SUFFIXES, CLASSES, ROUNDS, FREQUENT = 3000, 256, 64, 4, 150_000
 _FLUSH, _LONG = 400_000, 24
 
 
@@ -67,14 +67,15 @@ def count_words(docs: DataFrame, groups: int = SUFFIXES) -> DataFrame:
 
 
 class _Units(dict):
-    """Word -> unit: its place among the clustered or frequent words, else first + its suffix group."""
+    """Word -> unit: the place of its key among the clustered or frequent words, else first + its suffix group."""
 
     def __init__(self, known: dict[bytes, int], first: int, groups: int) -> None:
         super().__init__(known)
         self.first, self.groups = first, groups
 
     def __missing__(self, word: bytes) -> int:
-        return self.first + suffix_group(word, self.groups)
+        at = self.get(_key(word)) if len(word) > _LONG else None
+        return self.first + suffix_group(word, self.groups) if at is None else at
 
 
 def count_bigrams(docs: DataFrame, clustered: list[bytes], groups: int = SUFFIXES) -> DataFrame:
@@ -210,8 +211,7 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, groups: int = SUFFIXES, c
         room, floor_c = room - r["k"], r["least"]
     top = []
     if floor_c is not None:
-        short = (F.length("key") <= _LONG) & (F.substring("key", 1, 1) != F.lit(b"\0"))
-        got = counts.where((F.col("c") >= floor_c) & short).select("key", "grp", "c").toArrow()
+        got = counts.where(F.col("c") >= floor_c).select("key", "grp", "c").toArrow()
         top = sorted(zip((-got["c"].to_numpy()).tolist(), got["key"].to_pylist(), got["grp"].to_pylist()))
     words = [w for _, w, _ in top]
     k = min(clustered, len(words))

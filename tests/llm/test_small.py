@@ -72,6 +72,19 @@ def test_class_lm(docs):
     assert empty.n == 0 and all(r["base_score"] == pytest.approx(0) for r in class_lm.score(docs.limit(2), empty, counts).collect())
 
 
+def test_class_lm_clusters_3000_words_and_long_ones(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    words = [f"w{i}" for i in range(3100)] * 2 + [long] * 5
+    random.Random(6).shuffle(words)
+    rows = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    model, counts = class_lm.train(rows, classes=3)
+    assert len(model.words) == 3101 and model.words[0] == class_lm._key(long.encode())
+    own = {u for u in class_lm.count_bigrams(rows, model.words[: class_lm.CLUSTERED]).toPandas()["a"] if u < class_lm.CLUSTERED}
+    assert len(own) == class_lm.CLUSTERED >= 3000 and 0 in own
+    got = class_lm.score(spark.createDataFrame([(2, long)], "doc_id long, text string"), model, counts).collect()[0]
+    assert got["n_known"] == 2 and got["base_score"] == pytest.approx(math.log10(5.5 * 1.5) - 2 * math.log10(model.n + 0.5 * (model.v + 1)))
+
+
 def test_class_lm_adds_up_to_one(spark):
     words = text(5, 300)
     one = spark.createDataFrame([(1, words)], "doc_id long, text string")

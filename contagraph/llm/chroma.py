@@ -4,10 +4,9 @@ A recording (WAV bytes) becomes frames of 12 pitch-class energies. Sixteen filte
 window of frames, in constant time from an integral image, and give two bits each: one 32-bit integer a frame.
 Recordings align where their integers agree most often at one offset and few bits differ along the overlap.
 
-Recordings of equal integers are one from the start. Others are compared if they share KEY consecutive integers. First
-each member of such a bucket meets its smallest, and classes form. In buckets that stay apart, members of different
-classes are compared inside a task, block by block, which passes on links only. Links inside a class are then counted
-in blocks too.
+Recordings of equal integers are one from the start. All others are compared, in pairs of blocks: a task finds the pairs
+that have RUNS equal integers at one offset from its sorted integers, aligns each, and passes on its links, as many as
+hold its classes together, and their number for each recording.
 """
 
 from __future__ import annotations
@@ -21,15 +20,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contagraph.llm.common import col, stash, table
 from contagraph.llm.components import components
 
 FRAME, HOP, SPAN = 512, 128, 12
-#: Two recordings match if they share KEY consecutive integers, and RUNS at one offset, overlap by OVERLAP integers, and differ in at most ERRORS of the bits.
-RUNS, OVERLAP, ERRORS, KEY, BLOCK = 3, 16, 0.15, 2, 512
+#: Two recordings match if they share RUNS integers at one offset, overlap by OVERLAP integers, and differ in at most ERRORS of the bits.
+RUNS, OVERLAP, ERRORS, KEY = 3, 16, 0.15, 1
+#: A block holds about so many recordings or integers at most; a task counts so many equal integers at once.
+BLOCK, INTEGERS, EXPAND = 6000, 400_000, 1_000_000
 _LIMITS = (-0.25, 0.0, 0.25)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -133,58 +134,79 @@ def fingerprints(media: DataFrame, audio: str = "audio", rec_id: str = "rec_id")
     return media.select(col(rec_id).cast("long").alias("rec_id"), col(audio).alias("audio")).mapInArrow(run, "uid long, rec_id long, n int, digest binary, prints binary")
 
 
-def _checked(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))) if matches(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"))]
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
-
-    both = pairs.join(reps.select(F.col("rep").alias("b"), F.col("prints").alias("y")), "b").join(reps.select(F.col("rep").alias("a"), F.col("prints").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def grams(prints: bytes) -> set[bytes]:
-    """All runs of KEY integers."""
+    """All integers."""
     return {prints[i : i + 4 * KEY] for i in range(0, len(prints) - 4 * KEY + 1, 4)}
 
 
-def _tiles(members: DataFrame, by: str) -> GroupedData:
-    """members (by, rep, label, prints, count) of each group in blocks; each pair of blocks is one group."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    placed = members.withColumn("i", F.pmod(F.xxhash64(F.lit(7), "rep"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return placed.select(by, F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "rep", "label", "prints").groupBy(by, "p", "q")
-
-
-def _couples(x: pd.DataFrame) -> Iterator[tuple[int, int]]:
-    """Row numbers of the pairs that a tile has to compare."""
-    p, q = np.flatnonzero(x["i"] == x["p"]), np.flatnonzero(x["i"] == x["q"])
-    same = x["p"].iloc[0] == x["q"].iloc[0]
-    return ((i, j) for k, i in enumerate(p) for j in (q[k + 1 :] if same else q))
-
-
-def across(members: DataFrame) -> DataFrame:
-    """a, b: links among members (key, rep, label, prints, count) of one bucket with different labels, each pair compared in its smallest key."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        rep, label, key = x["rep"].to_numpy(), x["label"].to_numpy(), bytes(x["key"].iloc[0])
-        runs, prints = [grams(v) for v in x["prints"]], [np.frombuffer(v, "<u4") for v in x["prints"]]
-        found = [(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in _couples(x) if label[i] != label[j] and min(runs[i] & runs[j]) == key and matches(prints[i], prints[j])]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    return _tiles(members, "key").applyInPandas(run, "a long, b long")
-
-
-def count_links(members: DataFrame) -> DataFrame:
-    """rep, links: of members (label, rep, prints, count) of one class, the others that match it."""
+def _candidates(prints: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of q, and those of p that have RUNS equal integers with it at one offset; all that share one where that is long to count."""
+    size = np.array([len(prints[i]) for i in p])
+    longest, owner = max(map(len, prints)), np.repeat(np.arange(len(p)), size)
+    values, place = np.concatenate([prints[i] for i in p]), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(values, kind="stable")
+    values, owner, place = values[order], owner[order], place[order]
+    low = [np.searchsorted(values, prints[j], "left") for j in q]
+    many = [np.searchsorted(values, prints[j], "right") - x for j, x in zip(q, low)]
+    total = np.array([m.sum() for m in many])
+    at = 0
+    while at < len(q):
+        if total[at] > EXPAND:
+            own = np.unique(prints[q[at]], return_index=True)[1]
+            yield q[at], p[np.unique(np.concatenate([owner[low[at][k] : low[at][k] + many[at][k]] for k in own]))]
+            at += 1
+            continue
+        end = at + max(1, int(np.searchsorted(np.cumsum(total[at:]), EXPAND, "right")))
+        m, n = np.concatenate(many[at:end]), total[at:end].sum()
+        hit = np.repeat(np.concatenate(low[at:end]) - np.cumsum(m) + m, m) + np.arange(n)
+        mine = np.repeat(np.arange(end - at), total[at:end])
+        where = np.repeat(np.concatenate([np.arange(len(prints[j])) for j in q[at:end]]), m)
+        codes, times = np.unique((mine * len(p) + owner[hit]) * (2 * longest) + place[hit] - where + longest, return_counts=True)
+        pairs = np.unique(codes[times >= RUNS] // (2 * longest))
+        cut = np.searchsorted(pairs, np.arange(end - at + 1) * len(p))
+        for k in range(end - at):
+            if cut[k] < cut[k + 1]:
+                yield q[at + k], p[pairs[cut[k] : cut[k + 1]] % len(p)]
+        at = end
+
+
+def compare(reps: DataFrame) -> DataFrame:
+    """a, b, links of reps (rep, n, prints): links that hold the classes together (links null), and each rep's number of links (b null).
+
+    All pairs meet: reps are dealt into blocks, and each pair of blocks is one task, which passes on no more rows than it
+    has recordings, twice.
+    """
+    size = reps.agg(F.count("*").alias("reps"), F.coalesce(F.sum("n"), F.lit(0)).alias("ints")).first()
+    blocks = max(1, -(-size["reps"] // BLOCK), -(-size["ints"] // INTEGERS))
+    placed = reps.withColumn("i", F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = placed.select(F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "rep", "prints")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        runs, prints, links = [grams(v) for v in x["prints"]], [np.frombuffer(v, "<u4") for v in x["prints"]], np.zeros(len(x), np.int64)
-        for i, j in _couples(x):
-            if not runs[i].isdisjoint(runs[j]) and matches(prints[i], prints[j]):
-                links[[i, j]] += 1
-        return pd.DataFrame({"rep": x["rep"], "links": links})
-
-    return _tiles(members, "label").applyInPandas(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+        rep, prints, links = x["rep"].to_numpy(), [np.frombuffer(v, "<u4") for v in x["prints"]], np.zeros(len(x), np.int64)
+        p, q = np.flatnonzero(x["i"] == x["p"]), np.flatnonzero(x["i"] == x["q"])
+        same, root, held = x["p"].iloc[0] == x["q"].iloc[0], list(range(len(x))), []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for j, near in _candidates(prints, p, q) if len(p) and len(q) else ():
+            for i in near[near < j] if same else near:
+                if matches(prints[i], prints[j]):
+                    links[[i, j]] += 1
+                    a, b = top(i), top(j)
+                    if a != b:
+                        root[a] = b
+                        held.append((rep[i], rep[j]))
+        linked = np.flatnonzero(links)
+        none = [None] * len(held)
+        edges = pd.DataFrame({"a": [a for a, _ in held], "b": [b for _, b in held], "links": none})
+        counts = pd.DataFrame({"a": rep[linked], "b": [None] * len(linked), "links": links[linked]})
+        return pd.concat([edges.astype("Int64"), counts.astype("Int64")])
+
+    tasks = min(blocks * (blocks + 1) // 2, 4096)
+    return tiles.repartition(tasks, "p", "q").groupBy("p", "q").applyInPandas(run, "a long, b long, links long")
 
 
 def align_recordings(media: DataFrame, audio: str = "audio", rec_id: str = "rec_id") -> DataFrame:
@@ -193,27 +215,15 @@ def align_recordings(media: DataFrame, audio: str = "audio", rec_id: str = "rec_
     class_id is the smallest id among recordings that match it directly or through others; n_copies the rows of equal
     fingerprints; n_links the different fingerprints that match it. Classes and links are exact. Null, unreadable,
     silent and too short recordings without an integer match nothing and are no copies. Null ids join classes but never
-    name them. Repeated rows are copies; extra columns don't matter. Comparing costs the square of a bucket's classes
-    and of a class's different fingerprints, spread over tasks in blocks of BLOCK.
+    name them. Repeated rows are copies; extra columns don't matter. Comparing costs the square of the number of
+    different fingerprints, spread over tasks in blocks.
     """
     rows = stash(fingerprints(media, audio, rec_id), "chroma-rows")
     reps = stash(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.min("prints").alias("prints"), F.min("n").alias("n"), F.count("*").alias("copies")), "chroma-reps")
-    at = F.explode(F.sequence(F.lit(0), F.col("n") - KEY))
-    keyed = reps.where(F.col("n") >= KEY).select("rep", "prints", at.alias("i")).select("rep", F.substring("prints", 1 + 4 * F.col("i"), F.lit(4 * KEY)).alias("key")).distinct()
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("count")).where("count > 1")
-    inside = stash(keyed.join(buckets, "key"), "chroma-members")
-    sure = stash(_checked(inside.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), reps), "chroma-sure")
-    labels = stash(components(sure), "chroma-labels")
-    # a bucket of two has been compared by its one star pair
-    marked = inside.where("count > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    apart = marked.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select("key")
-    pairs_left = marked.join(apart, "key").join(reps.select("rep", "prints"), "rep")
-    found = stash(across(pairs_left), "chroma-more")
-    if not found.isEmpty():
-        labels = stash(components(sure.unionByName(found)), "chroma-labels")
-    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("count")), "label")
-    counted = count_links(sized.where("count > 2").withColumnRenamed("node", "rep").join(reps.select("rep", "prints"), "rep"))
-    sized = sized.join(counted, F.col("rep") == F.col("node"), "left").select("node", "label", F.coalesce("links", F.lit(1)).alias("links"))
+    found = stash(compare(reps), "chroma-found")
+    labels = stash(components(found.where("b is not null").select("a", "b")), "chroma-labels")
+    counted = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    sized = labels.join(counted, F.col("a") == F.col("node"), "left").select("node", "label", "links")
     known = reps.select("digest", "rep", "copies").join(sized, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     all_rows = stash(rows.select("uid", "rec_id", "n", "digest").join(known, "digest", "left").withColumn("label", F.coalesce("label", "uid")), "chroma-all")
     first = all_rows.groupBy("label").agg(F.min("rec_id").alias("class_id"))

@@ -222,6 +222,33 @@ def test_chroma_against_brute_force(spark, monkeypatch):
     assert 1 < len(set(label.values())) < len(rows) and max(map(len, links.values())) > 2
 
 
+@pytest.mark.parametrize("expand", [10**6, 50])
+def test_chroma_without_runs_against_brute_force(spark, monkeypatch, expand):
+    """Every other integer has a flipped bit, so no two recordings share two in a row."""
+    rng, prints = np.random.default_rng(12), {}
+    for c in range(3):
+        base = rng.integers(0, 2**32, 60, np.uint32)
+        for v in range(4):
+            own = base[rng.integers(0, 5) :].copy()
+            own[v % 2 :: 2] ^= np.uint32(1) << rng.integers(0, 32, len(own[v % 2 :: 2]), np.uint32)
+            prints[10 * c + v] = own
+    prints[90], prints[91] = np.full(60, 7, np.uint32), np.full(40, 7, np.uint32)
+    monkeypatch.setattr(chroma, "BLOCK", 5)
+    size = {i: len(v) for i, v in prints.items()}
+    reps = spark.createDataFrame([(i, size[i], v.astype("<u4").tobytes()) for i, v in prints.items()], "rep long, n int, prints binary")
+    links = {i: {j for j in prints if i != j and chroma.matches(prints[i], prints[j])} for i in prints}
+    index, every = np.arange(len(prints)), list(prints.values())
+    monkeypatch.setattr(chroma, "EXPAND", expand)
+    near = {(int(min(i, j)), int(max(i, j))) for j, found in chroma._candidates(every, index, index) for i in found if i != j}
+    ids = list(prints)
+    assert {(ids.index(i), ids.index(j)) for i in ids for j in links[i] if i < j} <= near
+    found = chroma.compare(reps)
+    got = {r["a"]: r["n"] for r in found.where("b is null").groupBy("a").agg(F.sum("links").alias("n")).collect()}
+    assert got == {i: len(v) for i, v in links.items() if v} and len(got) > 6
+    label = {r["node"]: r["label"] for r in components(found.where("b is not null").select("a", "b")).collect()}
+    assert all(label[i] == label[j] for i in links for j in links[i])
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from contagraph.llm.common import col, stash, table
 from contagraph.llm.components import components
 
-FRAME, HOP, SPAN = 512, 128, 12
+#: Samples of a frame and a hop at a rate of BASE; at other rates they are as long in seconds.
+FRAME, HOP, SPAN, BASE = 512, 128, 12, 2000
 #: Two recordings match if they share RUNS integers at one offset, overlap by OVERLAP integers, and differ in at most ERRORS of the bits.
 RUNS, OVERLAP, ERRORS, KEY = 3, 16, 0.15, 1
 #: A block holds about so many recordings or integers at most; a task counts so many equal integers at once.
@@ -41,16 +42,18 @@ def _filters() -> list[tuple[int, int, int, int]]:
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Pitch-class energies of each frame, scaled to length one; silence stays zero."""
-    if len(samples) < FRAME:
+    """Pitch-class energies of each frame, scaled to length one; silence stays zero. Frames and hops last as long at any rate."""
+    size = round(FRAME * rate / BASE)
+    if len(samples) < size or not size:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] * np.hanning(FRAME)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    freq = np.fft.rfftfreq(FRAME, 1 / rate)
+    starts = np.round(np.arange((len(samples) - size) * BASE // (HOP * rate) + 1) * (HOP * rate / BASE)).astype(np.int64)
+    starts = starts[starts <= len(samples) - size]
+    freq = np.arange(size // 2 + 1) * (BASE / FRAME)
     used = (freq >= 55) & (freq <= 4000)
     fold = np.zeros((len(freq), 12))
     fold[np.flatnonzero(used), np.round(12 * np.log2(freq[used] / 440)).astype(int) % 12] = 1
-    out = power @ fold
+    views, window, step = np.lib.stride_tricks.sliding_window_view(samples, size), np.hanning(size), max(1, 2_000_000 // size)
+    out = np.concatenate([np.abs(np.fft.rfft(views[starts[i : i + step]] * window, axis=1)) ** 2 @ fold for i in range(0, len(starts), step)])
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.where(norm > 1e-9, out / np.maximum(norm, 1e-9), 0)
 

@@ -249,6 +249,20 @@ def test_chroma_without_runs_against_brute_force(spark, monkeypatch, expand):
     assert all(label[i] == label[j] for i in links for j in links[i])
 
 
+def test_chroma_at_two_rates():
+    rng = np.random.default_rng(8)
+    pitch, loud = 110 * 2 ** (rng.integers(0, 36, 90) / 12), rng.uniform(0.2, 1, 90)
+
+    def play(rate):
+        t = np.arange(int(rate * 9)) / rate
+        note = np.minimum((t / 0.1).astype(int), 89)
+        return loud[note] * np.sin(2 * np.pi * pitch[note] * t) * np.sin(np.pi * t / 0.1) ** 2
+
+    slow, fast, other = (chroma.fingerprint(play(r), r) for r in (8000, 44100, 2000))
+    assert abs(len(slow) - len(fast)) <= 1 and chroma.matches(slow, fast) and chroma.matches(other, fast)
+    assert chroma.align(slow, fast)[0] == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -139,7 +140,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 data, out = content.as_py(), []
-                data = zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data
+                data = gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data  # all members
                 for h, block in records(data):
                     kind, said = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     number, origin = int(h.get("warc-segment-number", 0)), h.get("warc-segment-origin-id", h["warc-record-id"])

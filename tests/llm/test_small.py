@@ -1,5 +1,6 @@
 """Edge cases and brute-force checks on small tables: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -161,6 +162,17 @@ def test_warc(spark, tmp_path):
         warc.dechunked(b"5\r\nab")
 
 
+def test_warc_with_a_gzip_member_a_record(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"long " * 100
+    out = []
+    for i, segment in ((1, 1000), (2, 200)):
+        said = "sha1:" + warc.digest(b"long " * 100)
+        out += warc.response({"WARC-Record-ID": f"<urn:page:{i}:x>", "X-Page-ID": str(i), "WARC-Payload-Digest": said}, block, segment)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in out))
+    got = sorted((r["page_id"], r["payload_bytes"], r["intact"]) for r in warc.read_warc(spark, f"file://{tmp_path}").collect())
+    assert len(out) == 4 and got == [(1, 500, True), (2, 500, True)]
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 8)).astype("float32")

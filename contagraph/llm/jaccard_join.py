@@ -90,8 +90,14 @@ def survivors(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> tuple[np.n
     return left, hits[left]
 
 
-def sign(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """uid, doc_id, digest (of the n-gram set; null without words), n, sig. To be stashed: uid is new at each run."""
+def _mark(text: str) -> Column:
+    """16 bytes that stand for a text; none for null."""
+    return F.coalesce(F.unhex(F.md5(col(text).cast("binary"))), F.lit(b""))
+
+
+def sign(docs: DataFrame, text: str, doc_id: str, marks: bool = False) -> DataFrame:
+    """uid, doc_id, digest (of the n-gram set; null without words), n, sig, mark if asked for. To be stashed: uid is new at each run."""
+    more = ["mark"] if marks else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, uid = _Hashes(), TaskContext.get().partitionId() << 36
@@ -104,9 +110,10 @@ def sign(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 sig.append(minhash(h).tobytes() if len(h) else None)
             uids = pa.array(range(uid, uid + len(size)), pa.int64())
             uid += len(size)
-            yield pa.RecordBatch.from_arrays([uids, batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["uid", "doc_id", "digest", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([uids, batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), *batch.columns[2:]], names=["uid", "doc_id", "digest", "n", "sig", *more])
 
-    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(run, "uid long, doc_id long, digest binary, n int, sig binary")
+    picked = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), *(_mark(text).alias(m) for m in more))
+    return picked.mapInArrow(run, ", ".join(["uid long, doc_id long, digest binary, n int, sig binary", *(f"{m} binary" for m in more)]))
 
 
 def _matrix(column) -> np.ndarray:
@@ -246,15 +253,16 @@ def _with_sets(sets: DataFrame, wanted: DataFrame, docs: DataFrame, reps: DataFr
     return sets if lacking.isEmpty() else sets.unionByName(stash(sets_of(docs, lacking, reps, text, doc_id), "join-sets"))
 
 
-def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id", links: bool = True) -> DataFrame:
-    """uid, doc_id, class_id, n_copies, n_links, stays: one row for each row of docs.
+def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id", links: bool = True, marks: bool = False) -> DataFrame:
+    """uid, doc_id, class_id, n_copies, n_links, stays, and mark (of the text) if asked for: one row for each row of docs.
 
     class_id is the smallest doc_id linked to it directly or through others (its own, if none); n_copies the rows with
     the same n-gram set, itself included; n_links the different texts of similarity >= threshold; stays is true for one
     row a class, that of the smallest id. Texts without words are in no class but their own and always stay; so do
     null texts. Null ids join classes but name them only where no other does. Repeated rows are copies.
     """
-    rows = stash(sign(docs, text, doc_id), "join-rows")
+    rows = stash(sign(docs, text, doc_id, marks), "join-rows")
+    more = ["mark"] if marks else []
     reps = stash(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.min_by("doc_id", "uid").alias("doc_id"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "join-reps")
     first = reps.select("rep", _banded(FIRST))
     hubs = first.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("count")).where("count > 1")
@@ -282,9 +290,9 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     rest = stash(reps.select("rep", _banded(BANDS)).join(apart, ["band", "key"]), "join-rest")
     sets = _with_sets(sets, rest.select("rep").distinct(), docs, reps, text, doc_id)
     rest = rest.join(reps.select("rep", "sig").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(sets, "rep"), "rep").withColumn("label", F.coalesce("label", "rep"))
-    more = stash(across(rest, threshold, tolerance), "join-across")
-    if not more.isEmpty():
-        sure = sure.unionByName(more)
+    found = stash(across(rest, threshold, tolerance), "join-across")
+    if not found.isEmpty():
+        sure = sure.unionByName(found)
         labels = stash(components(sure), "join-labels")
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("count")), "label")
     if links:
@@ -293,19 +301,20 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     else:
         sized = sized.withColumn("links", F.lit(None).cast("long"))
     known = reps.select("digest", "rep", "copies").join(sized, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    all_rows = stash(rows.select("uid", "doc_id", "digest").join(known, "digest", "left").withColumn("label", F.coalesce("label", "uid")), "join-all")
+    all_rows = stash(rows.select("uid", "doc_id", "digest", *more).join(known, "digest", "left").withColumn("label", F.coalesce("label", "uid")), "join-all")
     first = all_rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
-    return all_rows.join(first, "label").select("uid", "doc_id", "class_id", F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("uid") == F.col("first")).alias("stays"))
+    return all_rows.join(first, "label").select("uid", "doc_id", "class_id", F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("uid") == F.col("first")).alias("stays"), *more)
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without all but one row of each class. Rows are found again by id and text, and numbered where both repeat."""
-    from pyspark.sql import Window
-
-    want, nth = fresh(docs, "want", "nth")
-    found = similar(docs, text=text, doc_id=doc_id, links=False).where("stays").groupBy("doc_id").agg(F.count("*").alias(want))
-    mine = docs.withColumn(nth, F.row_number().over(Window.partitionBy(col(doc_id)).orderBy(F.xxhash64(col(text)))))
-    return mine.join(found.withColumnRenamed("doc_id", fresh(docs, "kept_id")[0]), col(doc_id).cast("long").eqNullSafe(F.col(fresh(docs, "kept_id")[0]))).where(F.col(nth) <= F.col(want)).select(*map(col, docs.columns))
+    """docs without all but the row of each class that stays. Rows are found again by id and text; of those that repeat both, one stays."""
+    kept_id, mark, gone_id, gone_mark, want = fresh(docs, "kept_id", "kept_mark", "gone_id", "gone_mark", "want")
+    rows = similar(docs, text=text, doc_id=doc_id, links=False, marks=True).groupBy("doc_id", "mark").agg(F.count("*").alias("all"), F.count_if("stays").alias("want"))
+    gone = stash(rows.where("want < all").select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark), F.col("want").alias(want)), "join-gone")
+    mine = docs.withColumn(kept_id, col(doc_id).cast("long")).withColumn(mark, _mark(text))
+    same = F.col(kept_id).eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
+    once = mine.join(gone.where(F.col(want) > 0), same, "left_semi").groupBy(kept_id, mark).agg(F.first(F.struct(*map(col, docs.columns))).alias("row")).select("row.*")
+    return mine.join(gone, same, "left_anti").select(*map(col, docs.columns)).unionByName(once)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

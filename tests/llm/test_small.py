@@ -275,6 +275,19 @@ def test_chroma_at_two_rates():
     assert chroma.align(slow, fast)[0] == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_keep_one_keeps_the_rows_that_stay(spark, doc_id):
+    """Near copies, an exact copy and texts of their own, all of one id."""
+    rows = []
+    for k in range(6):
+        base = text(100 + k, 80)
+        rows += [(doc_id, base, k), (doc_id, base.rsplit(" ", 2)[0] + " other words", k), (doc_id, base, k), (doc_id, text(200 + k, 60), 10 + k)]
+    rows += [(doc_id, None, 20), (doc_id, None, 20), (doc_id, "!", 21), (doc_id, "!", 21)]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, `a.b` int"))
+    assert got.columns == ["doc_id", "text", "a.b"]
+    assert sorted(r["a.b"] for r in got.collect()) == [*range(6), *range(10, 16), 20, 20, 21, 21]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

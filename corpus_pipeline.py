@@ -12,16 +12,12 @@ from contagraph.llm.line_dedup import line_dedup
 from contagraph.llm.mixing import mix
 from contagraph.llm.sentencepiece_bpe import encode_decode
 
-#: A document stays if its best language has at least this share.
-SURE = 0.6
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is found with a share of SURE or more; the model learns from the stage's own rows."""
+    """Rows whose language is found, however short; the model learns from the stage's own rows."""
     names = docs.columns
     found = identify(docs, train(training_rows(docs)))
-    pred, sure = found.columns[-2:]
-    return found.where((F.col(pred) != UNKNOWN) & (F.col(sure) >= SURE)).select(*names)
+    return found.where(F.col(found.columns[-2]) != UNKNOWN).select(*names)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,6 +288,18 @@ def test_keep_one_keeps_the_rows_that_stay(spark, doc_id):
     assert sorted(r["a.b"] for r in got.collect()) == [*range(6), *range(10, 16), 20, 20, 21, 21]
 
 
+def test_language_stage_keeps_unsure_rows(spark):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(random.Random(i).choices(w, k=20)), lang) for lang, w in (("x", ["alpha", "beta", "gamma"]), ("y", ["uno", "dos", "tres"])) for i in range(20)]
+    rows += [(100 + i, w, "x") for i, w in enumerate(["a", "o", "t", "e", "m", "zz", "12 !"])]
+    asked = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.identify(asked, language_id.train(language_id.training_rows(asked))).collect()
+    known = [r["doc_id"] for r in found if r["lang_pred"] != "und"]
+    assert any(r["score"] < 0.6 for r in found if r["lang_pred"] != "und") and 106 not in known
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, asked, "").collect()) == sorted(known)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

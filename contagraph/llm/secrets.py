@@ -44,22 +44,27 @@ AGAINST = ("sha", "md5", "commit", "checksum", "digest", "integrity", "uuid", "g
 PATHS = ("test", "example", "sample", "doc", "fixture", "mock", "lock", "vendor")
 
 _RUN = re.compile(r"[A-Za-z0-9_+/=\-]{16,}").finditer
-_VALUE = re.compile(r"[=:] {0,3}[\"']?([^\s\"',;]{8,128})").finditer
+_VALUE = re.compile(r"[=:] {0,3}[\"']?([^\s\"',;]{8,})").finditer
 _DIGIT = re.compile(r"[0-9]").search
 _HEX = re.compile(r"[0-9a-fA-F]+").fullmatch
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Start and end of each candidate: runs of 16 or more key characters with a digit, and values assigned after a word for a secret."""
+    """Start and end of each candidate: runs of 16 or more key characters, and values assigned after a word for a secret.
+
+    A value gives way to runs with a digit, and goes before those without.
+    """
     text = text or ""
-    found = [m.span() for m in _RUN(text) if _DIGIT(text, *m.span())]
+    runs = [m.span() for m in _RUN(text)]
+    found = [r for r in runs if _DIGIT(text, *r)]
+    values = []
     if "=" in text or ":" in text:
-        taken = [(a, b) for a, b in found]
         for m in _VALUE(text):
             a, b = m.span(1)
-            if any(w in text[max(0, m.start() - 24) : m.start()].lower() for w in FOR) and not any(x < b and a < y for x, y in taken):
-                found.append((a, b))
-    return sorted(found)
+            if any(w in text[max(0, m.start() - 24) : m.start()].lower() for w in FOR) and not any(x < b and a < y for x, y in found):
+                values.append((a, b))
+    plain = [(a, b) for a, b in runs if not _DIGIT(text, a, b) and not any(x < b and a < y for x, y in values)]
+    return sorted(found + values + plain)
 
 
 def _transitions() -> dict[str, float]:
@@ -164,6 +169,14 @@ def example_findings(n: int = 4000, seed: int = 11) -> pd.DataFrame:
                 left = f"{text()} {rng.choice(['token', 'secret', 'password'])} = {quote}"
             path = f"{word()}/{word()}.py" if rng.random() < 0.7 else f"{rng.choice(['tests', 'docs', 'example'])}/{word()}.lock"
         out.append((value, left, f"{quote} {text()}", path, int(good)))
+    for _ in range(n // 4):  # without digits: keys, often with no word for a secret nearby, and words, rules and paths
+        good, shape, quote = rng.random() < 0.5, rng.integers(0, 4), str(rng.choice(['"', "'", ""]))
+        if good:
+            value = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[: 52 if shape else 26]), int(rng.integers(20, 65))))
+        else:
+            value = [str(rng.choice(list("-_=+/"))) * int(rng.integers(16, 80)), "".join(word().capitalize() for _ in range(5)), str(rng.choice(list("-_/"))).join(word() for _ in range(4)), "".join(word() for _ in range(4))][shape]
+        left = f"{text()} {rng.choice(['token', 'secret', 'password', word(), word(), word()])}{rng.choice([' = ', '=', ': ', ' '])}{quote}"
+        out.append((value, left, f"{quote} {text()}", f"{word()}/{word()}.py", int(good)))
     return pd.DataFrame(out, columns=["value", "left", "right", "path", "label"])
 
 

@@ -201,6 +201,18 @@ def test_secrets(spark):
     assert got[1, 11, 40] and not got[4, 5, 16] and not got[5, 7, 40] and len(got) == 3
 
 
+def test_secrets_long_and_without_digits():
+    r = random.Random(4)
+    long, key = "!".join("".join(r.choices("abcdefgh", k=9)) for _ in range(40)), "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40))
+    assert secrets.candidates(f"token={long} end") == [(6, 6 + len(long))] and len(long) > 128
+    assert secrets.candidates(f"see {key} there") == [(4, 44)]
+    assert secrets.candidates("password: qwertyuiopasdfghjkl!x end") == [(10, 31)]
+    forest = secrets.fit(secrets.example_findings(1500))
+    plain = ["documentation_management", "-" * 40, "internationalization", "state-of-the-art-things", "src/main/resources/templates"]
+    x = np.array([secrets.features(v, "see ", " there", "a") for v in [key, *plain]])
+    assert list(forest.predict(x) >= secrets.KEEP) == [True] + [False] * len(plain)
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(4)
     tune = rng.uniform(-0.5, 0.5, 80)

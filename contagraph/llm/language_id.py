@@ -1,4 +1,8 @@
-"""Language identification, word first: log frequencies of known words, else of ever shorter character n-grams."""
+"""Language identification, word first: log frequencies of known words, else of ever shorter character n-grams.
+
+The model is arrays: sorted 64-bit hashes of all words and n-grams of the sample, and for each a row of log
+frequencies by language. A worker keeps the rows of the words it met last; words it meets anew are looked up together.
+"""
 
 from __future__ import annotations
 
@@ -8,79 +12,169 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contagraph.llm.common import col, fold, fresh, stash, table
 
-#: Bounds of the fit: about so many documents a language, and so many words and n-grams in all.
-SAMPLE, WORDS, GRAMS = 1500, 150_000, 60_000
-MIN_WORD, MIN_GRAM, ORDERS = 2, 3, (4, 3, 2, 1)
-UNKNOWN, CACHE = "und", 300_000
+#: The fit reads about so many documents a language; that alone bounds the model.
+SAMPLE = 1500
+ORDERS = (4, 3, 2, 1)
+#: Tables of up to so many labels are broadcast; larger ones are joined by a salted key, with the same result.
+BROADCAST_LABELS, SALTS = 50_000, 64
+UNKNOWN = "und"
+#: A worker keeps the rows of so many words, and looks so many words of texts up at once. Neither changes a result.
+CACHE, TOGETHER = 100_000, 50_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def _points(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n code points."""
+    h = np.full(max(0, len(points) - n + 1), n, np.uint64)
+    for k in range(n):
+        h = (h ^ points[k : k + len(h)]) * _ODD[k]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class _Table:
+    """Sorted keys, and a row of log frequencies for each."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Equal keys, if any, add up."""
+        self.keys, at = np.unique(keys, return_inverse=True)
+        n = np.zeros((len(self.keys), counts.shape[1]))
+        np.add.at(n, at, counts)
+        self.rows = np.log((n + 0.5) / (n.sum(0) + 0.5 * (len(n) + 1))).astype(np.float32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and which of them are known."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
 
 class WordFirstModel:
-    """languages, and a row of log probabilities by language for each known word and n-gram."""
+    """languages, and the tables of words and n-grams."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> None:
+    def __init__(self, languages: list[str], words: _Table, grams: _Table) -> None:
         self.languages, self.words, self.grams = languages, words, grams
         self.reset()
 
-    def reset(self) -> None:
-        self.rows = np.zeros((CACHE + 1, len(self.languages)))
-        self.cache = _Rows(self)
+    def __reduce__(self):
+        return WordFirstModel, (self.languages, self.words, self.grams)
 
-    def vector(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
-        padded = f"^{word}$"
+    def reset(self) -> None:
+        self.rows = np.zeros((CACHE + TOGETHER, len(self.languages)))
+        self.slots, self.new = _Slots(self), []
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own if it is known, else the mean of its longest known n-grams; zeros without any."""
+        at, known = self.words.find(_word_hashes(words))
+        out = np.zeros((len(words), len(self.languages)))
+        out[known] = self.words.rows[at[known]]
+        left = np.flatnonzero(~known)
         for n in ORDERS:
-            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
-            if found:
-                return np.mean(found, 0)
-        return np.zeros(len(self.languages))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORDS((text or "").lower())
-        if not self.languages or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            if len(self.cache) + len(part) > CACHE:
-                self.reset()
-            total += self.rows[np.fromiter(map(self.cache.__getitem__, part), np.int64, len(part))].sum(0)
+            if not len(left):
+                break
+            padded = [f"^{words[i]}$" for i in left]
+            size = np.array([len(w) for w in padded])
+            owner, last = np.repeat(np.arange(len(left)), size), np.repeat(np.cumsum(size), size)
+            h = _gram_hashes(_points(padded), n)
+            inside = np.flatnonzero(np.arange(len(h)) + n <= last[: len(h)])
+            at, known = self.grams.find(h[inside])
+            owner = owner[inside[known]]
+            count = np.bincount(owner, minlength=len(left))
+            for k in range(len(self.languages)):
+                out[left, k] = np.bincount(owner, self.grams.rows[at[known], k], len(left)) / np.maximum(count, 1)
+            left = left[count == 0]
+        return out
+
+    def _totals(self, texts: list[list[str]]) -> np.ndarray:
+        """Sums of the words' rows; at most TOGETHER words in all. A text's sum doesn't depend on the others."""
+        size = np.array([len(t) for t in texts], np.int64)
+        if len(self.slots) > CACHE:
+            self.reset()
+        at = np.fromiter((self.slots[w] for t in texts for w in t), np.int64, size.sum())
+        if self.new:
+            self.rows[len(self.slots) - len(self.new) : len(self.slots)] = self.vectors(self.new)
+            self.new = []
+        out = np.zeros((len(texts), len(self.languages)))
+        if len(at):
+            out[size > 0] = np.add.reduceat(self.rows[at], (np.cumsum(size) - size)[size > 0])
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        held: list[list[str]] = []
+        size = 0
+
+        def settle() -> None:
+            for words, total in zip(held, self._totals(held)):
+                out.append(self._answer(total) if words else (UNKNOWN, 0.0))
+            held.clear()
+
+        for t in texts:
+            words = _WORDS((t or "").lower())
+            if not self.languages or not any(c.isalpha() for w in words for c in w):
+                words = []
+            if size + len(words) > TOGETHER:
+                settle()
+                size = 0
+            if len(words) > TOGETHER:
+                parts = [self._totals([words[i : i + TOGETHER]])[0] for i in range(0, len(words), TOGETHER)]
+                out.append(self._answer(np.sum(parts, 0)))
+                continue
+            held.append(words)
+            size += len(words)
+        settle()
+        return out
+
+    def _answer(self, total: np.ndarray) -> tuple[str, float]:
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
+
 
-class _Rows(dict):
+class _Slots(dict):
     def __init__(self, model: WordFirstModel) -> None:
-        self.model = model
+        self.new = model
 
     def __missing__(self, word: str) -> int:
-        at = len(self)
-        self.model.rows[at] = self.model.vector(word)
-        self[word] = at
+        self.new.new.append(word)
+        self[word] = at = len(self)
         return at
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> WordFirstModel:
     """Fit on about `sample` documents of each language, chosen by a hash of id and text; all of them where fewer.
 
-    Rows with null text or lang are left out. An empty table gives a model without languages, which says `und`.
+    Every word and n-gram of the sample is in the model, with a number for each language. Rows with null text or lang are
+    left out. Languages are data: labels may differ in case alone or be any text. An empty table gives a model without languages, which says `und`.
     """
     rows = labelled.select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.xxhash64(col(doc_id), F.length(col(text))).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return WordFirstModel([], {}, {})
-    limit = F.lit(0)
-    for name, n in sizes.items():
-        limit = F.when(F.col("lang") == name, F.lit(int(min(1.0, sample / n) * 1_000_000))).otherwise(limit)
-    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < limit).select("lang", "text")
+    limits = stash(rows.groupBy("lang").agg((F.least(F.lit(1.0), sample / F.count("*")) * 1_000_000).cast("long").alias("limit")), "lang-limits")
+    languages = sorted(r["lang"] for r in limits.select("lang").collect())
+    if len(languages) <= BROADCAST_LABELS:
+        joined = rows.join(F.broadcast(limits), "lang")
+    else:  # dirty labels: the texts of a frequent one go to SALTS tasks
+        salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.shiftright("h", 20), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
+    chosen = joined.where(F.pmod("h", F.lit(1_000_000)) < F.col("limit")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -97,32 +191,38 @@ def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
             for kind, x in ((0, found), (1, grams)):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array([kind] * len(x), pa.int32()), pa.array(list(x), pa.string()), pa.array(x.values(), pa.int64())], names=["lang", "kind", "item", "n"])
 
-    counted = chosen.mapInArrow(run, "lang string, kind int, item string, n long").groupBy("kind", "item").pivot("lang", languages).sum("n").na.fill(0)
-    counted = stash(counted.withColumn("all", sum((col(name) for name in languages[1:]), col(languages[0]))), "lang-counts")
-    tables = []
-    for kind, least, most in ((0, MIN_WORD, WORDS), (1, MIN_GRAM, GRAMS)):
-        top = counted.where((F.col("kind") == kind) & (F.col("all") >= least)).orderBy(F.desc("all"), "item").limit(most).toArrow().to_pandas()
-        n = top[languages].to_numpy(float)
-        share = np.log((n + 0.5) / (n.sum(0) + 0.5 * (len(n) + 1)))
-        tables.append(dict(zip(top["item"], share)))
+    counted = stash(chosen.mapInArrow(run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "lang-counts")
+    place, tables = {name: i for i, name in enumerate(languages)}, []
+    for kind in (0, 1):
+        got = counted.where(F.col("kind") == kind).select("lang", "item", "n").toArrow().combine_chunks()
+        items = got["item"].combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
+        names = items.dictionary.to_pylist()
+        n = np.zeros((len(names), len(languages)))
+        n[items.indices.to_numpy(zero_copy_only=False).astype(np.int64), [place[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
+        keys = _word_hashes(names) if kind == 0 else np.array([_gram_hashes(_points([g]), len(g))[0] for g in names], np.uint64)
+        tables.append(_Table(keys, n))
     return WordFirstModel(languages, *tables)
 
 
 def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (the best language's share, 0 to 1).
 
-    Null text and text without a letter give `und` and 0. Whole texts are read; equal texts get equal answers. Existing
-    columns of these names are kept; ours then get an underscore. The model is bounded by WORDS and GRAMS.
+    Null text and text without a letter give `und` and 0; ties go to the language first by code point. Whole texts are
+    read, however long; equal texts get equal answers; an empty table stays empty. Existing columns of these names are
+    kept; ours then get an underscore.
     """
     pred, sure = fresh(docs, "lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names, place = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WordFirstModel(*shared.value)
-        for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, pred, sure])
+        own = shared.value
+        try:
+            for batch in batches:
+                found = [x for i in range(0, batch.num_rows, 256) for x in own.predict_all(batch.column(place).slice(i, 256).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, pred, sure])
+        finally:
+            own.reset()  # the worker may live on
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(sure, T.DoubleType())]))
 

@@ -305,6 +305,7 @@ def test_language_stage_keeps_unsure_rows(spark):
 
     rows = [(i, " ".join(random.Random(i).choices(w, k=20)), lang) for lang, w in (("x", ["alpha", "beta", "gamma"]), ("y", ["uno", "dos", "tres"])) for i in range(20)]
     rows += [(100 + i, w, "x") for i, w in enumerate(["a", "o", "t", "e", "m", "zz", "12 !"])]
+    rows += [(122, "жж", "x")]  # held out, and in no learnt letter
     asked = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = language_id.identify(asked, language_id.train(language_id.training_rows(asked))).collect()
     known = [r["doc_id"] for r in found if r["lang_pred"] != "und"]

@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from contagraph.llm.common import col, fresh, table
 
 SPACE = "▁"
-CACHE, PAIRS, LONGEST_KEPT = 400_000, 600_000, 48
+#: A worker keeps 2 * CACHE chunks and PAIRS pairs of pieces at most, and encodes ROWS texts at once. None changes a result.
+CACHE, PAIRS, LONGEST_KEPT, ROWS = 100_000, 300_000, 48, 1000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -116,6 +117,11 @@ class PieceModel:
         self.shown, self.byte_of = shown, {i: b for b, i in self.bytes_at.items()}
         self.high = frozenset(i for b, i in self.bytes_at.items() if b > 127)
 
+    def forget(self) -> None:
+        """Drop what is kept to save time: a worker lives on after its task."""
+        for kept in (self.cache, self.cache.old, self.words, self.words.old, self.pairs):
+            kept.clear()
+
     def merge(self, text: str) -> list[str]:
         """Merging itself: join the neighbours whose piece scores best, the leftmost first, until none has a piece."""
         parts, get, none = list(text), self.score.get, float("-inf")
@@ -268,12 +274,17 @@ def encode_decode(docs: DataFrame, model_file: str | None = None, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
-        for batch in batches:
-            coded = [model.encode(t.as_py() or "") for t in batch.column(place)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(map(model.decode, coded), pa.string())],
-                names=[*names, n_tokens, ids, decoded],
-            )
+        try:
+            for whole in batches:
+                for i in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(i, ROWS)
+                    coded = [model.encode(t.as_py() or "") for t in batch.column(place)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns, pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(map(model.decode, coded), pa.string())],
+                        names=[*names, n_tokens, ids, decoded],
+                    )
+        finally:
+            model.forget()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(n_tokens, T.LongType()), T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
     return docs.mapInArrow(run, schema)

@@ -20,9 +20,10 @@ def compatibility(percentile: Column) -> Column:
 
 
 def scenario_label(raw: Column) -> Column:
-    """The canonical label of a raw one; null if it is none."""
-    clean = F.lower(F.trim(raw))
-    return F.when(clean.rlike(r"^(ad\([0-9]+\)|ca\([0-9]+,[0-9]+\))$"), clean)
+    """The canonical label of a raw one, without blanks around it and zeros before its numbers; null if it is none."""
+    clean = F.lower(F.regexp_replace(raw, r"(?U)\A\s+|\s+\z", ""))
+    short = F.regexp_replace(clean, r"([(,])0+(?=[0-9])", "$1")
+    return F.when(clean.rlike(r"\A(ad\([0-9]+\)|ca\([0-9]+,[0-9]+\))\z"), short)
 
 
 def days_between(later: Column, earlier: Column) -> Column:

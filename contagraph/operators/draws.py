@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.exceptions import ConfigurationError
+from contagraph.exceptions import ConfigurationError, SimulationError
 from contagraph.functions.profiles import FromInfectiousness
 from contagraph.operators.scenarios import Scenario, scenario_frame
 
@@ -17,6 +17,14 @@ BLOCK = 1000
 DRAWS = "ord int, label string, draw_id long, time_draw double, branch_draw double, genetic_draw double"
 
 
+def mutation_process(name: str) -> str:
+    """The name in canonical form."""
+    clean = name.strip().lower() if isinstance(name, str) else name
+    if clean not in ("deterministic", "stochastic"):
+        raise ConfigurationError("mutation_process must be deterministic or stochastic")
+    return clean
+
+
 def scenario_draws(profile, scenario: Scenario, n: int, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Time between the two samplings (j's minus i's) and days along the branch between them, n times.
 
@@ -36,8 +44,7 @@ def scenario_draws(profile, scenario: Scenario, n: int, rng: np.random.Generator
 
 def genetic_draws(profile, branch: np.ndarray, process: str, rng: np.random.Generator | None = None, counts: np.random.Generator | None = None) -> np.ndarray:
     """Mutations along the branch, with a clock rate for each draw: expected, or Poisson."""
-    if process not in ("deterministic", "stochastic"):
-        raise ConfigurationError("mutation_process must be deterministic or stochastic")
+    process = mutation_process(process)
     rates = profile.sample_clock_rate(len(branch), **({} if rng is None else {"rng": rng}))
     expected = branch * rates
     return expected if process == "deterministic" else (counts or rng or np.random.default_rng()).poisson(expected)
@@ -45,8 +52,7 @@ def genetic_draws(profile, branch: np.ndarray, process: str, rng: np.random.Gene
 
 def draw_frame(spark: SparkSession, profile: FromInfectiousness, depth: int, n: int, process: str = "stochastic", seed: int = 0, mutation_seed: int | None = None) -> DataFrame:
     """n draws of every scenario up to `depth`: rows of (scenario, block) are seeded by both, then drawn with NumPy."""
-    if process not in ("deterministic", "stochastic"):
-        raise ConfigurationError("mutation_process must be deterministic or stochastic")
+    process = mutation_process(process)
     mutation_seed = seed if mutation_seed is None else mutation_seed
     profile.grid()
 
@@ -56,8 +62,12 @@ def draw_frame(spark: SparkSession, profile: FromInfectiousness, depth: int, n:
                 size = min(BLOCK, n - r.block * BLOCK)
                 rng = np.random.default_rng([seed, r.ord, r.block])
                 counts = np.random.default_rng([mutation_seed, r.ord, r.block, 1])
-                time, branch = scenario_draws(profile, Scenario.parse(r.label), size, rng)
-                yield pd.DataFrame({"ord": r.ord, "label": r.label, "draw_id": r.block * BLOCK + np.arange(size), "time_draw": time, "branch_draw": branch, "genetic_draw": genetic_draws(profile, branch, process, rng, counts).astype(float)})
+                try:
+                    time, branch = scenario_draws(profile, Scenario.parse(r.label), size, rng)
+                    genetic = np.asarray(genetic_draws(profile, branch, process, rng, counts), float)
+                except Exception as e:
+                    raise SimulationError(f"the draws of scenario {r.label} failed: {e}") from e
+                yield pd.DataFrame({"ord": r.ord, "label": r.label, "draw_id": r.block * BLOCK + np.arange(size), "time_draw": time, "branch_draw": branch, "genetic_draw": genetic})
 
     blocks = spark.range(-(-n // BLOCK)).select(F.col("id").alias("block"))
     keys = scenario_frame(spark, depth).crossJoin(blocks)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.exceptions import ScenarioError
+from contagraph.exceptions import ConfigurationError, ScenarioError
 
 _LABEL = re.compile(r"ad\(([0-9]+)\)|ca\(([0-9]+),([0-9]+)\)")
 
@@ -24,6 +24,8 @@ class Scenario:
     branch_to_j: int | None = None
 
     def __post_init__(self) -> None:
+        if isinstance(self.kind, str):
+            object.__setattr__(self, "kind", self.kind.strip().lower())
         counts = {"ad": (self.intermediates,), "ca": (self.branch_to_i, self.branch_to_j)}.get(self.kind)
         others = (self.branch_to_i, self.branch_to_j) if self.kind == "ad" else (self.intermediates,)
         if counts is None or any(isinstance(c, bool) or not isinstance(c, int) or c < 0 for c in counts) or any(c is not None for c in others):
@@ -78,7 +80,7 @@ def resolve_targets(target: str | Scenario | Iterable[str | Scenario], available
     values = [target] if isinstance(target, (str, Scenario)) else list(target)
     wanted = {Scenario.parse(v).label() for v in values}
     if not wanted:
-        raise ScenarioError("a target needs a scenario")
+        raise ConfigurationError("a target needs a scenario")
     if missing := wanted.difference(available):
         raise ScenarioError(f"not among the scenarios: {', '.join(sorted(missing))}")
     return tuple(label for label in available if label in wanted)

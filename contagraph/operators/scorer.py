@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 
@@ -16,50 +18,96 @@ from contagraph.exceptions import ConfigurationError, ScenarioError, SimulationE
 from contagraph.functions.columns import compatibility, known
 from contagraph.functions.profiles import FromInfectiousness
 from contagraph.operators.draws import draw_frame
+from contagraph.operators.draws import mutation_process as canonical_process
 from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolve_targets
 from contagraph.plans.shared import materialised
 
-#: Draws of up to so many rows are sorted and sent to all tasks (16 bytes a row); larger ones are merged by windows.
-BROADCAST_DRAWS, EDGES = 4_000_000, 64
+#: Draws of up to so many rows are sorted and sent to all tasks (16 bytes a row); larger ones are looked up by joins, with
+#: the same results. EDGES is the most ranges of values that an axis is cut into.
+BROADCAST_DRAWS, EDGES = 4_000_000, 1024
 TIME, GENETIC = "sample_time_difference", "genetic_distance"
 AXES = (("time", TIME, "time_draw"), ("genetic", GENETIC, "genetic_draw"))
 
 
+class EcdfTable:
+    """The distribution functions of one column of the draws, by label, in ranges of values.
+
+    Equal draws are counted first, so a value that most draws share is one entry. The ranges are cut at quantiles of the
+    distinct values, about as many as entries in each. frame has a row for each label and range, empty ones too: label,
+    part, below (the label's draws in lower ranges), n (all of its draws), values and cums (sorted values of the range,
+    and how many of the range's draws are no larger).
+    """
+
+    def __init__(self, draws: DataFrame, value: str, label: str = "label", edges: int = EDGES) -> None:
+        counts = materialised(draws.groupBy(F.col(label).alias("label"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "ecdf-counts")
+        size = counts.where(~F.isnan("v")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
+        parts = int(min(edges, max(1.0, math.sqrt(size["n"] / max(1, size["labels"])))))
+        cuts = counts.where(~F.isnan("v")).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+        self.cuts = sorted({float(x) for x in cuts or []})
+        placed = counts.withColumn("part", self.part(F.col("v")))
+        cum = F.sum("c").over(Window.partitionBy("label", "part").orderBy("v"))
+        rows = placed.withColumn("e", F.struct("v", cum.alias("cum"))).groupBy("label", "part").agg(F.sum("c").alias("inside"), F.sort_array(F.collect_list("e")).alias("e"))
+        rows = materialised(rows.select("label", "part", "inside", F.transform("e", lambda e: e["v"]).alias("values"), F.transform("e", lambda e: e["cum"]).alias("cums")), "ecdf-parts")
+        # from here on at most `edges` rows a label
+        every = rows.groupBy("label").agg(F.sum("inside").alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(self.cuts)))))
+        below = F.sum("inside").over(Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        held = every.join(rows, ["label", "part"], "left").select("label", "part", F.coalesce(below, F.lit(0)).alias("below"), "n", F.coalesce("values", F.array().cast("array<double>")).alias("values"), F.coalesce("cums", F.array().cast("array<bigint>")).alias("cums"))
+        self.frame = materialised(held, "ecdf")
+
+    def part(self, value: Column) -> Column:
+        """The range that a value lies in."""
+        if not self.cuts:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*map(F.lit, self.cuts)), lambda e: e < value))
+
+    def rows(self) -> DataFrame:
+        """label, value, cum_count, n: one row for each distinct value."""
+        each = self.frame.select("label", "below", "n", F.explode(F.arrays_zip("values", "cums")).alias("e"))
+        return each.select("label", F.col("e.values").alias("value"), (F.col("below") + F.col("e.cums")).alias("cum_count"), "n")
+
+    def percentile(self, labelled: DataFrame, value: str, out: str) -> DataFrame:
+        """labelled (label, value, ...) with the share of the label's draws that are no larger, as `out`; for streams too.
+
+        NaN and null have percentile 0. Rows of a label without draws go.
+        """
+        x = known(F.col(value))
+        table = self.frame.select(F.col("label").alias("ecdf_label"), F.col("part").alias("ecdf_part"), F.struct("below", "n", "values", "cums").alias("ecdf_row"))
+        both = labelled.join(table, (F.col("label") == F.col("ecdf_label")) & (self.part(x) == F.col("ecdf_part")))
+        return both.select(*[F.col(c) for c in labelled.columns], _share(F.col("ecdf_row"), x).alias(out))
+
+
+def _share(row: Column, x: Column) -> Column:
+    """The percentile of x from a row of an EcdfTable."""
+    inside = F.size(F.filter(row["values"], lambda v: v <= x))
+    count = row["below"] + F.when(inside > 0, F.get(row["cums"], inside - 1)).otherwise(0)
+    return F.when(F.isnan(x), 0.0).otherwise(count / row["n"])
+
+
 def ecdf(draws: DataFrame, value: str, label: str = "label") -> DataFrame:
     """label, value, cum_count, n: one row for each distinct value."""
-    counts = draws.groupBy(label, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(label).orderBy(value)
-    return counts.select(F.col(label).alias("label"), F.col(value).alias("value"), F.sum("c").over(order).alias("cum_count"), F.sum("c").over(Window.partitionBy(label)).alias("n"))
+    return EcdfTable(draws, value, label).rows()
 
 
-def percentiles_by_window(obs: DataFrame, draws: DataFrame, column: str, value: str) -> DataFrame:
-    """obs rows (with `label`) and percentile: draws and observations in one order, in ranges of values.
+def percentiles(obs: DataFrame, draws: DataFrame | EcdfTable, column: str, value: str) -> DataFrame:
+    """obs rows (with `label`) and percentile; 0 for NaN and null.
 
-    Ranges are cut at EDGES quantiles of the draws, so a label's rows spread over tasks; a table of at most
-    labels * (EDGES + 1) rows has what lies below each range. NaN has all draws below it.
+    The ranges' table is looked up once for each label and distinct value of obs, so a value that many rows share costs
+    no more than another; rows then fetch theirs by an equi-join whose other side is written first, so that adaptive
+    execution broadcasts it or splits a hot value.
     """
-    edges = draws.agg(F.percentile_approx(value, [i / EDGES for i in range(1, EDGES)], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
-    part = lambda x: F.size(F.filter(cuts, lambda e: e < x))
-    d = draws.select("label", F.col(value).cast("double").alias("v"), part(F.col(value).cast("double")).alias("part"), F.lit(1).alias("is_draw"), F.lit(None).cast(obs.schema).alias("row"))
-    o = obs.select("label", known(F.col(column)).alias("v"), part(known(F.col(column))).alias("part"), F.lit(0).alias("is_draw"), F.struct(*obs.columns).cast(obs.schema).alias("row"))
-    sizes = d.groupBy("label", "part").agg(F.count("*").alias("c"))
-    below = sizes.select(F.col("label").alias("l"), F.col("part").alias("lower"), "c")
-    total = sizes.groupBy("label").agg(F.sum("c").alias("n"))
-    merged = d.unionByName(o)
-    inside = F.sum("is_draw").over(Window.partitionBy("label", "part").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = merged.withColumn("inside", inside).where("is_draw = 0")
-    under = sizes.select("label").distinct().crossJoin(F.broadcast(draws.sparkSession.range(EDGES + 1).select(F.col("id").cast("int").alias("part"))))
-    under = under.join(below, (F.col("label") == F.col("l")) & (F.col("lower") < F.col("part")), "left").groupBy("label", "part").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("under"))
-    found = counted.join(F.broadcast(under), ["label", "part"]).join(F.broadcast(total), "label")
-    return found.select("row.*", ((F.col("under") + F.col("inside")) / F.col("n")).alias("percentile"))
+    table = draws if isinstance(draws, EcdfTable) else EcdfTable(draws, value)
+    seen = obs.select(F.col("label"), known(F.col(column)).alias("ecdf_x")).distinct()
+    found = materialised(table.percentile(seen, "ecdf_x", "percentile").withColumnRenamed("label", "ecdf_l"), "percentiles")
+    both = obs.join(found, (F.col("label") == F.col("ecdf_l")) & (known(F.col(column)) == F.col("ecdf_x")))
+    return both.select(*[F.col(c) for c in obs.columns], "percentile")
 
 
 def percentiles_by_join(obs: DataFrame, draws: DataFrame, column: str, value: str) -> DataFrame:
     """The same by comparing every draw with every observation: for small tables and tests only."""
+    x = known(F.col(column))
     keyed = obs.withColumn("row", F.monotonically_increasing_id())
     both = keyed.join(draws.select(F.col("label").alias("l"), F.col(value).alias("v")), F.col("label") == F.col("l"))
-    hit = F.when(F.col("v") <= known(F.col(column)), 1.0).otherwise(0.0)
+    hit = F.when((F.col("v") <= x) & ~F.isnan(x), 1.0).otherwise(0.0)
     return both.groupBy("row", *obs.columns).agg(F.avg(hit).alias("percentile")).drop("row")
 
 
@@ -92,10 +140,10 @@ class PairResult:
     target: str | tuple[str, ...]
     target_labels: tuple[str, ...]
     target_compatibility: float
-    scenarios: dict[str, ScenarioScore]
+    scenario_scores: dict[str, ScenarioScore]
 
     def __getitem__(self, key: str):
-        return self.to_dict()[key] if key != "scenarios" else self.scenarios
+        return self.to_dict()[key]
 
     def __iter__(self) -> Iterator[str]:
         return iter(self.to_dict())
@@ -108,41 +156,44 @@ class PairResult:
 
     def to_dict(self) -> dict:
         target = list(self.target) if isinstance(self.target, tuple) else self.target
-        return {"target": target, "target_labels": list(self.target_labels), "target_compatibility": self.target_compatibility, "scenarios": {k: v.to_dict() for k, v in self.scenarios.items()}}
+        return {"target": target, "target_labels": list(self.target_labels), "target_compatibility": self.target_compatibility, "scenario_scores": {k: v.to_dict() for k, v in self.scenario_scores.items()}}
+
+
+def draw_counts(draws: DataFrame) -> DataFrame:
+    """label, n."""
+    return draws.groupBy("label").agg(F.count("*").alias("n"))
 
 
 class PairScorer:
-    """Scores of one set of target scenarios."""
+    """Scores of one set of target scenarios.
+
+    Draws of up to BROADCAST_DRAWS rows go to all tasks as sorted arrays; larger ones stay tables that observations join.
+    Both give the same results and errors; a column or SQL function of a score needs the former.
+    """
 
-    def __init__(self, draws: DataFrame, labels: tuple[str, ...]) -> None:
+    def __init__(self, draws: DataFrame, labels: tuple[str, ...], broadcast_draws: int | None = None) -> None:
         self.labels = labels
+        most = BROADCAST_DRAWS if broadcast_draws is None else broadcast_draws
         self.draws = draws.where(F.col("label").isin(*labels))
-        size = self.draws.count()
+        sizes = {r["label"]: r["n"] for r in draw_counts(self.draws).collect()}
+        if missing := [x for x in labels if x not in sizes]:
+            raise SimulationError(f"no draws for {', '.join(missing)}")
         self.sorted: list[tuple[str, np.ndarray, np.ndarray]] | None = None
-        if size <= BROADCAST_DRAWS:
+        self._tables: dict[str, EcdfTable] = {}
+        if sum(sizes.values()) <= most:
             held = self.draws.select("label", F.col("time_draw").cast("double"), F.col("genetic_draw").cast("double")).toArrow().to_pandas()
             by = dict(list(held.groupby("label")))
-            if missing := [x for x in labels if x not in by]:
-                raise SimulationError(f"no draws for {', '.join(missing)}")
             self.sorted = [(x, np.sort(by[x]["time_draw"].to_numpy()), np.sort(by[x]["genetic_draw"].to_numpy())) for x in labels]
 
-    def score_column(self, time: Column, genetic: Column) -> Column:
-        """The summed compatibility as a column, for batch and streaming frames; null and NaN score 0."""
-        if self.sorted is None:
-            raise ConfigurationError("these draws are too many for a column; use score()")
-        shared = self.sorted
+    def table(self, value: str) -> EcdfTable:
+        """The table of one axis, made at its first use."""
+        if value not in self._tables:
+            self._tables[value] = EcdfTable(self.draws, value)
+        return self._tables[value]
 
-        @F.pandas_udf("double")
-        def scored(t: pd.Series, g: pd.Series) -> pd.Series:
-            t, g = t.to_numpy(float), g.to_numpy(float)
-            total = np.zeros(len(t))
-            for _, times, distances in shared:
-                p = np.searchsorted(times, t, side="right") / len(times)
-                q = np.searchsorted(distances, g, side="right") / len(distances)
-                total += (1 - 2 * np.abs(p - 0.5)) * (1 - 2 * np.abs(q - 0.5))
-            return pd.Series(total)
-
-        return scored(known(time), known(genetic))
+    def score_column(self, time: Column, genetic: Column) -> Column:
+        """The summed compatibility as a column; null and NaN score 0."""
+        return score_function(self)(known(time), known(genetic))
 
     def breakdown(self, obs: DataFrame, time: str = TIME, genetic: str = GENETIC) -> DataFrame:
         """obs with label, both percentiles and compatibilities, and their product: a row for each scenario. NaN has percentile 0."""
@@ -150,11 +201,10 @@ class PairScorer:
         if clash := {c.lower() for c in obs.columns} & set(names):
             raise ConfigurationError(f"columns {sorted(clash)} are those of the result")
         if self.sorted is None:
-            labelled = obs.withColumn("label", F.explode(F.array(*map(F.lit, self.labels))))
-            one = percentiles_by_window(labelled, self.draws, time, "time_draw").withColumnRenamed("percentile", "time_percentile")
-            both = percentiles_by_window(one, self.draws, genetic, "genetic_draw").withColumnRenamed("percentile", "genetic_percentile")
-            for p, c in (("time_percentile", time), ("genetic_percentile", genetic)):
-                both = both.withColumn(p, F.when(F.isnan(known(F.col(c))), 0.0).otherwise(F.col(p)))
+            both = obs.withColumn("label", F.explode(F.array(*map(F.lit, self.labels))))
+            for p, c, value in (("time_percentile", time, "time_draw"), ("genetic_percentile", genetic, "genetic_draw")):
+                table = self.table(value)
+                both = table.percentile(both, c, p) if obs.isStreaming else percentiles(both, table, c, value).withColumnRenamed("percentile", p)
         else:
             shared, at = self.sorted, (obs.columns.index(time), obs.columns.index(genetic))
 
@@ -171,16 +221,51 @@ class PairScorer:
         return both.withColumn("compatibility", F.col("time_compatibility") * F.col("genetic_compatibility")).select(*obs.columns, *names)
 
     def score(self, obs: DataFrame, time: str = TIME, genetic: str = GENETIC, out: str = "score") -> DataFrame:
-        """obs with the sum of its compatibilities."""
+        """obs, a table or a stream, with the sum of its compatibilities; null and NaN score 0."""
         if self.sorted is not None:
             return obs.withColumn(out, self.score_column(F.col(time), F.col(genetic)))
-        keyed = materialised(obs.withColumn("scored_row", F.monotonically_increasing_id()), "scored")
-        sums = self.breakdown(keyed, time, genetic).groupBy("scored_row").agg(F.sum("compatibility").alias(out))
-        return keyed.drop(*([out] if out in obs.columns else [])).join(sums, "scored_row").drop("scored_row")
+        # each axis is one column of all labels' compatibilities, so rows stay whole and need no key
+        now = obs.drop(out) if out in obs.columns and out not in (time, genetic) else obs
+        names = list(now.columns)
+        for axis, column, value in (("scored_time", time, "time_draw"), ("scored_genetic", genetic, "genetic_draw")):
+            now = self._joined(now, column, self.table(value), axis)
+        total = F.aggregate(F.zip_with("scored_time", "scored_genetic", lambda p, q: p * q), F.lit(0.0), lambda acc, x: acc + x)
+        return now.select(*[F.col(c) for c in names if c != out], total.alias(out))
+
+    def _joined(self, obs: DataFrame, column: str, table: EcdfTable, out: str) -> DataFrame:
+        """obs with `out`, an array of compatibilities in the order of the labels."""
+        x = known(F.col(column))
+        if obs.isStreaming:  # a stream has no distinct values: its rows meet the table's ranges
+            wide = table.frame.groupBy("part").agg(*[F.max(F.when(F.col("label") == label, F.struct("below", "n", "values", "cums"))).alias(f"ecdf_{i}") for i, label in enumerate(self.labels)])
+            both = obs.join(wide.withColumnRenamed("part", "ecdf_part"), table.part(x) == F.col("ecdf_part"))
+            return both.select(*[F.col(c) for c in obs.columns], F.array(*[compatibility(_share(F.col(f"ecdf_{i}"), x)) for i in range(len(self.labels))]).alias(out))
+        seen = obs.select(x.alias("ecdf_x")).distinct().select("ecdf_x", F.posexplode(F.array(*map(F.lit, self.labels))).alias("i", "label"))
+        found = table.percentile(seen, "ecdf_x", "percentile").groupBy("ecdf_x").agg(F.sort_array(F.collect_list(F.struct("i", compatibility(F.col("percentile")).alias("c")))).alias("found"))
+        found = materialised(found.select("ecdf_x", F.transform("found", lambda s: s["c"]).alias(out)), "compatibilities")
+        return obs.join(found, x == F.col("ecdf_x")).drop("ecdf_x")
 
     __call__ = score
 
 
+def score_function(scorer: PairScorer):
+    """The score as a function of two columns, or to be registered for SQL; for draws that may go to all tasks only."""
+    if scorer.sorted is None:
+        raise ConfigurationError("a column or SQL function needs draws that may go to all tasks; score() takes tables and streams with any number")
+    shared = scorer.sorted
+
+    @F.pandas_udf("double")
+    def scored(t: pd.Series, g: pd.Series) -> pd.Series:
+        t, g = t.to_numpy(float), g.to_numpy(float)
+        total = np.zeros(len(t))
+        for _, times, distances in shared:
+            p = np.searchsorted(times, t, side="right") / len(times)
+            q = np.searchsorted(distances, g, side="right") / len(distances)
+            total += (1 - 2 * np.abs(p - 0.5)) * (1 - 2 * np.abs(q - 0.5))
+        return pd.Series(total)
+
+    return scored
+
+
 class LinkageModel:
     """Draws of all scenarios, made once and kept, and scores of pairs against them."""
 
@@ -188,8 +273,7 @@ class LinkageModel:
         for name, value, least in (("maximum_depth", maximum_depth, 0), ("mc_samples", mc_samples, 1)):
             if isinstance(value, bool) or not isinstance(value, int) or value < least:
                 raise ConfigurationError(f"{name} must be a whole number of {least} or more")
-        if mutation_process not in ("deterministic", "stochastic"):
-            raise ConfigurationError("mutation_process must be deterministic or stochastic")
+        mutation_process = canonical_process(mutation_process)
         self.spark, self.profile = spark, profile
         self.scenarios = enumerate_scenarios(maximum_depth)
         self.labels = [s.label() for s in self.scenarios]
@@ -200,8 +284,9 @@ class LinkageModel:
             own = profile.seed if seed is None else seed
             try:
                 draws = materialised(draw_frame(spark, profile, maximum_depth, mc_samples, mutation_process, profile.seed, own), "draws")
-            except Exception as e:
-                raise SimulationError(f"the draws of {', '.join(self.labels)} failed: {e}") from e
+            except Exception as e:  # the worker's error names the scenario
+                failed = re.search(r"the draws of scenario (ad|ca)\([0-9,]+\) failed: [^\n]*", str(e))
+                raise SimulationError(failed[0] if failed else f"the draws failed: {e}") from e
         self.draws = draws
         self._scorers: dict[tuple[str, ...], PairScorer] = {}
 
@@ -254,4 +339,4 @@ def compatibility_score(observed: float, simulated) -> tuple[float, float]:
     return p, compatibility_from_percentile(p)
 
 
-__all__ = ["LinkageModel", "PairScorer", "PairResult", "ScenarioScore", "ScenarioError", "ecdf", "percentile_score", "compatibility_from_percentile", "compatibility_score", "percentiles_by_join", "percentiles_by_window"]
+__all__ = ["LinkageModel", "PairScorer", "PairResult", "ScenarioScore", "ScenarioError", "EcdfTable", "ecdf", "percentile_score", "compatibility_from_percentile", "compatibility_score", "percentiles", "percentiles_by_join"]

@@ -1,12 +1,13 @@
 """Registered queries over the driver's tables, and the SQL that gives the same rows.
 
 The tables hold no pairs, draws or sequences, so these are derived from them: draws from `events` (label: event_type, time:
-value, genetic: k in props), observations from the distinct (shipping delay, quantity) of `lineitem`, trees from the keys
+value, genetic: k in props), observations from the (shipping delay, quantity) of every row of `lineitem`, trees from the keys
 of region, nation, supplier and customer, sequences from md5 digits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,20 +16,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contagraph.functions.columns import bases, compatibility, hamming, known, pack, scenario_label, unpack
+from contagraph.functions.gamma import gamma_cdf, gamma_pdf
 from contagraph.functions.parameters import NaturalHistory
-from contagraph.functions.profiles import FromInfectiousness, FromSymptomOnset
-from contagraph.operators.draws import draw_frame
+from contagraph.functions.profiles import FromInfectiousness, FromSymptomOnset, TransmissionProfile
+from contagraph.operators.draws import draw_frame, genetic_draws, scenario_draws
 from contagraph.operators.pairs import pair_case_table
-from contagraph.operators.scenarios import scenario_frame
-from contagraph.operators.scorer import GENETIC, TIME, PairScorer, ecdf, percentiles_by_window
-from contagraph.operators.sequences import distance_matrix, hamming_pairs, packed, simulate_sequences, wide_packed
-from contagraph.operators.trees import exact_sample, path_sums, related, roots, simulate_dates
+from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolve_targets, scenario_frame
+from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, compatibility_score, draw_counts, ecdf, percentiles
+from contagraph.operators.sequences import along_tree, changed_words, distance_matrix, hamming_pairs, packed, simulate_sequences
+from contagraph.operators.trees import draw_periods, exact_sample, in_degrees, path_sums, related, roots, simulate_dates
 from contagraph.plans.shared import materialised
 from contagraph.sources.fasta import fasta_records
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 LABELS = ("click", "error", "purchase", "signup", "view")
+_P = NaturalHistory()
 
 
 def query(sql: str | None = None):
@@ -55,11 +58,11 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity")
     days = F.datediff("l_shipdate", "o_orderdate").cast("double")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(days.alias(TIME), F.col("l_quantity").alias(GENETIC)).distinct()
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(days.alias(TIME), F.col("l_quantity").alias(GENETIC))
 
 
 _D = "d AS (SELECT event_type AS label, value AS time_draw, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS genetic_draw FROM events)"
-_O = """o AS (SELECT DISTINCT CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS DOUBLE) AS sample_time_difference, l_quantity AS genetic_distance
+_O = """o AS (SELECT row_number() OVER () AS r, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS DOUBLE) AS sample_time_difference, l_quantity AS genetic_distance
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
@@ -84,16 +87,26 @@ def scenario_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenario_frame(spark, 4)
 
 
-_RAW = "CASE n_nationkey % 5 WHEN 0 THEN ' AD(' || n_nationkey || ') ' WHEN 1 THEN 'ca(' || n_nationkey || ',' || n_regionkey || ')' WHEN 2 THEN 'ca(' || n_nationkey || ', 1)' WHEN 3 THEN 'HCA(0,0)' ELSE 'CA(' || n_regionkey || ')' END"
+_RAW = "CASE n_nationkey % 7 WHEN 0 THEN ' AD(' || n_nationkey || ') ' WHEN 1 THEN 'ca(' || n_nationkey || ',' || n_regionkey || ')' WHEN 2 THEN 'ca(' || n_nationkey || ', 1)' WHEN 3 THEN 'HCA(0,0)' WHEN 4 THEN chr(9) || 'ad(00' || n_nationkey || ')' || chr(10) WHEN 5 THEN ' Ca(0' || n_nationkey || ',000) ' || chr(13) ELSE 'CA(' || n_regionkey || ')' END"
 
 
-@query(f"""SELECT n_nationkey, raw, CASE WHEN regexp_full_match(lower(trim(raw)), 'ad\\([0-9]+\\)|ca\\([0-9]+,[0-9]+\\)') THEN lower(trim(raw)) END AS label
-FROM (SELECT n_nationkey, {_RAW} AS raw FROM nation)""")
+@query(f"""WITH s AS (SELECT n_nationkey, raw, lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')) AS s FROM (SELECT n_nationkey, {_RAW} AS raw FROM nation))
+SELECT n_nationkey, raw, CASE WHEN regexp_full_match(s, 'ad\\([0-9]+\\)') THEN 'ad(' || CAST(regexp_extract(s, '([0-9]+)', 1) AS BIGINT) || ')'
+WHEN regexp_full_match(s, 'ca\\([0-9]+,[0-9]+\\)') THEN 'ca(' || CAST(regexp_extract(s, '\\(([0-9]+),', 1) AS BIGINT) || ',' || CAST(regexp_extract(s, ',([0-9]+)\\)', 1) AS BIGINT) || ')' END AS label FROM s""")
 def scenario_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _table(spark, sf_dir, "nation").select("n_nationkey", F.expr(_RAW).alias("raw"))
     return raw.select("n_nationkey", "raw", scenario_label(F.col("raw")).alias("label"))
 
 
+@query("""WITH k AS (SELECT range AS k FROM range(30)), t AS (SELECT k, unnest([0, 1, 2]) AS j FROM k),
+l AS (SELECT DISTINCT k, CASE j WHEN 0 THEN 100 + (k % 3) * 10 + k % 2 ELSE k % 4 END AS o, CASE j WHEN 0 THEN 'ca(' || k % 3 || ',' || k % 2 || ')' ELSE 'ad(' || k % 4 || ')' END AS label FROM t)
+SELECT k, (row_number() OVER (PARTITION BY k ORDER BY o) - 1)::INTEGER AS ord, label FROM l""")
+def target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = [x.label() for x in enumerate_scenarios(4)]
+    found = [(k, i, label) for k in range(30) for i, label in enumerate(resolve_targets([f" CA({k % 3},{k % 2})", f"ad(0{k % 4})", Scenario("AD ", k % 4)], every))]
+    return spark.createDataFrame(found, "k long, ord int, label string")
+
+
 @query(f"""WITH {_D} SELECT label, time_draw AS value, CAST(sum(count(*)) OVER (PARTITION BY label ORDER BY time_draw) AS BIGINT) AS cum_count,
 CAST(sum(count(*)) OVER (PARTITION BY label) AS BIGINT) AS n FROM d GROUP BY label, time_draw""")
 def ecdf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +118,7 @@ SELECT x.sample_time_difference, x.genetic_distance, x.label, coalesce(t.p, 0.0)
 FROM x ASOF LEFT JOIN t ON x.label = t.label AND x.sample_time_difference >= t.v""")
 def ecdf_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = _observations(spark, sf_dir).withColumn("label", F.explode(F.array(*map(F.lit, LABELS))))
-    return percentiles_by_window(obs, _draws(spark, sf_dir), TIME, "time_draw")
+    return percentiles(obs, _draws(spark, sf_dir), TIME, "time_draw")
 
 
 @query(f"""{_HEAD}, obs AS (SELECT * FROM o), {_SCORED}
@@ -117,15 +130,15 @@ def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_HEAD}, obs AS (SELECT * FROM o), {_SCORED}
 SELECT sample_time_difference, genetic_distance, round(sum(time_compatibility * genetic_compatibility), 9) AS score
-FROM c WHERE label IN ('click', 'view') GROUP BY ALL""")
+FROM c WHERE label IN ('click', 'view') GROUP BY r, sample_time_difference, genetic_distance""")
 def score_target_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = PairScorer(_draws(spark, sf_dir), ("click", "view")).score(_observations(spark, sf_dir))
     return scored.withColumn("score", F.round("score", 9))
 
 
-@query(f"""{_HEAD}, obs AS (SELECT CASE WHEN sample_time_difference % 7 = 0 THEN 'NaN'::DOUBLE ELSE sample_time_difference END AS sample_time_difference, genetic_distance, sample_time_difference AS original FROM o), {_SCORED}
+@query(f"""{_HEAD}, obs AS (SELECT CASE WHEN sample_time_difference % 7 = 0 THEN 'NaN'::DOUBLE ELSE sample_time_difference END AS sample_time_difference, genetic_distance, r, sample_time_difference AS original FROM o), {_SCORED}
 SELECT original, genetic_distance, round(CASE WHEN isnan(any_value(sample_time_difference)) THEN 0 ELSE sum(time_compatibility * genetic_compatibility) END, 9) AS score
-FROM c WHERE label IN ('click', 'view') GROUP BY original, genetic_distance""")
+FROM c WHERE label IN ('click', 'view') GROUP BY r, original, genetic_distance""")
 def score_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = _observations(spark, sf_dir).withColumn("original", F.col(TIME)).withColumn(TIME, F.when(F.col(TIME) % 7 != 0, F.col(TIME)))
     scored = PairScorer(_draws(spark, sf_dir), ("click", "view")).score(obs)
@@ -139,20 +152,82 @@ def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PairScorer(_draws(spark, sf_dir), ("click", "view")).score(grid).withColumn("score", F.round("score", 9))
 
 
+@query(ORACLE_SQL["score_breakdown"])
+def score_breakdown_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the draws as tables that observations join."""
+    return PairScorer(_draws(spark, sf_dir), LABELS, broadcast_draws=0).breakdown(_observations(spark, sf_dir))
+
+
+@query(ORACLE_SQL["score_with_missing"])
+def score_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the draws as tables that observations join."""
+    obs = _observations(spark, sf_dir).withColumn("original", F.col(TIME)).withColumn(TIME, F.when(F.col(TIME) % 7 != 0, F.col(TIME)))
+    scored = PairScorer(_draws(spark, sf_dir), ("click", "view"), broadcast_draws=0).score(obs)
+    return scored.select("original", GENETIC, (F.round("score", 9) + 0.0).alias("score"))
+
+
+def _named_model(spark: SparkSession, sf_dir: str) -> LinkageModel:
+    """A model over draws of the user's own: clicks for ad(0), views for ca(0,0)."""
+    draws = _draws(spark, sf_dir).where(F.col("label").isin("click", "view")).withColumn("label", F.when(F.col("label") == "click", "ad(0)").otherwise("ca(0,0)"))
+    return LinkageModel(spark, FromInfectiousness(_P, rng_seed=1), maximum_depth=0, draws=draws)
+
+
+_NAMED = _D.replace("SELECT event_type AS label", "SELECT CASE event_type WHEN 'click' THEN 'ad(0)' ELSE 'ca(0,0)' END AS label").replace("FROM events", "FROM events WHERE event_type IN ('click', 'view')")
+
+
+@query(f"""WITH {_NAMED}, p AS (SELECT label, avg(CASE WHEN time_draw <= 120 THEN 1.0::DOUBLE ELSE 0 END) AS time_percentile, avg(CASE WHEN genetic_draw <= 30 THEN 1.0::DOUBLE ELSE 0 END) AS genetic_percentile FROM d GROUP BY label)
+SELECT label, round(time_percentile, 9) AS time_percentile, round(genetic_percentile, 9) AS genetic_percentile, round((1 - 2 * abs(time_percentile - 0.5)) * (1 - 2 * abs(genetic_percentile - 0.5)), 9) AS compatibility,
+round(sum((1 - 2 * abs(time_percentile - 0.5)) * (1 - 2 * abs(genetic_percentile - 0.5))) OVER (), 9) AS target_compatibility FROM p""")
+def score_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = _named_model(spark, sf_dir).score_pair(120.0, 30.0)
+    rows = [(label, round(s["time_percentile"], 9), round(s["genetic_percentile"], 9), round(s["compatibility"], 9), round(result["target_compatibility"], 9)) for label, s in result["scenario_scores"].items()]
+    return spark.createDataFrame(rows, "label string, time_percentile double, genetic_percentile double, compatibility double, target_compatibility double")
+
+
+@query(f"""WITH {_NAMED}, {_cdf('t', 'time_draw')}, {_cdf('g', 'genetic_draw')}, obs AS (SELECT a.range * 20.0::DOUBLE AS sample_time_difference, b.range * 5.0::DOUBLE AS genetic_distance FROM range(26) a, range(21) b), {_SCORED}
+SELECT sample_time_difference, genetic_distance, round(sum(time_compatibility * genetic_compatibility), 9) AS score FROM c WHERE label = 'ca(0,0)' GROUP BY ALL""")
+def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _named_model(spark, sf_dir).score_grid([20.0 * i for i in range(26)], [5.0 * i for i in range(21)], " CA(00,0) ")
+    return grid.withColumn("score", F.round("score", 9))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k FROM nation), d AS (SELECT k, (k * i + 3 * i) % 17 AS v FROM n, range(100) r(i)), p AS (SELECT k, avg(CASE WHEN v <= k % 11 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM d GROUP BY k)
+SELECT k, round(p, 9) AS percentile, round(1 - 2 * abs(p - 0.5), 9) AS compatibility FROM p""")
+def single_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [compatibility_score(k % 11, [(k * i + 3 * i) % 17 for i in range(100)]) for k in batch["k"].tolist()]
+            yield pd.DataFrame({"k": batch["k"], "percentile": [round(p, 9) for p, _ in found], "compatibility": [round(c, 9) for _, c in found]})
+
+    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k")).mapInPandas(run, "k long, percentile double, compatibility double")
+
+
+@query(f"WITH {_D} SELECT label, count(*)::BIGINT AS n FROM d GROUP BY label")
+def draw_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_counts(_draws(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT range AS i FROM range(3)), s AS (SELECT 'ad(' || i || ')' AS label, 0 AS f, i, 0 AS j FROM r UNION ALL SELECT 'ca(' || r.i || ',' || s.i || ')', 1, r.i, s.i FROM r, r s WHERE r.i + s.i <= 2)
+SELECT (row_number() OVER (ORDER BY f, i, j) - 1)::INTEGER AS ord, label, 2500::BIGINT AS n, 2500::BIGINT AS ids, true AS whole, true AS clipped FROM s""")
+def precomputed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for all draws of a model: so many of each scenario, whole mutation counts, no branch below 0."""
+    draws = draw_frame(spark, FromInfectiousness(_P, rng_seed=1), 2, 2500, seed=1)
+    whole = F.min((F.col("genetic_draw") == F.round("genetic_draw")) & (F.col("genetic_draw") >= 0)).alias("whole")
+    clipped = F.min((F.col("branch_draw") >= 0) & ((F.col("label").startswith("ca")) | (F.col("branch_draw") == F.greatest("time_draw", F.lit(0.0))))).alias("clipped")
+    return draws.groupBy("ord", "label").agg(F.count("*").alias("n"), F.count_distinct("draw_id").alias("ids"), whole, clipped)
+
+
 _GRID = "g AS (SELECT range AS k, range * 40.0::DOUBLE / 1023 AS x, exp(-0.37 * (range * 40.0::DOUBLE / 1023)) * 0.37 AS f FROM range(1024))"
 
 
-def _exponential_grid(spark: SparkSession) -> DataFrame:
-    x = F.col("id") * 40.0 / 1023
-    return spark.range(1024).select(F.col("id").alias("k"), x.alias("x"), (F.exp(-0.37 * x) * 0.37).alias("f"))
+class Exponential(TransmissionProfile):
+    """A profile of the user's own."""
+
+    def pdf(self, days) -> np.ndarray:
+        return np.exp(-0.37 * np.asarray(days, float)) * 0.37
 
 
-def _cumulative(grid: DataFrame) -> DataFrame:
-    order = Window.orderBy("k")
-    area = F.coalesce((F.col("x") - F.lag("x").over(order)) * (F.col("f") + F.lag("f").over(order)) / 2, F.lit(0.0))
-    total = grid.withColumn("area", area).withColumn("c", F.sum("area").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    total = total.withColumn("c", F.col("c") / F.max("c").over(Window.partitionBy()))
-    return total.select("k", "x", "f", F.max("c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cdf"))
+_EXPONENTIAL = Exponential(grid_min_days=0.0, grid_max_days=40.0, grid_points=1024, rng_seed=1)
 
 
 _CUM = f"""{_GRID}, a AS (SELECT *, coalesce((x - lag(x) OVER (ORDER BY k)) * (f + lag(f) OVER (ORDER BY k)) / 2, 0) AS area FROM g),
@@ -161,17 +236,24 @@ b AS (SELECT k, x, f, sum(area) OVER (ORDER BY k) / sum(area) OVER () AS cdf FRO
 
 @query(f"WITH {_CUM} SELECT k, round(x, 6) AS x, round(cdf, 6) AS cdf FROM b")
 def cumulative_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cumulative(_exponential_grid(spark)).select("k", F.round("x", 6).alias("x"), F.round("cdf", 6).alias("cdf"))
+    grid = _EXPONENTIAL.grid_frame(spark)
+    return grid.select(F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"), F.round("cdf", 6).alias("cdf"))
 
 
 @query(f"""WITH {_GRID}, s AS (SELECT x, f, lead(x) OVER (ORDER BY k) AS x2, lead(f) OVER (ORDER BY k) AS f2 FROM g)
 SELECT round(sum((x2 - x) * (x * f + x2 * f2) / 2) / sum((x2 - x) * (f + f2) / 2), 6) AS mean FROM s""")
 def profile_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.orderBy("k")
-    s = _exponential_grid(spark).withColumn("x2", F.lead("x").over(order)).withColumn("f2", F.lead("f").over(order))
-    width = F.col("x2") - F.col("x")
-    mass, moment = F.sum(width * (F.col("f") + F.col("f2")) / 2), F.sum(width * (F.col("x") * F.col("f") + F.col("x2") * F.col("f2")) / 2)
-    return s.agg(F.round(F.when(mass > 0, moment / mass).otherwise(float("nan")), 6).alias("mean"))
+    return spark.createDataFrame([(round(_EXPONENTIAL.mean(), 6),)], "mean double")
+
+
+@query(f"""WITH {_CUM}, q AS (SELECT c_custkey, c_acctbal / 100 AS days FROM customer), n AS (SELECT x, cdf, lead(x) OVER (ORDER BY k) AS x2, lead(cdf) OVER (ORDER BY k) AS cdf2 FROM b)
+SELECT c_custkey, CASE WHEN days <= 0 THEN 0.0 WHEN days >= 40 THEN 1.0 ELSE round(cdf + (days - x) * (cdf2 - cdf) / (x2 - x), 6) END AS cdf FROM q LEFT JOIN n ON days >= x AND days < x2""")
+def cdf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("double")
+    def cdf(days: pd.Series) -> pd.Series:
+        return pd.Series(_EXPONENTIAL.cdf(days.to_numpy()))
+
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(cdf(F.col("c_acctbal") / 100), 6).alias("cdf"))
 
 
 _U = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
@@ -185,46 +267,109 @@ def _uniform(text) -> F.Column:
 n AS (SELECT cdf AS lo, x, lead(cdf) OVER (ORDER BY k) AS hi, lead(x) OVER (ORDER BY k) AS x2 FROM b)
 SELECT c_custkey, round(x + (u - lo) * (x2 - x) / (hi - lo), 4) AS days FROM u JOIN n ON u >= lo AND u < hi""")
 def inverse_cdf_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = _cumulative(_exponential_grid(spark)).orderBy("k").select("x", "cdf").toArrow()  # 1,024 rows
-    x, cdf = grid["x"].to_numpy(), grid["cdf"].to_numpy()
-
     @F.pandas_udf("double")
     def quantile(u: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(u, cdf, x))
+        return pd.Series(_EXPONENTIAL.quantile(u.to_numpy()))
 
     u = _uniform(F.concat(F.lit("u|"), F.col("c_custkey").cast("string")))
     return _table(spark, sf_dir, "customer").select("c_custkey", F.round(quantile(u), 4).alias("days"))
 
 
-_P = NaturalHistory()
+# with a presymptomatic shape of 2 the gamma function has a closed form
+_Q = NaturalHistory(incubation_shape=5.5, latent_shape=3.5)
+_A = 1 / _Q.incubation_scale - _Q.symptomatic_rate
 
 
-@query(f"""SELECT range AS k, round({_P.infectiousness_normalisation!r} * exp(-0.37 * range / 8.0), 9) AS pdf FROM range(241)""")
+@query(f"""SELECT range - 240 AS k, round({_Q.infectiousness_normalisation!r} * CASE WHEN range < 240 THEN {_Q.transmission_rate_ratio!r} * exp(-(240 - range) / 8.0 / {_Q.incubation_scale!r}) * (1 + (240 - range) / 8.0 / {_Q.incubation_scale!r})
+ELSE exp({-_Q.symptomatic_rate!r} * (range - 240) / 8.0) END, 9) AS pdf FROM range(481)""")
 def onset_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = FromSymptomOnset(_P)
+    profile = FromSymptomOnset(_Q)
 
     @F.pandas_udf("double")
     def pdf(x: pd.Series) -> pd.Series:
         return pd.Series(profile.pdf(x.to_numpy()))
 
-    return spark.range(241).select(F.col("id").alias("k"), F.round(pdf(F.col("id") / 8.0), 9).alias("pdf"))
+    return spark.range(481).select((F.col("id") - 240).alias("k"), F.round(pdf((F.col("id") - 240) / 8.0), 9).alias("pdf"))
+
+
+@query(f"""WITH y AS (SELECT range - 20 AS k, (range - 20) / 8.0 AS y, (range - 20) / 8.0 / {_Q.incubation_scale!r} AS z FROM range(221))
+SELECT k, CASE WHEN y < 0 THEN 0.0 ELSE round({_Q.infectiousness_normalisation!r} * ({_Q.transmission_rate_ratio!r} * exp(-z) * (1 + z)
++ exp({-_Q.symptomatic_rate!r} * y) / {_Q.incubation_scale**2!r} * (1 - exp({-_A!r} * y) * (1 + {_A!r} * y)) / {_A**2!r}), 5) END AS pdf FROM y""")
+def infectiousness_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = FromInfectiousness(_Q)
+    k = np.arange(221) - 20  # one call: the density is a driver's table
+    return spark.createDataFrame([(int(i), round(float(f), 5)) for i, f in zip(k, profile.pdf(k / 8.0))], "k long, pdf double")
+
+
+@query("""WITH g AS (SELECT s, range - 5 AS k, (range - 5) / 4.0 / 0.8 AS z FROM range(60), (VALUES (1), (2), (3)) v(s))
+SELECT s, k, CASE WHEN k < 0 THEN 0.0 ELSE round(z ** (s - 1) * exp(-z) / 0.8 / CASE s WHEN 3 THEN 2 ELSE 1 END, 9) END AS pdf,
+CASE WHEN k < 0 THEN 0.0 ELSE round(1 - exp(-z) * CASE s WHEN 1 THEN 1 WHEN 2 THEN 1 + z ELSE 1 + z + z * z / 2 END, 9) END AS cdf FROM g""")
+def gamma_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = np.arange(60) - 5
+    rows = [(s, int(i), round(float(f), 9), round(float(c), 9) + 0.0) for s in (1, 2, 3) for i, f, c in zip(k, gamma_pdf(k / 4, float(s), 0.8), np.ravel(gamma_cdf(k / 4, float(s), 0.8)))]
+    return spark.createDataFrame(rows, "s int, k long, pdf double, cdf double")
+
+
+_STRICT = NaturalHistory(relaxation=0, substitution_rate=2e-3, genome_length=10_000)
+
+
+@query(f"SELECT s_suppkey, round(abs(s_acctbal) * {_STRICT.substitution_rate!r} * {_STRICT.genome_length} / 365, 6) AS mutations FROM supplier")
+def strict_clock_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = FromInfectiousness(_STRICT, rng_seed=1)
+
+    @F.pandas_udf("double")
+    def expected(days: pd.Series) -> pd.Series:
+        return pd.Series(profile.expected_mutations(days.to_numpy()))
+
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.round(expected(F.abs("s_acctbal")), 6).alias("mutations"))
 
 
 def _unit(tag: str) -> str:
     return "(1 - " + _U.format(f"'{tag}|' || s_suppkey || '|' || i") + ")"
 
 
+class Given:
+    """Samplers that give columns of a table, each as often as it is asked for."""
+
+    def __init__(self, rows: pd.DataFrame, rate: float) -> None:
+        self.rate = rate
+        self.incubation, self.delay, self.steps = iter([rows["inc_i"], rows["inc_j"]]), iter([rows["del_i"], rows["del_j"]]), iter([rows["g1"], rows["g2"], rows["g3"]])
+
+    def sample_incubation_periods(self, size):
+        return next(self.incubation).to_numpy()
+
+    def sample_testing_delays(self, size):
+        return next(self.delay).to_numpy()
+
+    def sample_generation_intervals(self, size):
+        return np.stack([next(self.steps).to_numpy() for _ in range(size[0])])
+
+    def sample_clock_rate(self, size):
+        return np.full(size, self.rate)
+
+
+_GIVEN = ("inc_i", "inc_j", "del_i", "del_j", "g1", "g2", "g3")
+
+
 @query(f"""WITH k AS (SELECT s_suppkey, range AS i FROM supplier, range(20)),
-v AS (SELECT s_suppkey, i, -ln({_unit('a')}) / 0.37 AS gi, -ln({_unit('b')} * {_unit('c')}) AS td_i, -ln({_unit('d')} * {_unit('e')}) AS td_j FROM k)
-SELECT s_suppkey, i, round(gi + td_j - td_i, 6) AS time_draw, round(greatest(gi + td_j - td_i, 0), 6) AS branch_draw,
-round(greatest(gi + td_j - td_i, 0) * {_P.mutations_per_day!r}, 6) AS genetic_draw FROM v""")
+v AS (SELECT s_suppkey, i, {', '.join(f"-ln({_unit(c)}) * {n + 1} AS {c}" for n, c in enumerate(_GIVEN))} FROM k),
+t AS (SELECT s_suppkey, i, 'ad(1)' AS label, g1 + g2 + inc_j + del_j - inc_i - del_i AS time, greatest(g1 + g2 + inc_j + del_j - inc_i - del_i, 0) AS branch FROM v
+UNION ALL SELECT s_suppkey, i, 'ca(0,1)', g2 + g3 - g1 + inc_j + del_j - inc_i - del_i, g1 + g2 + g3 + inc_i + inc_j + del_i + del_j FROM v)
+SELECT s_suppkey, i, label, round(time, 6) AS time_draw, round(branch, 6) AS branch_draw, round(branch * {_P.mutations_per_day!r}, 6) AS genetic_draw FROM t""")
 def mc_draws_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of a direct and a shared-source scenario from given stages."""
     keys = _table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(spark.range(20).withColumnRenamed("id", "i")))
     unit = lambda tag: 1 - _uniform(F.concat_ws("|", F.lit(tag), F.col("s_suppkey").cast("string"), F.col("i").cast("string")))
-    rows = keys.withColumn("gi", -F.log(unit("a")) / 0.37).withColumn("td_i", -F.log(unit("b") * unit("c"))).withColumn("td_j", -F.log(unit("d") * unit("e")))
-    time = F.col("gi") + F.col("td_j") - F.col("td_i")
-    branch = F.greatest(time, F.lit(0.0))
-    return rows.select("s_suppkey", "i", (F.round(time, 6) + 0.0).alias("time_draw"), F.round(branch, 6).alias("branch_draw"), F.round(branch * _P.mutations_per_day, 6).alias("genetic_draw"))
+    rows = keys.select("s_suppkey", "i", *[(-F.log(unit(c)) * (n + 1)).alias(c) for n, c in enumerate(_GIVEN)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for label in ("ad(1)", "ca(0,1)"):
+                time, branch = scenario_draws(given := Given(batch, _P.mutations_per_day), Scenario.parse(label), len(batch))
+                yield pd.DataFrame({"s_suppkey": batch["s_suppkey"], "i": batch["i"], "label": label, "time_draw": time, "branch_draw": branch, "genetic_draw": genetic_draws(given, branch, "deterministic")})
+
+    drawn = rows.mapInPandas(run, "s_suppkey long, i long, label string, time_draw double, branch_draw double, genetic_draw double")
+    return drawn.select("s_suppkey", "i", "label", *[(F.round(c, 6) + 0.0).alias(c) for c in ("time_draw", "branch_draw", "genetic_draw")])
 
 
 _NODES = """nodes AS (SELECT 'r' || r_regionkey AS node, r_regionkey * 1.0::DOUBLE AS step, r_regionkey AS k FROM region
@@ -261,16 +406,34 @@ def exact_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_sample(nodes, 0.35).agg(F.count("*").alias("n"), F.sum(F.col("sampled").cast("long")).alias("sampled"))
 
 
-@query("""WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('s|' || c_custkey), c_custkey) AS r, count(*) OVER () AS n FROM customer)
-SELECT c_custkey FROM k WHERE r <= round_even(0.25::DOUBLE * n, 0)""")
+@query("""WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY CAST(('0x' || substr(md5('s|' || c_custkey), 1, 15)) AS BIGINT), c_custkey) AS r, count(*) OVER () AS n FROM customer)
+SELECT c_custkey, r <= round_even(0.25::DOUBLE * n, 0) AS sampled FROM k""")
 def exact_sample_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit("s|"), F.col("c_custkey").cast("string")).cast("binary"))
-    keyed = _table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"), F.substring(key, 1, 3).alias("part"))
-    counts = keyed.groupBy("part").agg(F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = counts.select("part", (F.bround(0.25 * F.sum("c").over(Window.partitionBy()), 0) - below).alias("room"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("key", "c_custkey"))
-    return keyed.withColumn("rank", rank).join(F.broadcast(room), "part").where("rank <= room").select("c_custkey")
+    nodes = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    key = F.conv(F.substring(F.md5(F.concat(F.lit("s|"), F.col("node").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return exact_sample(nodes, 0.25, key=key).select(F.col("node").alias("c_custkey"), "sampled")
+
+
+_PERIODS = ("latent", "presymptomatic", "delay", "transmission")
+_DAYS = ", ".join(f"""CAST(('0x' || substr(md5('{c}|' || node), 1, 4)) AS BIGINT) / 4096.0::DOUBLE AS {c}""" for c in _PERIODS) + """, CAST(CAST(('0x' || substr(md5('first|' || node), 1, 4)) AS BIGINT) % 30 AS DOUBLE) AS "first" """
+
+
+@query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, p AS (SELECT node, {_DAYS} FROM nodes), walk AS (
+SELECT node, true AS seed, "first" AS exposure, "first" + latent AS infectious, presymptomatic, delay FROM p WHERE node NOT IN (SELECT child FROM edges)
+UNION ALL SELECT p.node, false, w.infectious + p.transmission, w.infectious + p.transmission + p.latent, p.presymptomatic, p.delay FROM walk w JOIN edges e ON e.parent = w.node JOIN p ON p.node = e.child)
+SELECT node, seed, round(exposure, 6) AS exposure_date, round(infectious, 6) AS date_infectious, round(infectious + presymptomatic, 6) AS date_symptom_onset, round(infectious + presymptomatic + delay, 6) AS sample_date FROM walk""")
+def epidemic_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dates of the forest from given periods."""
+    nodes, edges = _forest(spark, sf_dir)
+    part = lambda c: F.conv(F.substring(F.md5(F.concat(F.lit(f"{c}|"), F.col("node")).cast("binary")), 1, 4), 16, 10).cast("long")
+    periods = nodes.select("node", *[(part(c) / 4096.0).alias(c) for c in _PERIODS], (part("first") % 30).cast("double").alias("first"))
+    dated = simulate_dates(FromInfectiousness(_P, rng_seed=1), nodes.select(F.col("k").alias("idx"), "node"), edges, periods=periods)
+    return dated.select("node", "seed", *[F.round(c, 6).alias(c) for c in ("exposure_date", "date_infectious", "date_symptom_onset", "sample_date")])
+
+
+@query(f"WITH {_NODES}, {_EDGES} SELECT node, count(child)::BIGINT AS parents FROM nodes LEFT JOIN edges ON child = node GROUP BY node")
+def tree_in_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_degrees(*_forest(spark, sf_dir))
 
 
 _MD5S = "md5('0|' || {0}) || md5('1|' || {0}) || md5('2|' || {0}) || md5('3|' || {0})"
@@ -282,7 +445,6 @@ def _codes(key: str, digits: int = 128) -> F.Column:
     return F.transform(F.split(text, ""), lambda c: (F.conv(c, 16, 10).cast("int") % 4).cast("tinyint"))
 
 
-_BASES = "translate(translate(translate(translate(substr({0}, 1, {1}), '048c', 'AAAA'), '159d', 'CCCC'), '26ae', 'GGGG'), '37bf', 'TTTT')"
 # digits become upper-case letters in one step, so that no letter is translated twice
 _BASES = "translate(substr({0}, 1, {1}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
@@ -326,6 +488,19 @@ def fasta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta_records(_suppliers_packed(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, x AS (SELECT node, {_BASES.format(_MD5S.format("('c' || node)"), 70)} AS seq FROM nodes), walk AS (
+SELECT node, seq FROM x WHERE node NOT IN (SELECT child FROM edges)
+UNION ALL SELECT x.node, (SELECT string_agg(substr('ACGT', 1 + (strpos('ACGT', substr(w.seq, i::INTEGER, 1)) + strpos('ACGT', substr(x.seq, i::INTEGER, 1)) - 2) % 4, 1), '' ORDER BY i) FROM range(1, 71) t(i))
+FROM walk w JOIN edges e ON e.parent = w.node JOIN x ON x.node = e.child)
+SELECT node, seq FROM walk""")
+def tree_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of the forest from given changes along its edges."""
+    nodes, edges = _forest(spark, sf_dir)
+    steps = nodes.withColumn("c", F.concat(F.lit("c"), "node")).select("node", pack(_codes("c", 70)).alias("words"))
+    steps = steps.join(edges.select(F.col("child").alias("node"), F.col("parent").alias("up")), "node", "left")
+    return along_tree(steps, ("words",)).select("node", bases(unpack(F.col("words"), 70)).alias("seq"))
+
+
 _REL = """rel AS (SELECT parent AS a, child AS b FROM edges UNION SELECT child, parent FROM edges
 UNION SELECT x.child, y.child FROM edges x JOIN edges y ON x.parent = y.parent AND x.child <> y.child)"""
 
@@ -347,23 +522,63 @@ def outbreak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_case_table(sequences, dated, edges)
 
 
-@query()
+@query("""WITH n AS (SELECT n_nationkey * 10 AS idx, 'n' || n_nationkey AS node FROM nation)
+SELECT (row_number() OVER (ORDER BY a.idx, b.idx))::INTEGER AS place, a.node AS "CaseA", b.node AS "CaseB" FROM n a JOIN n b ON a.idx < b.idx""")
+def pair_table_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of rows in row-major order."""
+    nodes = _table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 10).alias("idx"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    words = F.array(F.lit(0).cast("long"))
+    edges = spark.createDataFrame([], "parent string, child string")
+    table = pair_case_table(nodes.withColumn("deterministic", words).withColumn("stochastic", words), nodes, edges, with_idx=True)
+    return table.select(F.row_number().over(Window.orderBy("idx_a", "idx_b")).alias("place"), "CaseA", "CaseB")
+
+
+_MOMENTS = {
+    "latent": (_P.latent_shape * _P.incubation_scale, _P.latent_shape**0.5 * _P.incubation_scale),
+    "presymptomatic": (_P.presymptomatic_shape * _P.incubation_scale, _P.presymptomatic_shape**0.5 * _P.incubation_scale),
+    "incubation": (_P.incubation_shape * _P.incubation_scale, _P.incubation_shape**0.5 * _P.incubation_scale),
+    "symptomatic": (_P.symptomatic_shape * _P.symptomatic_scale, _P.symptomatic_shape**0.5 * _P.symptomatic_scale),
+    "delay": (_P.testing_delay_shape * _P.testing_delay_scale, _P.testing_delay_shape**0.5 * _P.testing_delay_scale),
+    "log clock": (math.log(_P.mutations_per_day), _P.relaxation),
+    "exponential": (1 / 0.37, 1 / 0.37),
+    "sites": (249.5, (500**2 / 12) ** 0.5),
+    "Poisson": (3.0, 3.0**0.5),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', 50000::BIGINT, true)" for name in _MOMENTS) + ") v(sampler, n, near)")
 def sampler_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of each sampler over keyed blocks, beside what theory says."""
-    p, profile = _P, FromInfectiousness(_P, rng_seed=1)
-    theory = {"latent": p.latent_shape * p.incubation_scale, "presymptomatic": p.presymptomatic_shape * p.incubation_scale, "symptomatic": p.symptomatic_shape * p.symptomatic_scale, "delay": p.testing_delay_shape * p.testing_delay_scale, "transmission": profile.mean()}
+    """Whether the mean of 50,000 draws of each sampler lies within five standard errors of what theory says."""
+    profile, short = FromInfectiousness(_P, rng_seed=1), Exponential(grid_min_days=0.0, grid_max_days=40.0, rng_seed=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        samplers = {"latent": profile.sample_latent_periods, "presymptomatic": profile.sample_presymptomatic_periods, "symptomatic": profile.sample_symptomatic_periods, "delay": profile.sample_testing_delays, "transmission": profile.rvs}
+        sites = lambda words: np.nonzero(np.unpackbits(np.ascontiguousarray(words).astype(">u8").view(np.uint8)).reshape(len(words), -1, 2)[:, :500].any(2))[1]
+        samplers = {
+            "latent": profile.sample_latent_periods, "presymptomatic": profile.sample_presymptomatic_periods, "incubation": profile.sample_incubation_periods, "symptomatic": profile.sample_symptomatic_periods,
+            "delay": profile.sample_testing_delays, "log clock": lambda n, rng: np.log(profile.sample_clock_rate(n, rng=rng)), "exponential": short.rvs,
+            "sites": lambda n, rng: sites(changed_words(rng, np.ones(n), 500)), "Poisson": lambda n, rng: genetic_draws(Given(pd.DataFrame(columns=_GIVEN), 1.0), np.full(n, 3.0), "stochastic", counts=rng),
+        }
         for batch in batches:
             for block in batch["id"]:
                 for i, (name, f) in enumerate(samplers.items()):
-                    x = f(1000, rng=np.random.default_rng([1, i, block]))
+                    x = np.asarray(f(1000, rng=np.random.default_rng([1, i, block])), float)
                     yield pd.DataFrame({"sampler": [name], "n": [len(x)], "total": [x.sum()]})
 
-    sums = spark.range(50).mapInPandas(run, "sampler string, n long, total double").groupBy("sampler").agg((F.sum("total") / F.sum("n")).alias("mean"))
-    expected = spark.createDataFrame(list(theory.items()), "sampler string, expected double")
-    return sums.join(expected, "sampler")
+    sums = spark.range(50).mapInPandas(run, "sampler string, n long, total double").groupBy("sampler").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    theory = spark.createDataFrame([(name, m, s) for name, (m, s) in _MOMENTS.items()], "sampler string, mean double, sd double")
+    near = F.abs(F.col("total") / F.col("n") - F.col("mean")) < 5 * F.col("sd") / F.sqrt("n")
+    return sums.join(F.broadcast(theory), "sampler").select("sampler", "n", near.alias("near"))
+
+
+@query("""SELECT c AS period, 20000::BIGINT AS n, true AS near, true AS in_range FROM (VALUES ('latent'), ('presymptomatic'), ('delay'), ('first')) v(c)""")
+def drawn_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periods of 20,000 nodes: means within five standard errors of theory, root days whole from 0 to 29."""
+    drawn = draw_periods(FromInfectiousness(_P, rng_seed=1), spark.range(20_000).select(F.col("id").alias("idx"), F.col("id").alias("node")), seed=3)
+    theory = {k: _MOMENTS[k] for k in ("latent", "presymptomatic", "delay")} | {"first": (14.5, (899 / 12) ** 0.5)}
+    long = drawn.select(F.explode(F.array(*[F.struct(F.lit(k).alias("period"), F.col(k).alias("x"), F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for k, (m, s) in theory.items()])).alias("r")).select("r.*")
+    near = F.abs(F.avg("x") - F.first("m")) < 5 * F.first("s") / F.sqrt(F.count("*"))
+    fits = F.min(F.when(F.col("period") == "first", (F.col("x") >= 0) & (F.col("x") <= 29) & (F.col("x") == F.floor("x"))).otherwise(F.col("x") > 0))
+    return long.groupBy("period").agg(F.count("*").alias("n"), near.alias("near"), fits.alias("in_range"))
 
 
 @query()
@@ -380,5 +595,4 @@ def outbreak_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = FromInfectiousness(_P, rng_seed=1)
     nodes, edges = _forest(spark, sf_dir)
     dated = materialised(simulate_dates(profile, nodes.select(F.col("k").alias("idx"), "node"), edges, 0.8, seed=1), "dated")
-    sequences = wide_packed(simulate_sequences(profile, dated, edges, 500, seed=1))
-    return pair_case_table(sequences, dated, edges)
+    return pair_case_table(simulate_sequences(profile, dated, edges, 500, seed=1).table, dated, edges)

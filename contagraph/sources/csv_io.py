@@ -17,8 +17,11 @@ ROW = "csv_row"
 
 
 def read_observations(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
-    """A CSV file with header: the two required columns as doubles (missing marks as NaN, else an error), the rest as text."""
-    raw = spark.read.csv(path, header=True)
+    """A CSV file with header: the two required columns as doubles (missing marks as NaN, else an error), the rest as text.
+
+    Quoted fields may hold commas, line feeds and doubled quotes. Column names are taken as they are.
+    """
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     if missing := [c for c in (TIME, GENETIC) if c not in raw.columns]:
         raise ConfigurationError(f"the input lacks the columns {', '.join(missing)}")
     number = lambda c: F.when(F.col(c).isNull() | F.lower(F.trim(c)).isin(*_MISSING), F.lit(float("nan"))).otherwise(F.expr(f"cast(trim(`{c}`) as double)"))

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from contagraph.operators.scorer import GENETIC, TIME, LinkageModel
+from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, score_function
 
 
 def score_stream(stream: DataFrame, model: LinkageModel, target=None, time: str = TIME, genetic: str = GENETIC, out: str = "score") -> DataFrame:
-    return stream.withColumn(out, model.scorer(target).score_column(F.col(time), F.col(genetic)))
+    """The stream with its scores. Large draws are static tables that the stream's rows join."""
+    return model.scorer(target).score(stream, time, genetic, out)
 
 
 def register_score(model: LinkageModel, name: str = "linkage_score", target=None) -> None:
-    """The score as an SQL function of (time difference, distance)."""
-    shared = model.scorer(target).sorted
-
-    @pandas_udf("double")
-    def score(t: pd.Series, g: pd.Series) -> pd.Series:
-        total = np.zeros(len(t))
-        for _, times, distances in shared:
-            p = np.searchsorted(times, t.to_numpy(float), side="right") / len(times)
-            q = np.searchsorted(distances, g.to_numpy(float), side="right") / len(distances)
-            total += (1 - 2 * np.abs(p - 0.5)) * (1 - 2 * np.abs(q - 0.5))
-        return pd.Series(total)
-
-    model.spark.udf.register(name, score)
+    """The score as an SQL function of (time difference, distance). ConfigurationError where the draws are too many to go to all tasks."""
+    model.spark.udf.register(name, score_function(model.scorer(target)))

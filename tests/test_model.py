@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from contagraph.functions.parameters import NaturalHistory
 from contagraph.functions.profiles import FromInfectiousness, FromSymptomOnset, TransmissionProfile
 from contagraph.operators.draws import draw_frame, genetic_draws, scenario_draws
 from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolve_targets, scenario_frame
-from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, percentiles_by_join, percentiles_by_window
+from contagraph.operators import scorer
+from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, compatibility_from_percentile, compatibility_score, ecdf, percentile_score, percentiles, percentiles_by_join
 
 
 def test_parameters():
@@ -34,8 +36,8 @@ def test_errors():
 
 
 def test_scenarios(spark):
-    assert Scenario.parse("  CA(1,2) ").label() == "ca(1,2)" and str(Scenario.parse("ad(3)")) == "ad(3)"
-    for bad in ("ca(1)", "weird(0)", "HCA(0,0)", "ca(0, 0)", None):
+    assert Scenario.parse("\t Ca(04,01)\n").label() == "ca(4,1)" and str(Scenario.parse("ad(11)")) == "ad(11)" and Scenario(" AD", 2).label() == "ad(2)"
+    for bad in ("ad(1,2)", "ca(3)", "tree(1)", "ca(2, 2)", "ad(-1)", "", None):
         with pytest.raises(ScenarioError):
             Scenario.parse(bad)
     assert [len(enumerate_scenarios(m)) for m in range(5)] == [2, 5, 9, 14, 20]
@@ -76,84 +78,158 @@ def test_profiles():
         TransmissionProfile().pdf(1)
 
 
-class Steps:
-    """Samplers that give start + step * k."""
+class Recorded:
+    """Samplers that replay given numbers, one list for each call; the clock runs at its own list of rates."""
 
-    def _run(self, start, step, size):
-        return start + step * np.arange(int(np.prod(size))).reshape(size)
+    def __init__(self, incubation, delay, generations, rates=()):
+        self.calls = {"incubation": iter(incubation), "delay": iter(delay), "generations": iter(generations)}
+        self.rates = np.array(rates, float)
+
+    def _next(self, name, size):
+        return np.array(next(self.calls[name]), float).reshape(size)
 
     def sample_incubation_periods(self, size=1):
-        return self._run(1.0, 0.1, size)
+        return self._next("incubation", size)
 
     def sample_testing_delays(self, size=1):
-        return self._run(0.5, 0.05, size)
+        return self._next("delay", size)
 
     def sample_generation_intervals(self, size=1):
-        return self._run(2.0, 0.2, size)
+        return self._next("generations", size)
 
     def sample_clock_rate(self, size=1):
-        return self._run(0.2, 0.01, size)
+        return self.rates[:size]
 
 
 def test_draws_by_hand(spark):
-    time, branch = scenario_draws(Steps(), Scenario.parse("ad(0)"), 4)
-    assert np.allclose(branch, [2.0, 2.2, 2.4, 2.6])
-    assert np.allclose(genetic_draws(Steps(), branch, "deterministic"), branch * [0.2, 0.21, 0.22, 0.23])
-    time, branch = scenario_draws(Steps(), Scenario.parse("ca(0,1)"), 3)
-    assert np.allclose(time, [2.6, 2.8, 3.0]) and np.allclose(branch, [9.6, 10.5, 11.4])
+    # direct through one unseen case: two generations, j's stages added, i's taken off; a branch never ends below 0
+    given = Recorded([[7, 3, 9], [4, 6, 1]], [[1, 2, 5], [3, 0, 1]], [[[6, 8, 2], [5, 1, 4]]])
+    time, branch = scenario_draws(given, Scenario.parse("ad(1)"), 3)
+    assert time.tolist() == [10, 10, -6] and branch.tolist() == [10, 10, 0]
+    assert genetic_draws(Recorded([], [], [], [0.5, 0.25, 9]), branch, " Deterministic ").tolist() == [5, 2.5, 0]
+    # shared source: the branch holds both paths and all stages
+    given = Recorded([[7, 3], [4, 6]], [[1, 2], [3, 0]], [[[6, 8]], [[5, 1], [2, 2], [9, 3]]])
+    time, branch = scenario_draws(given, Scenario.parse("ca(0,2)"), 2)
+    assert time.tolist() == [16 - 6 + 7 - 8, 6 - 8 + 6 - 5] and branch.tolist() == [16 + 6 + 15, 6 + 8 + 11]
     p = FromInfectiousness(rng_seed=1)
-    a, b = (draw_frame(spark.newSession() if k else spark, p, 1, 2500, seed=5).orderBy("ord", "draw_id").toPandas() for k in (0, 0))
+    a, b = (draw_frame(spark, p, 1, 2500, seed=5).orderBy("ord", "draw_id").toPandas() for _ in range(2))
     assert a.equals(b) and len(a) == 5 * 2500
     assert (a.genetic_draw == a.genetic_draw.round()).all()
 
 
-MANUAL = [("ad(0)", i, i + 1.0, 1.0, float(i)) for i in range(4)] + [("ca(0,0)", i, i + 2.0, 2.0, i + 1.0) for i in range(4)]
+def test_failing_draws_name_their_scenario(spark):
+    class Broken(FromInfectiousness):
+        def sample_generation_intervals(self, size=1, rng=None):
+            if size[0] == 3:
+                raise RuntimeError("no more")
+            return super().sample_generation_intervals(size, rng)
+
+    with pytest.raises(SimulationError, match=r"scenario (ad\(2\)|ca\(0,2\)|ca\(2,0\)) failed: no more"):
+        LinkageModel(spark, Broken(rng_seed=1), maximum_depth=2, mc_samples=50)
+
+
+# eight draws of one scenario and four of the other, in no order
+OWN = [("ad(0)", t, g) for t, g in zip((3.5, -2, 0, 6, 6, 1, 9, 4), (0, 5, 2, 2, 7, 1, 0, 3))] + [("ca(0,0)", t, g) for t, g in zip((5, -1, 12, 5), (4, 4, 10, 6))]
 
 
 @pytest.fixture(scope="module")
 def model(spark):
-    draws = spark.createDataFrame(MANUAL, "label string, draw_id int, time_draw double, branch_draw double, genetic_draw double")
+    rows = [(label, i, float(t), max(0.0, float(t)), float(g)) for i, (label, t, g) in enumerate(OWN)]
+    draws = spark.createDataFrame(rows, "label string, draw_id int, time_draw double, branch_draw double, genetic_draw double")
     return LinkageModel(spark, FromInfectiousness(rng_seed=1), maximum_depth=0, mc_samples=4, draws=draws)
 
 
+
+
 def test_scores(spark, model):
-    result = model.score_pair(2.5, 1.5)
-    assert result.target_compatibility == 1.25 and result["scenarios"]["ad(0)"].compatibility == 1.0 and result.scenarios["ca(0,0)"]["time_percentile"] == 0.25
-    assert result.to_dict()["target"] == ["ad(0)", "ca(0,0)"] and len(result) == 4 and "target" in result
-    obs = spark.createDataFrame([(2.5, 1.5, "x"), (None, 1.5, "y"), (float("nan"), 1.5, "z"), (2.5, None, "w")], f"{TIME} double, {GENETIC} double, id string")
-    got = {r["id"]: r["score"] for r in model.score_target(obs).collect()}
-    assert got == {"x": 1.25, "y": 0, "z": 0, "w": 0}
-    assert model.scorer("ad(0)") is model.scorer([" AD(0)"]) and model.score_grid([2.5, 4.5], [1.5, 2.5, 3.5]).count() == 6
+    # five of eight and three of four times are no larger; six of eight and two of four distances
+    result = model.score_pair(5, 4)
+    assert {k: tuple(v.to_dict().values()) for k, v in result.scenario_scores.items()} == {"ad(0)": (0.625, 0.75, 0.75, 0.5, 0.375), "ca(0,0)": (0.75, 0.5, 0.5, 1.0, 0.5)}
+    assert result["target_compatibility"] == 0.875 and result["scenario_scores"]["ca(0,0)"]["compatibility"] == 0.5
+    assert result.to_dict()["target"] == ["ad(0)", "ca(0,0)"] and list(result) == ["target", "target_labels", "target_compatibility", "scenario_scores"] and len(result) == 4 and "target" in result
+    score = result.scenario_scores["ad(0)"]
+    assert score["compatibility"] == 0.375 and len(score) == 5 and "time_percentile" in score and "x" not in score
+    nan = float("nan")
+    obs = spark.createDataFrame([(5.0, 4.0, "x"), (None, 4.0, "y"), (nan, 4.0, "z"), (5.0, None, "w"), (-9.0, 4.0, "below"), (99.0, 4.0, "above")], f"{TIME} double, {GENETIC} double, id string")
+    assert {r["id"]: r["score"] for r in model.score_target(obs).collect()} == {"x": 0.875, "y": 0, "z": 0, "w": 0, "below": 0, "above": 0}
+    assert model.scorer("ad(0)") is model.scorer([" AD(0)"]) is model.scorer("ad(00)") and model.score_grid([5.0, 4.5], [1.0, 2.5, 4.0]).count() == 6
     for bad in ([1.0], None):
         with pytest.raises(TypeError):
             model.score_pair(bad, 1.0)
     with pytest.raises(ConfigurationError):
         LinkageModel(spark, model.profile, mutation_process="odd", draws=model.draws)
+    with pytest.raises(ConfigurationError):
+        model.scorer([])
+    assert LinkageModel(spark, model.profile, mutation_process=" STOCHASTIC", maximum_depth=0, draws=model.draws).score_pair(5, 4).target_compatibility == 0.875
+
+
+def test_other_draws(spark, model):
+    only = model.draws.where("label = 'ad(0)'")
+    moved = model.with_draws(model.draws.withColumn("time_draw", F.lit(5.0)))
+    assert moved.score_pair(5, 4).target_compatibility == 0 and moved.score_pair(4.9, 4).target_compatibility == 0
+    for most in (None, 0):
+        with pytest.raises(SimulationError, match="ca\\(0,0\\)"):
+            PairScorer(only, ("ad(0)", "ca(0,0)"), most)
+
+
+def test_single_scores():
+    assert percentile_score(5, [3.5, -2, 0, 6, 6, 1, 9, 4]) == 0.625 and percentile_score(float("nan"), [1.0, 2.0]) == 0
+    assert compatibility_from_percentile(0.625) == 0.75 and compatibility_score(5, [5, -1, 12, 5]) == (0.75, 0.5)
+
+
+def rows_of(df):
+    return sorted(map(repr, map(tuple, df.collect())))
 
 
 def test_strategies_agree(spark, model):
-    rows = [(float(t), float(g)) for t in (0, 1, 2, 2.5, 4, 5, 9) for g in (-1, 0, 1.5, 3, 4, 7)] + [(float("nan"), 1.0)]
-    obs = spark.createDataFrame(rows, f"{TIME} double, {GENETIC} double")
+    values = [(float(t), float(g)) for t in (-3, -2, 0, 1, 3.6, 5, 6, 9, 12, 40) for g in (-1, 0, 1.5, 4, 7, 10, 11)] + [(float("nan"), 1.0), (0.0, float("nan"))]
+    obs = spark.createDataFrame([*values, (None, 4.0)], f"{TIME} double, {GENETIC} double")
     labelled = obs.withColumn("label", F.explode(F.array(F.lit("ad(0)"), F.lit("ca(0,0)"))))
-    key = lambda df: sorted(map(repr, map(tuple, df.select(TIME, GENETIC, "label", "percentile").collect())))
-    assert key(percentiles_by_window(labelled, model.draws, TIME, "time_draw")) == key(percentiles_by_join(labelled, model.draws, TIME, "time_draw"))
-    one = PairScorer(model.draws, ("ad(0)", "ca(0,0)"))
-    other = PairScorer(model.draws, ("ad(0)", "ca(0,0)"))
-    other.sorted = None
-    same = lambda s: sorted(map(repr, map(tuple, s.breakdown(obs).collect())))
-    assert same(one) == same(other)
-    total = lambda s: sorted(map(repr, map(tuple, s.score(obs).collect())))
-    assert total(one) == total(other)
-
-
-def test_stream(spark, model, tmp_path):
+    assert rows_of(percentiles(labelled, model.draws, TIME, "time_draw").select(TIME, GENETIC, "label", "percentile")) == rows_of(percentiles_by_join(labelled, model.draws, TIME, "time_draw").select(TIME, GENETIC, "label", "percentile"))
+    one, other = PairScorer(model.draws, ("ad(0)", "ca(0,0)")), PairScorer(model.draws, ("ad(0)", "ca(0,0)"), broadcast_draws=0)
+    assert one.sorted is not None and other.sorted is None
+    assert rows_of(one.breakdown(obs)) == rows_of(other.breakdown(obs))
+    assert rows_of(one.score(obs)) == rows_of(other.score(obs))
+    assert rows_of(one.score(obs, out=GENETIC)) == rows_of(other.score(obs, out=GENETIC))
+
+
+def test_ecdf_of_many_draws(spark):
+    """Against NumPy: 20,000 draws of two labels, half of one label's draws equal, observations mostly of one value."""
+    rng = np.random.default_rng(3)
+    x = {"a": np.concatenate([np.full(5000, 2.5), rng.normal(0, 10, 5000)]), "b": np.round(rng.normal(5, 3, 10000), 1)}
+    draws = spark.createDataFrame(pd.DataFrame([(k, v) for k, a in x.items() for v in a], columns=["label", "v"]))
+    asked = [2.5] * 500 + [-100.0, 100.0, 0.0, -0.0, *rng.normal(0, 12, 200).round(1).tolist()]
+    obs = spark.createDataFrame([(k, v) for k in x for v in asked], "label string, asked double")
+    got = sorted((r["label"], r["asked"], r["percentile"]) for r in percentiles(obs, draws, "asked", "v").collect())
+    assert got == sorted((k, v, float((a <= v).mean())) for k, a in x.items() for v in asked)
+    table = ecdf(draws, "v").toPandas()
+    for k, a in x.items():
+        values, counts = np.unique(a, return_counts=True)
+        mine = table[table.label == k].sort_values("value")
+        assert mine.value.tolist() == values.tolist() and mine.cum_count.tolist() == np.cumsum(counts).tolist() and set(mine.n) == {10000}
+    assert percentiles(obs.limit(0), draws, "asked", "v").count() == 0
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_stream(spark, model, tmp_path, monkeypatch, most):
     from contagraph.streaming.scoring import register_score, score_stream
 
-    spark.createDataFrame([(2.5, 1.5)], f"{TIME} double, {GENETIC} double").write.parquet(str(tmp_path / "in"))
+    if most is not None:
+        monkeypatch.setattr(scorer, "BROADCAST_DRAWS", most)
+    fresh = model.with_draws(model.draws)
+    spark.createDataFrame([(5.0, 4.0), (None, 4.0), (99.0, 1.0)], f"{TIME} double, {GENETIC} double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(f"{TIME} double, {GENETIC} double").parquet(str(tmp_path / "in"))
-    q = score_stream(stream, model).writeStream.format("memory").queryName("scored").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("scored").first()["score"] == 1.25
-    register_score(model)
-    assert spark.sql("select linkage_score(2.5D, 1.5D) s").first()["s"] == 1.25
+    for name, df in (("scored", score_stream(stream, fresh)), ("broken_down", fresh.score_pairs(stream))):
+        q = df.writeStream.format("memory").queryName(f"{name}{most}").start()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r["score"] for r in spark.table(f"scored{most}").collect()) == [0, 0, 0.875]
+    assert sorted(r["compatibility"] for r in spark.table(f"broken_down{most}").collect()) == [0, 0, 0, 0, 0.375, 0.5]
+    if most is None:
+        register_score(fresh)
+        assert spark.sql("select linkage_score(5D, 4D) s").first()["s"] == 0.875
+    else:
+        with pytest.raises(ConfigurationError):
+            register_score(fresh)
+        with pytest.raises(ConfigurationError):
+            fresh.scorer().score_column(F.lit(5.0), F.lit(4.0))

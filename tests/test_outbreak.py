@@ -1,27 +1,28 @@
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from contagraph import cli
-from contagraph.exceptions import ConfigurationError
+from contagraph.exceptions import ConfigurationError, SimulationError
 from contagraph.functions.columns import pack, unpack
 from contagraph.operators.pairs import pair_case_table
-from contagraph.operators.sequences import distance_matrix, packed, simulate_sequences, wide_packed
+from contagraph.operators.sequences import along_tree, changed_words, distance_matrix, packed, simulate_sequences
 from contagraph.operators.trees import ancestors, exact_sample, path_sums, simulate_dates
-from contagraph.sources.fasta import fasta_records, write_fasta_file
+from contagraph.plans.shared import materialised
+from contagraph.sources.csv_io import read_observations, write_csv
+from contagraph.sources.fasta import fasta_records, write_fasta, write_fasta_file
 
 
-class Fixed:
-    """Constant stages; the clock runs at `rate`."""
+class Stages:
+    """Stages that last as long as their name says in `days`; the clock runs at `rate`."""
 
-    def __init__(self, rate=0.0):
+    def __init__(self, rate=0.0, latent=1.5, presymptomatic=0.75, delay=6.0, transmission=2.25):
         self.rate = rate
-
-    sample_latent_periods = staticmethod(lambda size=1, rng=None: np.full(size, 2.0))
-    sample_presymptomatic_periods = staticmethod(lambda size=1, rng=None: np.full(size, 3.0))
-    sample_testing_delays = staticmethod(lambda size=1, rng=None: np.full(size, 4.0))
-    rvs = staticmethod(lambda size=1, rng=None: np.full(size, 5.0))
+        for name, days in (("latent_periods", latent), ("presymptomatic_periods", presymptomatic), ("testing_delays", delay)):
+            setattr(self, f"sample_{name}", lambda size=1, rng=None, days=days: np.full(size, days))
+        self.rvs = lambda size=1, rng=None: np.full(size, transmission)
 
     def sample_clock_rate(self, size=1, rng=None):
         return np.full(size, self.rate)
@@ -31,19 +32,45 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
+def edges_of(spark, *pairs):
+    return frame(spark, list(pairs), "parent string, child string")
+
+
 def test_dates(spark):
-    nodes = frame(spark, [(0, "root"), (1, "child"), (2, "other")], "idx int, node string")
-    edges = frame(spark, [("root", "child")], "parent string, child string")
-    got = {r["node"]: r for r in simulate_dates(Fixed(), nodes, edges, 0.5).collect()}
-    assert sum(r["sampled"] for r in got.values()) == 2
-    root, child = got["root"], got["child"]
-    assert root["exposure_date"] in range(30) and root["seed"] and not child["seed"]
-    assert child["exposure_date"] == root["date_infectious"] + 5 and child["sample_date"] == child["exposure_date"] + 9
+    nodes = frame(spark, [(i, n) for i, n in enumerate(["a", "b", "c", "d", "alone"])], "idx int, node string")
+    edges = edges_of(spark, ("a", "b"), ("b", "c"), ("a", "d"))
+    got = {r["node"]: r for r in simulate_dates(Stages(), nodes, edges, 0.7).collect()}
+    assert sum(r["sampled"] for r in got.values()) == 4  # 3.5, to even
+    day = got["a"]["exposure_date"]
+    assert day in range(30) and got["alone"]["exposure_date"] in range(30)
+    assert {n: r["exposure_date"] - day for n, r in got.items() if n != "alone"} == {"a": 0, "b": 3.75, "c": 7.5, "d": 3.75}
+    for n, r in got.items():
+        assert r["seed"] == (n in ("a", "alone"))
+        assert (r["date_infectious"], r["date_symptom_onset"], r["sample_date"]) == tuple(r["exposure_date"] + x for x in (1.5, 2.25, 8.25))
+    for bad in (1.5, -0.1):
+        with pytest.raises(ConfigurationError):
+            simulate_dates(Stages(), nodes, edges, bad)
+    weighed = nodes.withColumn("w", F.lit(1.0))
+    for bad in (edges_of(spark, ("a", "b"), ("b", "a")), edges_of(spark, ("a", "b"), ("c", "b")), edges_of(spark, ("a", "a")), edges_of(spark, ("a", "z"))):
+        with pytest.raises(ConfigurationError):
+            simulate_dates(Stages(), nodes, bad)
     with pytest.raises(ConfigurationError):
-        simulate_dates(Fixed(), nodes, edges, 1.5)
-    with pytest.raises(ConfigurationError):
-        path_sums(nodes.withColumn("w", F.lit(1.0)), frame(spark, [("root", "child"), ("child", "root")], "parent string, child string"), "w")
-    assert exact_sample(nodes, 0.5).where("sampled").count() == 2
+        path_sums(weighed, edges_of(spark, ("a", "b"), ("b", "a")), "w")
+    assert [exact_sample(nodes, x).where("sampled").count() for x in (0, 0.5, 0.7, 1)] == [0, 2, 4, 5]
+
+
+def test_draws_ignore_partitioning(spark):
+    from contagraph.functions.profiles import FromInfectiousness
+
+    profile = FromInfectiousness(rng_seed=4)
+    nodes = spark.range(2500).selectExpr("cast(id as int) as idx", "concat('n', id) as node")
+    edges = spark.range(1, 2500).selectExpr("concat('n', cast((id - 1) / 3 as int)) as parent", "concat('n', id) as child")
+    dated = [simulate_dates(profile, nodes.repartition(n), edges.repartition(n), seed=2) for n in (1, 7)]
+    rows = [sorted(map(tuple, d.collect())) for d in dated]
+    assert rows[0] == rows[1] and len({r[5] for r in rows[0]}) > 2400
+    dated = materialised(dated[0], "dated")
+    table = [sorted((r["idx"], tuple(r["stochastic"])) for r in simulate_sequences(profile, dated.repartition(n), edges, 50, seed=2).table.collect()) for n in (1, 7)]
+    assert table[0] == table[1]
 
 
 def test_deep_chain(spark):
@@ -52,20 +79,44 @@ def test_deep_chain(spark):
     edges = frame(spark, [(str(i), str(i + 1)) for i in range(n - 1)], "parent string, child string")
     assert {int(r["node"]): r["total"] for r in path_sums(nodes, edges, "w").collect()} == {i: float(i) for i in range(n)}
     assert ancestors(nodes, edges).count() == n * (n + 1) // 2
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 4, (n, 45))
+    steps = frame(spark, [(str(i), str(i - 1) if i else None, codes[i].tolist()) for i in range(n)], "node string, up string, codes array<int>").withColumn("words", pack(F.col("codes"))).drop("codes")
+    got = {int(r["node"]): r["c"] for r in along_tree(steps, ("words",)).select("node", unpack(F.col("words"), 45).alias("c")).collect()}
+    assert [got[i] for i in range(n)] == (np.cumsum(codes, 0) % 4).tolist()
 
 
 def test_sequences(spark):
-    nodes = frame(spark, [(0, "root", 0.0, 6.0), (1, "child", 2.0, 8.0)], "idx int, node string, exposure_date double, sample_date double")
-    edges = frame(spark, [("root", "child")], "parent string, child string")
-    for rate, differ in ((0.0, 0), (0.5, 4)):
-        rows = {(r["node"], r["variant"]): r["codes"] for r in simulate_sequences(Fixed(rate), nodes, edges, 4).collect()}
-        assert sum(a != b for a, b in zip(rows["root", "deterministic"], rows["child", "deterministic"])) == differ
-        assert rows["root", "deterministic"] == rows["root", "stochastic"]
-    with pytest.raises(ConfigurationError):
-        simulate_sequences(Fixed(), nodes, edges, 0)
-    with pytest.raises(ConfigurationError):
-        simulate_sequences(Fixed(), nodes.drop("sample_date"), edges, 4)
-    assert wide_packed(simulate_sequences(Fixed(0.1), nodes, edges, 70)).count() == 2
+    nodes = frame(spark, [(0, "a", 1.0, 9.0), (1, "b", 4.0, 11.0), (2, "c", 30.0, 30.0)], "idx int, node string, exposure_date double, sample_date double")
+    edges = edges_of(spark, ("a", "b"), ("a", "c"))
+    differ = lambda x, y: sum(p != q for p, q in zip(x, y))
+    for rate, b, c in ((0.0, 0, 0), (0.25, 3, 5), (0.5, 6, 10), (9.0, 40, 40)):  # branches of 5 + 7 and 21 + 0 days
+        result = simulate_sequences(Stages(rate), nodes, edges, 40, return_raw=True)
+        rows = {v: {r["node"]: r["codes"] for r in result["raw"][v].collect()} for v in result.raw}
+        fixed = rows["deterministic"]
+        assert (differ(fixed["a"], fixed["b"]), differ(fixed["a"], fixed["c"])) == (b, c)
+        assert rows["stochastic"]["a"] == fixed["a"] and 0 < len(set(fixed["a"])) <= 4
+        words = {v: {r["node"]: r["c"] for r in result.packed[v].select("node", unpack(F.col("words"), 40).alias("c")).collect()} for v in result.packed}
+        assert words == rows and result.table.columns == ["idx", "node", "length", "deterministic", "stochastic"]
+    assert list(result) == ["packed", "raw"] and len(result) == 2 and "raw" in result and simulate_sequences(Stages(), nodes, edges, 4).raw is None
+    assert list(result.packed) == ["deterministic", "stochastic"] and "stochastic" in result.packed and set(result.to_dict()["raw"]) == set(result.raw)
+    for bad in (0, True, 2.0):
+        with pytest.raises(ConfigurationError):
+            simulate_sequences(Stages(), nodes, edges, bad)
+    for bad in (nodes.drop("sample_date"), nodes.withColumn("exposure_date", F.when(F.col("idx") != 2, F.col("exposure_date")))):
+        with pytest.raises(SimulationError):
+            simulate_sequences(Stages(), bad, edges, 4)
+
+
+def test_changed_words():
+    rng = np.random.default_rng(1)
+    counts = [0, 1, 5, 20, 33, 70, 99]
+    words = changed_words(rng, np.array(counts), 70)
+    bits = np.unpackbits(words.astype(">u8").view(np.uint8)).reshape(len(counts), -1, 2)
+    assert bits[:, :70].any(2).sum(1).tolist() == [0, 1, 5, 20, 33, 70, 70] and not bits[:, 70:].any()
+    many = changed_words(rng, np.full(20000, 3), 9)
+    hits = np.unpackbits(many.astype(">u8").view(np.uint8)).reshape(20000, -1, 2)[:, :9].any(2).sum(0)
+    assert abs(hits / 20000 - 1 / 3).max() < 0.02
 
 
 def test_packing_against_brute_force(spark):
@@ -81,29 +132,62 @@ def test_packing_against_brute_force(spark):
         packed(frame(spark, [(0, "a", [1.0])], "idx int, node string, codes array<double>"))
 
 
-def test_pair_table(spark):
-    codes = lambda s: [int(c) for c in s]
-    rows = [(i, n, codes(d), codes(s)) for i, (n, d, s) in enumerate(zip("ABCD", ("0000", "0100", "2000", "3333"), ("0000", "0110", "2200", "3330")))]
-    seq = frame(spark, rows, "idx int, node string, d array<int>, s array<int>").select("idx", "node", pack(F.col("d")).alias("deterministic"), pack(F.col("s")).alias("stochastic"))
-    nodes = frame(spark, [("A", True, 10.0), ("B", True, 12.0), ("C", False, 17.0), ("D", True, 20.0)], "node string, sampled boolean, sample_date double")
-    edges = frame(spark, [("A", "B"), ("A", "C")], "parent string, child string")
-    got = {(r[0], r[1]): tuple(r)[2:] for r in pair_case_table(seq, nodes, edges, 3).collect()}
-    assert len(got) == 6
-    assert got["A", "B"] == (True, True, 1, 2, 2.0) and got["B", "C"] == (True, False, 2, 3, 5.0) and got["A", "D"] == (False, True, 4, 3, 10.0)
+def test_pair_table_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    n, length = 23, 50
+    codes = rng.integers(0, 4, (2, n, length))
+    parent = {i: int(rng.integers(0, i)) for i in range(1, n) if i % 7}
+    dates = [None if i == 4 else float(rng.integers(0, 40)) / 2 for i in range(n)]
+    sampled = [None if i == 9 else bool(i % 3) for i in range(n)]
+    seq = frame(spark, [(10 * i, f"n{i}", codes[0][i].tolist(), codes[1][i].tolist()) for i in range(n)], "idx int, node string, d array<int>, s array<int>").select("idx", "node", pack(F.col("d")).alias("deterministic"), pack(F.col("s")).alias("stochastic"))
+    nodes = frame(spark, [(f"n{i}", sampled[i], dates[i]) for i in range(n)], "node string, sampled boolean, sample_date double")
+    edges = frame(spark, [(f"n{p}", f"n{c}") for c, p in parent.items()], "parent string, child string")
+    want = []
+    for i in range(n):
+        for j in range(i + 1, n):
+            kin = parent.get(j) == i or parent.get(i) == j or (i in parent and parent.get(i) == parent.get(j))
+            days = None if dates[i] is None or dates[j] is None else float(round(abs(dates[i] - dates[j])))
+            want.append((10 * i, 10 * j, f"n{i}", f"n{j}", kin, bool(sampled[i] and sampled[j]), *(int((c[i] != c[j]).sum()) for c in codes), days))
+    for blocks in (None, 1, 3):
+        got = pair_case_table(seq, nodes, edges, blocks, with_idx=True).orderBy("idx_a", "idx_b").collect()
+        assert [tuple(None if x != x else x for x in r) for r in got] == want
+    bare = pair_case_table(seq, nodes.select("node"), edges).collect()
+    assert len(bare) == len(want) and not any(r["BothSampled"] for r in bare) and all(r["SamplingDateDistanceDays"] != r["SamplingDateDistanceDays"] for r in bare)
 
 
 def test_fasta(spark, tmp_path):
-    rows = [(0, "a", [0] * 100 + [1, 2, 3, 0, 1]), (1, "b", [3] * 105)]
-    words = packed(frame(spark, rows, "idx int, node string, codes array<tinyint>"))
-    assert [r["record"] for r in fasta_records(words).orderBy("idx").collect()] == [">a\n" + "A" * 100 + "\nCGTAC", ">b\n" + "T" * 100 + "\nTTTTT"]
+    codes = np.random.default_rng(5).integers(0, 4, (3, 230))
+    text = ["".join("ACGT"[c] for c in x) for x in codes]
+    words = packed(frame(spark, [(i, f"s{i}", x.tolist()) for i, x in enumerate(codes)], "idx int, node string, codes array<tinyint>"))
+    want = [f">s{i}\n{t[:100]}\n{t[100:200]}\n{t[200:]}" for i, t in enumerate(text)]
+    assert [r["record"] for r in fasta_records(words).orderBy("idx").collect()] == want
     write_fasta_file(words, str(tmp_path / "x.fa"))
-    assert (tmp_path / "x.fa").read_text().splitlines()[3] == ">b"
+    assert (tmp_path / "x.fa").read_text() == "\n".join(want) + "\n"
+    write_fasta(words, f"file://{tmp_path}/many", partitions=2)
+    assert "".join(p.read_text() for p in sorted((tmp_path / "many").glob("part-*"))) == "\n".join(want) + "\n"
+
+
+def test_csv(spark, tmp_path):
+    given = tmp_path / "in.csv"
+    given.write_text('id,genetic_distance,note,sample_time_difference\n1,2,"a ""quoted"" word, and\ntwo lines", 3.5\n2,NaN,,\n3,n/a,plain,-1e1\n')
+    rows = read_observations(spark, str(given), keep_order=True)
+    got = [tuple(r)[:4] for r in rows.orderBy("csv_row").collect()]
+    assert got[0] == ("1", 2.0, 'a "quoted" word, and\ntwo lines', 3.5) and got[2] == ("3", got[2][1], "plain", -10.0) and got[2][1] != got[2][1]
+    write_csv(rows, str(tmp_path / "out.csv"))
+    again = pd.read_csv(tmp_path / "out.csv")
+    assert again.columns.tolist() == ["id", "genetic_distance", "note", "sample_time_difference"] and again.note[0] == got[0][2] and again.sample_time_difference.tolist()[::2] == [3.5, -10.0]
+    (tmp_path / "bad.csv").write_text("sample_time_difference\n1\n")
+    with pytest.raises(ConfigurationError):
+        read_observations(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "text.csv").write_text("sample_time_difference,genetic_distance\nlong,2\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_observations(spark, str(tmp_path / "text.csv")).collect()
 
 
 def test_cli(spark, tmp_path, capsys):
     good, bad = tmp_path / "in.csv", tmp_path / "bad.csv"
-    good.write_text("id,sample_time_difference,genetic_distance\na,1.0,0\nb,,1\nc,2.0,1\n")
-    bad.write_text("x,y\n1,2\n")
+    good.write_text("id,sample_time_difference,genetic_distance\na,4.5,3\nb,,2\nc,0.5,7\n")
+    bad.write_text("time,distance\n4,3\n")
     cli.main([str(good), "-o", str(tmp_path / "out.csv"), "--mc-samples", "200", "--maximum-depth", "0", "--seed", "1"])
     lines = (tmp_path / "out.csv").read_text().splitlines()
     assert lines[0] == "id,sample_time_difference,genetic_distance,linkage_score" and [x[0] for x in lines[1:]] == ["a", "b", "c"] and lines[2].endswith(",0.0")

@@ -38,7 +38,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, short lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*stashed: DataFrame | None) -> None:
+    """Delete the files of stashed tables that nothing is going to read any more; other frames and None are passed over."""
+    for df in stashed:
+        if path := getattr(df, "scratch_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

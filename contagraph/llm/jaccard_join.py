@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import col, fresh, stash, table
+from contagraph.llm.common import col, discard, fresh, stash, table
 from contagraph.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-6
-FIRST, BLOCK, SMALL_IDS, CACHE = 3, 512, 1_000_000, 400_000
+FIRST, BLOCK, SMALL_IDS, CACHE = 3, 512, 1_000_000, 200_000
 _HASHES = BANDS * ROWS
 _TOKENS = re.compile(r"\w+").findall
 _MULTIPLY, _ADD = np.random.default_rng(4).integers(1, 2**63, (2, _HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -247,10 +247,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 
 
-def _with_sets(sets: DataFrame, wanted: DataFrame, docs: DataFrame, reps: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _with_sets(sets: DataFrame, wanted: DataFrame, docs: DataFrame, reps: DataFrame, text: str, doc_id: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """sets with those of the wanted reps that it lacks."""
-    lacking = stash(wanted.join(sets.select("rep"), "rep", "left_anti"), "join-wanted")
-    return sets if lacking.isEmpty() else sets.unionByName(stash(sets_of(docs, lacking, reps, text, doc_id), "join-sets"))
+    lacking = keep(wanted.join(sets.select("rep"), "rep", "left_anti"), "join-wanted")
+    return sets if lacking.isEmpty() else sets.unionByName(keep(sets_of(docs, lacking, reps, text, doc_id), "join-sets"))
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id", links: bool = True, marks: bool = False) -> DataFrame:
@@ -261,40 +261,52 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     row a class, that of the smallest id. Texts without words are in no class but their own and always stay; so do
     null texts. Null ids join classes but name them only where no other does. Repeated rows are copies.
     """
-    rows = stash(sign(docs, text, doc_id, marks), "join-rows")
+    used: list[DataFrame] = []  # scratch tables, deleted when the last is written
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        used.append(stash(df, name))
+        return used[-1]
+
+    def classes(edges: DataFrame) -> DataFrame:
+        used.append(components(edges))
+        return used[-1]
+
+    rows = keep(sign(docs, text, doc_id, marks), "join-rows")
     more = ["mark"] if marks else []
-    reps = stash(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.min_by("doc_id", "uid").alias("doc_id"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "join-reps")
+    reps = keep(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.min_by("doc_id", "uid").alias("doc_id"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "join-reps")
     first = reps.select("rep", _banded(FIRST))
-    hubs = first.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("count")).where("count > 1")
+    # the smaller side of a join is written first, so that adaptive execution can split a large bucket or class
+    hubs = keep(first.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("count")).where("count > 1"), "join-hubs")
     stars = first.join(hubs, ["band", "key"]).where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    best = stash(prune(stars, reps, threshold, tolerance).groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"), "join-best")
-    sets = stash(sets_of(docs, _ends(best), reps, text, doc_id), "join-sets")
-    sure = stash(verify(best, sets, threshold), "join-sure")
-    labels = stash(components(sure), "join-labels")
+    best = keep(prune(stars, reps, threshold, tolerance).groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"), "join-best")
+    sets = keep(sets_of(docs, _ends(best), reps, text, doc_id), "join-sets")
+    sure = keep(verify(best, sets, threshold), "join-sure")
+    labels = classes(sure)
 
     tagged = reps.select("rep", "sig").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("solo", F.col("label").isNull()).withColumn("label", F.coalesce("label", "rep"))
     groups = tagged.select("rep", "label", "solo", _banded(BANDS)).groupBy("band", "key", "label").agg(F.min("rep").alias("rep"), F.first("solo").alias("solo"), F.count("*").alias("n"))
     mixed = groups.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", "label").alias("hub"), F.sum("n").alias("count"), F.min("solo").alias("solos")).where("low < high")
-    inside = stash(groups.select("band", "key", "label", "rep").join(mixed, ["band", "key"]), "join-groups")
+    inside = keep(groups.select("band", "key", "label", "rep").join(mixed, ["band", "key"]), "join-groups")
     near = prune(inside.where("label <> low").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, threshold, tolerance)
     of = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
     to = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
     named = near.join(of, "b", "left").join(to, "a", "left").select("a", "b", "hits", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    best = stash(named.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("e")).select("e.*"), "join-best")
-    sets = _with_sets(sets, _ends(best), docs, reps, text, doc_id)
-    sure = sure.unionByName(stash(verify(best, sets, threshold), "join-more"))
-    labels = stash(components(sure), "join-labels")
+    best = keep(named.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("e")).select("e.*"), "join-best")
+    sets = _with_sets(sets, _ends(best), docs, reps, text, doc_id, keep)
+    sure = sure.unionByName(keep(verify(best, sets, threshold), "join-more"))
+    labels = classes(sure)
 
     now = labels.select(F.col("node").alias("label"), F.col("label").alias("new"))
     apart = inside.where("count > 2 or not solos").join(now, "label", "left").withColumn("new", F.coalesce("new", "label")).groupBy("band", "key").agg(F.min("new").alias("low"), F.max("new").alias("high"), F.first("count").alias("count")).where("low < high").select("band", "key", "count")
-    rest = stash(reps.select("rep", _banded(BANDS)).join(apart, ["band", "key"]), "join-rest")
-    sets = _with_sets(sets, rest.select("rep").distinct(), docs, reps, text, doc_id)
+    apart = keep(apart, "join-apart")
+    rest = keep(reps.select("rep", _banded(BANDS)).join(apart, ["band", "key"]), "join-rest")
+    sets = _with_sets(sets, rest.select("rep").distinct(), docs, reps, text, doc_id, keep)
     rest = rest.join(reps.select("rep", "sig").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(sets, "rep"), "rep").withColumn("label", F.coalesce("label", "rep"))
-    found = stash(across(rest, threshold, tolerance), "join-across")
+    found = keep(across(rest, threshold, tolerance), "join-across")
     if not found.isEmpty():
         sure = sure.unionByName(found)
-        labels = stash(components(sure), "join-labels")
-    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("count")), "label")
+        labels = classes(sure)
+    sized = labels.join(keep(labels.groupBy("label").agg(F.count("*").alias("count")), "join-sizes"), "label")
     if links:
         counted = count_links(sized.where("count > 2").withColumnRenamed("node", "rep").join(sets, "rep"), threshold)
         sized = sized.join(counted, F.col("rep") == F.col("node"), "left").select("node", "label", F.coalesce("links", F.lit(1)).alias("links"))
@@ -302,7 +314,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
         sized = sized.withColumn("links", F.lit(None).cast("long"))
     known = reps.select("digest", "rep", "copies").join(sized, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     all_rows = stash(rows.select("uid", "doc_id", "digest", *more).join(known, "digest", "left").withColumn("label", F.coalesce("label", "uid")), "join-all")
-    first = all_rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
+    first = stash(all_rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")), "join-first")
+    discard(*used)
     return all_rows.join(first, "label").select("uid", "doc_id", "class_id", F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("uid") == F.col("first")).alias("stays"), *more)
 
 

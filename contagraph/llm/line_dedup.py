@@ -24,28 +24,34 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     Null text counts as one empty line and comes back as "". A null id counts as one document, smaller than all others.
     Rows that share an id are one document. Existing n_lines or n_dropped columns are kept; ours then get an underscore.
 
-    A row's distinct keys leave it as a pair of 64-bit hashes, so text crosses the network once, in the last join. Keys
-    are first made distinct with their document, which spreads a line that every document has; the count that follows
-    combines before its shuffle, and the join after that has a plain hash key, which adaptive execution can split.
+    Lines and texts may be of any length: a text's work grows with its lines, times the root of those it loses.
+
+    A row's keys leave it as a pair of 64-bit hashes, so text crosses the network once, in the last join. Keys are first
+    made distinct with their document, which spreads a line that every document has; the count that follows combines
+    before its shuffle, and the join after that has a plain hash key, which adaptive execution can split. Inside a
+    document its lost lines are found again by the first hash.
     """
     n_lines, n_dropped, did, gone, whole, kept_lines = fresh(docs, "n_lines", "n_dropped", "did", "gone", "whole", "kept_lines")
     did_of = F.coalesce(col(doc_id).cast("long"), F.lit(_NO_ID))
     body = F.coalesce(col(text), F.lit(""))
     long_lines = F.filter(F.split(body, "\n", -1), lambda x: F.char_length(x) >= min_chars)
-    keys = F.transform(long_lines, lambda x: F.struct(F.char_length(line_key(x)).alias("n"), F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit(7), line_key(x)).alias("h2")))
+    keys = F.filter(F.transform(long_lines, line_key), lambda k: F.char_length(k) >= min_chars)
     occurs = (
-        docs.select(did_of.alias("did"), F.explode(F.array_distinct(keys)).alias("k"))
-        .where(F.col("k.n") >= min_chars)
+        docs.select(did_of.alias("did"), F.explode(F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2")))).alias("k"))
         .select("did", "k.h1", "k.h2")
         .groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
     )
     frequent = occurs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("last")).where(F.col("n") >= min_docs)
+    # a document's lost hashes in bins, so that a text which loses thousands of lines isn't compared with all of them each time
+    bins = F.ceil(F.sqrt(F.size(gone) / 8)).cast("long")
     drops = (
         occurs.join(frequent, ["h1", "h2"]).where(F.col("did") < F.col("last"))
         .groupBy(F.col("did").alias(did)).agg(F.collect_list("h1").alias(gone))
+        .withColumn(gone, F.transform(F.sequence(F.lit(0).cast("long"), bins - 1), lambda b: F.filter(gone, lambda g: F.pmod(g, bins) == b)))
     )
     lines = F.split(F.col(whole), "\n", -1)
-    kept = F.filter(lines, lambda x: ~((F.char_length(x) >= min_chars) & F.array_contains(F.col(gone), F.xxhash64(line_key(x)))))
+    lost = lambda h: F.array_contains(F.get(gone, F.pmod(h, F.size(gone).cast("long")).cast("int")), h)
+    kept = F.filter(lines, lambda x: ~((F.char_length(x) >= min_chars) & lost(F.xxhash64(line_key(x)))))
     joined = docs.withColumn(did, did_of).withColumn(whole, body).join(drops, did, "left")
     parts = joined.withColumn(kept_lines, F.when(F.col(gone).isNull(), lines).otherwise(kept))
     return parts.select(

@@ -6,13 +6,18 @@ import base64
 import gzip
 import hashlib
 import io
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import col, scratch, table
+from contagraph.llm.common import col, scratch, stash, table
 
 #: A record's block is cut into segments of so many bytes, so a file holds at most RECORDS times a little more.
 SEGMENT, CHUNK, RECORDS = 16_384, 4_096, 2_000
@@ -33,6 +38,8 @@ def dechunked(body: bytes) -> bytes:
         if end < 0:
             raise ValueError("a chunk has no size line")
         size = int(body[at:end].split(b";")[0], 16)
+        if size < 0:
+            raise ValueError("a chunk's size is below 0")
         at = end + 2
         if size == 0:
             return b"".join(out)
@@ -111,80 +118,128 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = S
     ready.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
-
-
-_PARSED = "record_id string, kind string, page_id long, refers_to string, payload_digest string, segment int, origin string, total long, block binary, payload_bytes long, intact boolean"
+def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record, one at a time. Raises ValueError where there is no whole record."""
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError("no WARC record")
+        headers = {}
+        while (line := stream.readline()) not in (b"\r\n", b"\n"):
+            if not line:
+                raise ValueError("a record's headers have no end")
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            headers[k.strip().lower()] = v.strip()
+        n = int(headers.get("content-length", "none"))
+        block = stream.read(n)
+        if n < 0 or len(block) < n:
+            raise ValueError("a record is shorter than its length")
+        yield headers, block
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+
+
+def _decoded(block: bytes, said: str | None) -> dict:
+    """payload, its length and digest, and whether that is the one said; only intact: false if the framing is broken."""
+    try:
+        payload = payload_of(block)
+    except ValueError:
+        return {"payload": None, "payload_bytes": None, "payload_digest": said, "intact": False}
+    own = digest(payload)
+    return {"payload": payload, "payload_bytes": len(payload), "payload_digest": own, "intact": said in (None, own)}
+
+
+_ROW = {"record_id": "string", "record_type": "string", "page_id": "long", "refers_to": "string", "payload_digest": "string", "payload_bytes": "long", "intact": "boolean", "payload": "binary"}
+_PIECE = {"origin": "string", "segment": "int", "total": "long", "page_id": "long", "said": "string", "block": "binary"}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _schemas(fields: dict[str, str]) -> tuple[pa.Schema, str]:
+    return pa.schema([(k, _ARROW[v]) for k, v in fields.items()]), ", ".join(f"{k} {v}" for k, v in fields.items())
+
+
+def _rows(content: bytes, segments: bool) -> Iterator[dict]:
+    """Of an archive, plain or gzipped in any number of members: its segments, or all else."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    try:
+        for h, block in records(stream):
+            kind, said = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            number, page = _number(h.get("warc-segment-number")) or 0, _number(h.get("x-page-id"))
+            if kind not in ("response", "revisit", "continuation") or (number > 0) != segments:
+                continue
+            if segments:
+                origin = h.get("warc-segment-origin-id", h.get("warc-record-id"))
+                yield {"origin": origin, "segment": number, "total": _number(h.get("warc-segment-total-length")), "page_id": page, "said": said, "block": block}
+            else:
+                row = {"record_id": h.get("warc-record-id"), "record_type": kind, "page_id": page, "refers_to": h.get("warc-refers-to"), "payload_digest": said, "payload_bytes": None, "intact": kind == "revisit", "payload": None}
+                yield row | _decoded(block, said) if kind == "response" else row
+    except (ValueError, EOFError, OSError, zlib.error):
+        if not segments:
+            yield {"record_type": "unreadable", "intact": False}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record: record_id, record_type, page_id, payload_bytes, payload_digest, refers_to (a page_id), intact, payload.
+    """One row a record: record_id, record_type, page_id, refers_to, payload_digest, payload_bytes, intact, payload.
 
     Segments are grouped by the first one's id, put in order, and their length is held against the total the last one
-    states; a missing segment or another length or digest makes intact false. Whole records never leave their task.
-    A revisit's payload_bytes are its response's; its payload is null. Repeated rows stay; an empty archive gives no row.
+    states; a missing segment, two different ones of a number, another length or digest, or broken chunks make intact
+    false and leave the payload null where there is none. An archive that breaks off, or isn't one, gives its records up
+    to there and a row of type `unreadable`. Repeated records stay, segmented ones as often as their rarest segment.
+    An empty archive gives no row. A revisit's payload is null. Records are read one by one from the archive's bytes,
+    which the reader takes whole (at most 2 GB each); it parses twice, for segments and for all else.
     """
+    row_schema, row_ddl = _schemas(_ROW)
+    piece_schema, piece_ddl = _schemas(_PIECE)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                data, out = content.as_py(), []
-                data = gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data  # all members
-                for h, block in records(data):
-                    kind, said = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    number, origin = int(h.get("warc-segment-number", 0)), h.get("warc-segment-origin-id", h["warc-record-id"])
-                    row = {"record_id": h["warc-record-id"], "kind": kind, "page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "refers_to": h.get("warc-refers-to"), "payload_digest": said, "segment": number, "origin": origin, "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None}
-                    if kind == "response" and not number:
-                        payload = payload_of(block)
-                        row |= {"block": payload, "payload_bytes": len(payload), "payload_digest": (own := digest(payload)), "intact": own == said}
-                    elif number:
-                        row |= {"block": block}
-                    else:
-                        row |= {"intact": True}
-                    if kind in ("response", "revisit", "continuation"):
-                        out.append(row)
-                for i in range(0, len(out), 256):
-                    yield pa.RecordBatch.from_pylist(out[i : i + 256], schema=arrow)
-
-    arrow = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("intact", pa.bool_())])
-    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _PARSED)
-    whole = parsed.where(F.col("segment") == 0).select("record_id", "kind", "page_id", "refers_to", "payload_digest", "payload_bytes", "intact", F.col("block").alias("payload"))
+    def parse(segments: bool):
+        schema = piece_schema if segments else row_schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0):
+                    rows = _rows(content.as_py(), segments)
+                    while out := list(islice(rows, 256)):
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+        return run
+
+    archives = spark.read.format("binaryFile").load(path).select("content")
+    whole = archives.mapInArrow(parse(False), row_ddl)
     pieces = (
-        parsed.where(F.col("segment") > 0).groupBy("origin")
-        .agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("payload_digest").alias("said"))
+        archives.mapInArrow(parse(True), piece_ddl).groupBy("origin")
+        .agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("said").alias("said"))
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                block = b"".join(p["block"] for p in r["parts"])
-                row = {"record_id": r["origin"], "kind": "response", "page_id": r["page_id"], "refers_to": None, "payload_digest": r["said"], "payload_bytes": None, "intact": False, "payload": None}
-                if [p["segment"] for p in r["parts"]] == list(range(1, len(r["parts"]) + 1)) and len(block) == r["total"]:
-                    payload = payload_of(block)
-                    row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": (own := digest(payload)), "intact": own == r["said"]}
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=joined)
-
-    joined = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("intact", pa.bool_()), ("payload", pa.binary())])
-    whole = whole.unionByName(pieces.mapInArrow(join, "record_id string, kind string, page_id long, refers_to string, payload_digest string, payload_bytes long, intact boolean, payload binary"))
-    return whole.withColumnRenamed("kind", "record_type")
+            for i in range(0, batch.num_rows, 64):
+                out = []
+                for r in batch.slice(i, 64).to_pylist():
+                    times = Counter(p["segment"] for p in r["parts"])
+                    parts = dict(sorted((p["segment"], p["block"]) for p in r["parts"]))
+                    block = b"".join(parts.values())
+                    row = {"record_id": r["origin"], "record_type": "response", "page_id": r["page_id"], "refers_to": None, "payload_digest": r["said"], "payload_bytes": None, "intact": False, "payload": None}
+                    same = all(p["block"] == parts[p["segment"]] for p in r["parts"])
+                    if same and list(parts) == list(range(1, len(parts) + 1)) and len(block) == r["total"]:
+                        row |= _decoded(block, r["said"])
+                    out += [row] * min(times.values())
+                yield pa.RecordBatch.from_pylist(out, schema=row_schema)
+
+    return whole.unionByName(pieces.mapInArrow(join, row_ddl))
 
 
 def revisits_resolved(read: DataFrame) -> DataFrame:
-    """read without payloads; refers_to is the response's page_id, and revisits have its payload_bytes."""
-    slim = read.drop("payload")
+    """read without payloads; refers_to is the response's page_id, and revisits have its payload_bytes.
+
+    Rows that are neither response nor revisit go; a revisit whose response is missing isn't intact.
+    """
+    slim = stash(read.drop("payload"), "warc-rows")
     stem = F.regexp_replace("record_id", "^(<urn:page:[^:]*:[^:]*)(:.*)?>$", "$1>")
     again = slim.where(F.col("record_type") == "revisit")
     needed = slim.where(F.col("record_type") == "response").groupBy(stem.alias("to")).agg(F.max("page_id").alias("to_page"), F.max("payload_bytes").alias("to_bytes"))

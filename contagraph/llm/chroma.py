@@ -32,6 +32,8 @@ FRAME, HOP, SPAN, BASE = 512, 128, 12, 2000
 RUNS, OVERLAP, ERRORS, KEY = 3, 16, 0.15, 1
 #: A block holds about so many recordings or integers at most; a task counts so many equal integers at once.
 BLOCK, INTEGERS, EXPAND = 6000, 400_000, 1_000_000
+#: The integer of a window without sound: it says nothing of where recordings align, nor how well.
+SILENT = 0x55555555
 _LIMITS = (-0.25, 0.0, 0.25)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -100,11 +102,14 @@ def samples_of(audio: bytes | None) -> tuple[np.ndarray, int]:
 
 
 def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, float]:
-    """Best offset of y in x from the histogram of offsets of equal integers, its count, and the share of differing bits."""
+    """Best offset of y in x from the histogram of offsets of equal integers, its count, and the share of differing bits.
+
+    Windows without sound give no offset; where both are silent they count neither as overlap nor as equal bits.
+    """
     values, at = np.unique(np.concatenate([x, y]), return_inverse=True)
     order = np.argsort(at[: len(x)], kind="stable")
     starts = np.searchsorted(at[: len(x)][order], np.arange(len(values) + 1))
-    offsets = [order[starts[v] : starts[v + 1]] - j for j, v in enumerate(at[len(x) :])]
+    offsets = [order[starts[v] : starts[v + 1]] - j for j, v in enumerate(at[len(x) :]) if values[v] != SILENT]
     offsets = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
     if not len(offsets):
         return 0, 0, 1.0
@@ -112,9 +117,11 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, float]:
     best = int(np.argmax(counts)) - len(y)
     a, b = x[max(0, best) :], y[max(0, -best) :]
     n = min(len(a), len(b))
-    if n < OVERLAP:
+    a, b = a[:n], b[:n]
+    loud = (a != SILENT) | (b != SILENT)
+    if loud.sum() < OVERLAP:
         return best, int(counts.max()), 1.0
-    return best, int(counts.max()), float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n)
+    return best, int(counts.max()), float(np.bitwise_count(a[loud] ^ b[loud]).sum()) / (32 * int(loud.sum()))
 
 
 def matches(x: np.ndarray, y: np.ndarray) -> bool:
@@ -129,7 +136,8 @@ def fingerprints(media: DataFrame, audio: str = "audio", rec_id: str = "rec_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            prints = [fingerprint(*samples_of(a.as_py())).astype("<u4").tobytes() for a in batch.column(1)]
+            found = (fingerprint(*samples_of(a.as_py())) for a in batch.column(1))
+            prints = [v.astype("<u4").tobytes() if (v != SILENT).any() else b"" for v in found]
             uids = pa.array(range(uid, uid + len(prints)), pa.int64())
             uid += len(prints)
             yield pa.RecordBatch.from_arrays([uids, batch.column(0), pa.array([len(p) // 4 for p in prints], pa.int32()), pa.array([hashlib.md5(p).digest() for p in prints], pa.binary()), pa.array(prints, pa.binary())], names=["uid", "rec_id", "n", "digest", "prints"])
@@ -144,18 +152,18 @@ def grams(prints: bytes) -> set[bytes]:
 
 def _candidates(prints: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each of q, and those of p that have RUNS equal integers with it at one offset; all that share one where that is long to count."""
-    size = np.array([len(prints[i]) for i in p])
-    longest, owner = max(map(len, prints)), np.repeat(np.arange(len(p)), size)
-    values, place = np.concatenate([prints[i] for i in p]), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    loud = [np.flatnonzero(v != SILENT) for v in prints]
+    longest, owner = max(map(len, prints)), np.repeat(np.arange(len(p)), [len(loud[i]) for i in p])
+    values, place = np.concatenate([prints[i][loud[i]] for i in p]), np.concatenate([loud[i] for i in p])
     order = np.argsort(values, kind="stable")
     values, owner, place = values[order], owner[order], place[order]
-    low = [np.searchsorted(values, prints[j], "left") for j in q]
-    many = [np.searchsorted(values, prints[j], "right") - x for j, x in zip(q, low)]
+    low = [np.searchsorted(values, prints[j][loud[j]], "left") for j in q]
+    many = [np.searchsorted(values, prints[j][loud[j]], "right") - x for j, x in zip(q, low)]
     total = np.array([m.sum() for m in many])
     at = 0
     while at < len(q):
         if total[at] > EXPAND:
-            own = np.unique(prints[q[at]], return_index=True)[1]
+            own = np.unique(prints[q[at]][loud[q[at]]], return_index=True)[1]
             yield q[at], p[np.unique(np.concatenate([owner[low[at][k] : low[at][k] + many[at][k]] for k in own]))]
             at += 1
             continue
@@ -163,7 +171,7 @@ def _candidates(prints: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> Itera
         m, n = np.concatenate(many[at:end]), total[at:end].sum()
         hit = np.repeat(np.concatenate(low[at:end]) - np.cumsum(m) + m, m) + np.arange(n)
         mine = np.repeat(np.arange(end - at), total[at:end])
-        where = np.repeat(np.concatenate([np.arange(len(prints[j])) for j in q[at:end]]), m)
+        where = np.repeat(np.concatenate([loud[j] for j in q[at:end]]), m)
         codes, times = np.unique((mine * len(p) + owner[hit]) * (2 * longest) + place[hit] - where + longest, return_counts=True)
         pairs = np.unique(codes[times >= RUNS] // (2 * longest))
         cut = np.searchsorted(pairs, np.arange(end - at + 1) * len(p))
@@ -217,14 +225,15 @@ def align_recordings(media: DataFrame, audio: str = "audio", rec_id: str = "rec_
 
     class_id is the smallest id among recordings that match it directly or through others; n_copies the rows of equal
     fingerprints; n_links the different fingerprints that match it. Classes and links are exact. Null, unreadable,
-    silent and too short recordings without an integer match nothing and are no copies. Null ids join classes but never
+    silent and too short recordings have no integers (n_prints 0), match nothing and are no copies; silence within a
+    recording gives no match either. An empty table gives no row. Null ids join classes but never
     name them. Repeated rows are copies; extra columns don't matter. Comparing costs the square of the number of
     different fingerprints, spread over tasks in blocks.
     """
     rows = stash(fingerprints(media, audio, rec_id), "chroma-rows")
     reps = stash(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.min("prints").alias("prints"), F.min("n").alias("n"), F.count("*").alias("copies")), "chroma-reps")
     found = stash(compare(reps), "chroma-found")
-    labels = stash(components(found.where("b is not null").select("a", "b")), "chroma-labels")
+    labels = components(found.where("b is not null").select("a", "b"))
     counted = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     sized = labels.join(counted, F.col("a") == F.col("node"), "left").select("node", "label", "links")
     known = reps.select("digest", "rep", "copies").join(sized, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

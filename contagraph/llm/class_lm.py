@@ -239,7 +239,8 @@ def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
             table[a] -= r
             table[:, a] -= b
             table[a, a] -= s
-            left, right, nl, nr = table.sum(1), table.sum(0), r.sum() + s, b.sum() + s
+            # the classes' own sums hold what precedes and follows w, whichever class it joins
+            left, right, nl, nr = table.sum(1) + b, table.sum(0) + r, r.sum() + s, b.sum() + s
             base = f(table)
             rows = (f(table + r) - base).sum(1) - (f(table[diag, diag] + r) - base[diag, diag])
             cols = (f(table + b[:, None]) - base).sum(0) - (f(table[diag, diag] + b) - base[diag, diag])

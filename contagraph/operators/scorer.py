@@ -20,7 +20,7 @@ from contagraph.functions.profiles import FromInfectiousness
 from contagraph.operators.draws import draw_frame
 from contagraph.operators.draws import mutation_process as canonical_process
 from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolve_targets
-from contagraph.plans.shared import materialised
+from contagraph.plans.shared import discard, materialised
 
 #: Draws of up to so many rows are sorted and sent to all tasks (16 bytes a row); larger ones are looked up by joins, with
 #: the same results. EDGES is the most ranges of values that an axis is cut into.
@@ -53,6 +53,7 @@ class EcdfTable:
         below = F.sum("inside").over(Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
         held = every.join(rows, ["label", "part"], "left").select("label", "part", F.coalesce(below, F.lit(0)).alias("below"), "n", F.coalesce("values", F.array().cast("array<double>")).alias("values"), F.coalesce("cums", F.array().cast("array<bigint>")).alias("cums"))
         self.frame = materialised(held, "ecdf")
+        discard(counts, rows)
 
     def part(self, value: Column) -> Column:
         """The range that a value lies in."""

@@ -63,6 +63,7 @@ def test_sentencepiece(docs):
         assert model.encode(t) == raw and model.decode(raw) == sp.decode(ids)
     got = {r["doc_id"]: r for r in encode_decode(docs).collect()}
     assert got[5]["n_tokens"] == 2 and got[5]["decoded"] == "" and got[10]["decoded"] == "word " * 30000
+    assert encode_decode(docs.limit(0)).count() == 0 and encode_decode(docs.withColumnRenamed("score", "IDS")).columns[-3:] == ["n_tokens", "ids_", "decoded"]
 
 
 def test_class_lm(docs):

@@ -1,4 +1,11 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, encoding."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, encoding.
+
+Null texts and texts without a letter go in the first stage, which has no language for them; later stages would take them
+as empty. Null ids, languages and sources stay as they are: null ids are one document to the line stage, rows of their own
+to the join, and one source of their own holds the rows without one. Texts of any length are read whole. Repeated rows are
+copies: the join keeps one of them. Of ties the smallest id stays, null last. Empty tables give empty tables. Extra
+columns are kept, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +44,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents but the text, with its ids and digests."""
+    """The columns of documents but the text, with its ids and digests; a row for each row."""
     coded = encode_decode(docs)
     n_tokens, ids, decoded = coded.columns[-3:]
     kept = [c for c in docs.columns if c != "text"]

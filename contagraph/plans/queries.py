@@ -25,7 +25,8 @@ from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolv
 from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, compatibility_score, draw_counts, ecdf, percentiles
 from contagraph.operators.sequences import along_tree, changed_words, distance_matrix, hamming_pairs, packed, simulate_sequences
 from contagraph.operators.trees import draw_periods, exact_sample, in_degrees, path_sums, related, roots, simulate_dates
-from contagraph.plans.shared import materialised
+from contagraph.plans.shared import materialised, scratch
+from contagraph.sources.csv_io import read_observations, write_csv_folder
 from contagraph.sources.fasta import fasta_records
 
 QUERIES: dict = {}
@@ -98,6 +99,33 @@ def scenario_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("n_nationkey", "raw", scenario_label(F.col("raw")).alias("label"))
 
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS event_id, props || ', "' || event_type || '"' || chr(10) AS note, CASE WHEN event_id % 10 = 0 THEN 'NaN'::DOUBLE ELSE value END AS sample_time_difference, CAST(user_id AS DOUBLE) AS genetic_distance FROM events""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with text of quotes, commas and line feeds, written to CSV files and read back."""
+    e = _table(spark, sf_dir, "events")
+    note = F.concat("props", F.lit(', "'), "event_type", F.lit('"\n'))
+    path = scratch(spark, "csv")
+    write_csv_folder(e.select("event_id", note.alias("note"), F.when(F.col("event_id") % 10 != 0, F.col("value")).alias(TIME), F.col("user_id").alias(GENETIC)), path)
+    return read_observations(spark, path)
+
+
+_CHECKS = [("latent_shape", 5.807, "ValueError"), ("latent_shape", 5.0, "ok"), ("relaxation", -0.5, "ValueError"), ("relaxation", 0, "ok"), ("incubation_scale", 0, "ValueError"), ("symptomatic_rate", True, "TypeError"), ("genome_length", "10", "TypeError"), ("genome_length", 10, "ok"), ("testing_delay_scale", -1.0, "ValueError"), ("transmission_rate_ratio", None, "TypeError")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{name}', '{found}')" for i, (name, _, found) in enumerate(_CHECKS)) + ") v(i, field, found)")
+def parameter_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each value of a field gives."""
+
+    def found(name: str, value) -> str:
+        try:
+            NaturalHistory(**{name: value})
+        except (TypeError, ValueError) as e:
+            return type(e).__name__
+        return "ok"
+
+    return spark.createDataFrame([(i, name, found(name, value)) for i, (name, value, _) in enumerate(_CHECKS)], "i int, field string, found string")
+
+
 @query("""WITH k AS (SELECT range AS k FROM range(30)), t AS (SELECT k, unnest([0, 1, 2]) AS j FROM k),
 l AS (SELECT DISTINCT k, CASE j WHEN 0 THEN 100 + (k % 3) * 10 + k % 2 ELSE k % 4 END AS o, CASE j WHEN 0 THEN 'ca(' || k % 3 || ',' || k % 2 || ')' ELSE 'ad(' || k % 4 || ')' END AS label FROM t)
 SELECT k, (row_number() OVER (PARTITION BY k ORDER BY o) - 1)::INTEGER AS ord, label FROM l""")
@@ -166,6 +194,18 @@ def score_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("original", GENETIC, (F.round("score", 9) + 0.0).alias("score"))
 
 
+@query(f"""WITH {_D}, {_cdf('t', 'time_draw')}, {_cdf('g', 'genetic_draw')}, obs AS (SELECT event_id, value AS sample_time_difference, CAST(user_id % 100 AS DOUBLE) AS genetic_distance FROM events), {_SCORED}
+SELECT event_id, round(sum(time_compatibility * genetic_compatibility), 9) AS score FROM c WHERE label IN ('click', 'view') GROUP BY event_id""")
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of observations, scored by joins with the draws' tables, until all are read."""
+    scorer = PairScorer(_draws(spark, sf_dir), ("click", "view"), broadcast_draws=0)
+    stream = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    scored = scorer.score(stream.select("event_id", F.col("value").alias(TIME), (F.col("user_id") % 100).cast("double").alias(GENETIC)))
+    out = scratch(spark, "scores")
+    scored.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(scored.schema).parquet(out).select("event_id", F.round("score", 9).alias("score"))
+
+
 def _named_model(spark: SparkSession, sf_dir: str) -> LinkageModel:
     """A model over draws of the user's own: clicks for ad(0), views for ca(0,0)."""
     draws = _draws(spark, sf_dir).where(F.col("label").isin("click", "view")).withColumn("label", F.when(F.col("label") == "click", "ad(0)").otherwise("ca(0,0)"))
@@ -596,3 +636,23 @@ def outbreak_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _forest(spark, sf_dir)
     dated = materialised(simulate_dates(profile, nodes.select(F.col("k").alias("idx"), "node"), edges, 0.8, seed=1), "dated")
     return pair_case_table(simulate_sequences(profile, dated, edges, 500, seed=1).table, dated, edges)
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, n AS (SELECT count(*) AS n FROM nodes), c AS (SELECT parent, count(*) AS k FROM edges GROUP BY parent)
+SELECT n * (n - 1) // 2 AS pairs, CAST((SELECT count(*) FROM edges) + (SELECT sum(k * (k - 1) // 2) FROM c) AS BIGINT) AS related, CAST(round_even(0.8::DOUBLE * n, 0) * (round_even(0.8::DOUBLE * n, 0) - 1) / 2 AS BIGINT) AS sampled, true AS in_range FROM n""")
+def outbreak_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every simulated outbreak of the forest: pairs, related and sampled ones, distances and whole days in range."""
+    table = outbreak_simulation(spark, sf_dir)
+    near = lambda c: F.col(c).between(0, 500)
+    days = F.col("SamplingDateDistanceDays")
+    fits = F.min(near("DeterministicDistance") & near("StochasticDistance") & (days >= 0) & (days == F.floor(days)))
+    return table.agg(F.count("*").alias("pairs"), F.count_if("IsRelated").alias("related"), F.count_if("BothSampled").alias("sampled"), fits.alias("in_range"))
+
+
+@query("SELECT count(*)::BIGINT AS n, true AS in_range, true AS direct_first FROM lineitem")
+def model_score_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for the default model's scores of all observations: none lost, all from 0 to the number of targets."""
+    scored = model_draw_scores(spark, sf_dir)
+    early = F.max(F.when(F.col(TIME).between(0, 10), F.col("score")))
+    late = F.max(F.when(F.abs(F.col(TIME)) > 100, F.col("score")))
+    return scored.agg(F.count("*").alias("n"), F.min(F.col("score").between(0, 2)).alias("in_range"), (early > late).alias("direct_first"))

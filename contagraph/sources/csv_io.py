@@ -46,6 +46,11 @@ def write_csv(df: DataFrame, out: str | TextIO) -> None:
         _write(out, columns, rows)
 
 
+def write_csv_folder(df: DataFrame, path: str) -> None:
+    """A folder of files with headers, written by all tasks; read_observations() reads it back."""
+    df.drop(ROW).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def _write(f: TextIO, columns: list[str], rows) -> None:
     w = csv.writer(f, lineterminator="\n")
     w.writerow(columns)

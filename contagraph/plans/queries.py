@@ -231,7 +231,7 @@ def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.withColumn("score", F.round("score", 9))
 
 
-@query("""WITH n AS (SELECT n_nationkey AS k FROM nation), d AS (SELECT k, (k * i + 3 * i) % 17 AS v FROM n, range(100) r(i)), p AS (SELECT k, avg(CASE WHEN v <= k % 11 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM d GROUP BY k)
+@query("""WITH n AS (SELECT n_nationkey::BIGINT AS k FROM nation), d AS (SELECT k, (k * i + 3 * i) % 17 AS v FROM n, range(100) r(i)), p AS (SELECT k, avg(CASE WHEN v <= k % 11 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM d GROUP BY k)
 SELECT k, round(p, 9) AS percentile, round(1 - 2 * abs(p - 0.5), 9) AS compatibility FROM p""")
 def single_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

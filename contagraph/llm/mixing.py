@@ -26,23 +26,37 @@ def uniform(*keys: Column | int) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0**-53)
 
 
+def _sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with, for each of sums, what comes before the row in the order: within its range of rows, and in all ranges before.
+
+    Rows are dealt into ranges, so no task sorts them all; only one row a range meets in one task.
+    """
+    ranged = stash(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(*[F.sum(x).alias(k) for k, x in sums.items()])
+    parts = parts.select("part", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"{k}_ahead") for k in sums])
+    rows = ranged.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"{k}_inside") for k, x in sums.items()])
+    return rows.join(F.broadcast(parts), "part").select(*df.columns, *[(F.col(f"{k}_ahead") + F.col(f"{k}_inside")).alias(k) for k in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
     """source, source_size, n, target: weights cycle over the sources by code point (null last) and share all words.
 
     A target stops at `most` times its source's words; the excess is shared again by weight. That level is found in one
     pass: by ascending most*size/weight, the first source that isn't capped sets the words per weight of all the rest.
-    Its windows hold one row a source.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = per.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(place, F.lit(len(weights))) + 1).cast("int")))
+    by_name = F.col("source").asc_nulls_last()
+    ranked = _sums_before(per, [by_name], {"place": F.lit(1).cast("long")}, "mix-places")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")))
     ranked = ranked.withColumn("cap", most * F.col("source_size").cast("double")).withColumn("per", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("per", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    share = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    leveled = ranked.withColumn("share", share)
-    level = F.min(F.when(F.col("share") <= F.col("per"), F.struct("per", "share"))).over(every)["share"]
-    return leveled.withColumn("level", level).select("source", "source_size", "n", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    leveled = stash(_sums_before(ranked, [F.col("per").asc(), by_name], {"caps": F.col("cap"), "weights": F.col("weight")}, "mix-caps"), "mix-levels")
+    words, weight = leveled.agg(F.sum("source_size"), F.sum("weight")).first()
+    share = (F.lit(words) - F.col("caps")) / (F.lit(weight) - F.col("weights"))
+    # of equal caps a weight, the first is the one with the largest share
+    level = leveled.agg((-F.min(F.when(share <= F.col("per"), F.struct("per", (-share).alias("less"))))["less"]).alias("level")).first()[0]
+    return leveled.select("source", "source_size", "n", F.least("cap", F.coalesce(F.lit(level).cast("double") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def _folded(level: int) -> Column:
@@ -71,8 +85,8 @@ def mixing_decisions(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, doc_
     Rows that agree in id, source and size are numbered by `copy` and decided one by one. Null text has no words; null
     sources are a source of their own; null ids are equal to each other. Documents without words never move mass: their
     fraction is drawn alone. Draws depend on id, source, size, copy and level only, so reruns and other partitionings agree.
+    Of a very long text only its number of words counts; extra columns don't matter; an empty table gives no row.
     """
-    spark = docs.sparkSession
     sizes = docs.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), word_count(col(text)).alias("size"))
     sizes = stash(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")).select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy")), "mix-sizes")
     targets = stash(source_targets(sizes, weights), "mix-targets")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import col, discard, fold, fresh, stash, table
+from contagraph.llm.common import col, discard, fold, fresh, short_batches, stash, table
 
 #: Words clustered on the driver, groups of rare words, classes, rounds of exchange, words with a class of their own.
 CLUSTERED, SUFFIXES, CLASSES, ROUNDS, FREQUENT = 3000, 256, 64, 4, 150_000
@@ -66,7 +66,7 @@ def count_words(docs: DataFrame, groups: int = SUFFIXES) -> DataFrame:
         if counts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "key binary, grp int, c long").groupBy("key", "grp").agg(F.sum("c").alias("c"))
+    return short_batches(docs.select("text")).mapInArrow(run, "key binary, grp int, c long").groupBy("key", "grp").agg(F.sum("c").alias("c"))
 
 
 class _Units(dict):
@@ -108,7 +108,7 @@ def code(docs: DataFrame, words: list[bytes], groups: int = SUFFIXES, text: str
 
     schema = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in kept]
     kinds = ("long", "binary", "array<binary>", "array<int>")
-    return docs.select(*map(col, kept), col(text)).mapInArrow(run, ", ".join([*schema, *(f"`{n}` {k}" for n, k in zip(names, kinds))]))
+    return short_batches(docs.select(*map(col, kept), col(text))).mapInArrow(run, ", ".join([*schema, *(f"`{n}` {k}" for n, k in zip(names, kinds))]))
 
 
 def _counted(coded: DataFrame, maps: tuple[np.ndarray, ...], cells) -> DataFrame:
@@ -373,7 +373,7 @@ def score_coded(coded: DataFrame, model: ClassModel, counts: DataFrame, keep: tu
     """score() of stashed texts that code() made with the model's words."""
     row, codes, rare, times = names
     shared = coded.sparkSession.sparkContext.broadcast((model.base, model.emit, model.cls, model.step, model.seen))
-    own = fresh(coded, "n_tokens", "n_known", "base_score", "score")
+    *own, extra, known = fresh(coded, "n_tokens", "n_known", "base_score", "score", "more", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, emit, cls, step, seen = shared.value
@@ -393,10 +393,10 @@ def score_coded(coded: DataFrame, model: ClassModel, counts: DataFrame, keep: tu
     part = coded.select(*map(col, keep), row, codes).mapInArrow(run, ", ".join([*schema, f"`{row}` long", *(f"`{n}` {k}" for n, k in zip(own, ("long", "long", "double", "double")))]))
     each = coded.select(row, F.explode(F.arrays_zip(F.col(rare).alias("key"), F.col(times).alias("times"))).alias("x")).select(row, "x.key", "x.times")
     found = each.join(counts.select("key", "c"), "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    per = found.groupBy(row).agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("lm_more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("lm_known"))
-    both, more = part.join(per, row, "left"), F.coalesce("lm_more", F.lit(0.0))
+    per = found.groupBy(row).agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias(extra), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias(known))
+    both, more = part.join(per, row, "left"), F.coalesce(extra, F.lit(0.0))
     n_tokens, n_known, base_score, total = own
-    return both.select(*map(col, keep), F.col(n_tokens).alias("n_tokens"), (F.col(n_known) + F.coalesce("lm_known", F.lit(0))).alias("n_known"), (F.col(base_score) + more).alias("base_score"), (F.col(total) + more).alias("score"))
+    return both.select(*map(col, keep), F.col(n_tokens).alias("n_tokens"), (F.col(n_known) + F.coalesce(known, F.lit(0))).alias("n_known"), (F.col(base_score) + more).alias("base_score"), (F.col(total) + more).alias("score"))
 
 
 def train_and_score(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, ClassModel]:

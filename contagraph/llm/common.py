@@ -1,13 +1,15 @@
-"""Shared helpers: input tables, the shared folder, and collision-free column names."""
+"""Shared helpers: input tables, text functions, and collision-free column names; tables in the shared folder are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contagraph.plans.shared import discard, scratch
+from contagraph.plans.shared import materialised as stash
+
+__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "col", "discard", "fold", "fresh", "scratch", "short_batches", "stash", "table", "word_count"]
+
 #: The characters that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -18,38 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a fresh local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="contagraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, short lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, whose session hands texts to Python workers in batches of at most `rows` from now on.
 
-def discard(*stashed: DataFrame | None) -> None:
-    """Delete the files of stashed tables that nothing is going to read any more; other frames and None are passed over."""
-    for df in stashed:
-        if path := getattr(df, "scratch_path", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    Spark's default of 10,000 makes buffers of tens of MB in each task, on both sides, where texts are long. It is a
+    setting of the session: a smaller one stays as it is. No result depends on it.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

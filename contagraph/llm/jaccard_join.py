@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import col, discard, fresh, stash, table
+from contagraph.llm.common import col, discard, fresh, short_batches, stash, table
 from contagraph.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -113,7 +113,7 @@ def sign(docs: DataFrame, text: str, doc_id: str, marks: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([uids, batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), *batch.columns[2:]], names=["uid", "doc_id", "digest", "n", "sig", *more])
 
     picked = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), *(_mark(text).alias(m) for m in more))
-    return picked.mapInArrow(run, ", ".join(["uid long, doc_id long, digest binary, n int, sig binary", *(f"{m} binary" for m in more)]))
+    return short_batches(picked).mapInArrow(run, ", ".join(["uid long, doc_id long, digest binary, n int, sig binary", *(f"{m} binary" for m in more)]))
 
 
 def _matrix(column) -> np.ndarray:
@@ -147,7 +147,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, reps: DataFrame, text: str, doc_
             found = [x for t in batch.column(0) if len(x := shingles(t.as_py(), words))]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["digest", "h"])
 
-    found = few.mapInArrow(run, "digest binary, h binary").join(chosen.select("digest", "rep"), "digest")
+    found = short_batches(few).mapInArrow(run, "digest binary, h binary").join(chosen.select("digest", "rep"), "digest")
     return found.groupBy("rep").agg(F.min("h").alias("h"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contagraph.llm.common import col, fold, fresh, stash, table
+from contagraph.llm.common import col, fold, fresh, short_batches, stash, table
 
 #: The fit reads about so many documents a language; that alone bounds the model.
 SAMPLE = 1500
@@ -191,7 +191,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
             for kind, x in ((0, found), (1, grams)):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array([kind] * len(x), pa.int32()), pa.array(list(x), pa.string()), pa.array(x.values(), pa.int64())], names=["lang", "kind", "item", "n"])
 
-    counted = stash(chosen.mapInArrow(run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "lang-counts")
+    counted = stash(short_batches(chosen).mapInArrow(run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "lang-counts")
     place, tables = {name: i for i, name in enumerate(languages)}, []
     for kind in (0, 1):
         got = counted.where(F.col("kind") == kind).select("lang", "item", "n").toArrow().combine_chunks()
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: WordFirstModel, text: str = "text") -> Data
         finally:
             own.reset()  # the worker may live on
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(sure, T.DoubleType())]))
+    return short_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(sure, T.DoubleType())]))
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contagraph.llm.common import col, fresh, table
+from contagraph.llm.common import col, fresh, short_batches, table
 
 SPACE = "▁"
 #: A worker keeps 2 * CACHE chunks and PAIRS pairs of pieces at most, and encodes ROWS texts at once. None changes a result.
-CACHE, PAIRS, LONGEST_KEPT, ROWS = 100_000, 300_000, 48, 1000
+CACHE, PAIRS, LONGEST_KEPT, ROWS = 150_000, 300_000, 48, 1000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -287,7 +287,7 @@ def encode_decode(docs: DataFrame, model_file: str | None = None, text: str = "t
             model.forget()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(n_tokens, T.LongType()), T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return short_batches(docs).mapInArrow(run, schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

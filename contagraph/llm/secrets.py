@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contagraph.llm.common import col, table
+from contagraph.llm.common import col, short_batches, table
 
 TREES, DEPTH, LEAF, KEEP, CONTEXT = 40, 9, 3, 0.5, 48
 #: Labelled findings beyond so many are sampled for the fit.
 MAX_FINDINGS = 50_000
+#: Findings written by hand, and how often each counts beside one made by rule.
+FINDINGS, WEIGHT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "findings.csv"), 10
 
 # Common words of code, configuration and prose, for dictionary coverage and character transitions.
 DICTIONARY = """
@@ -40,7 +43,7 @@ word work write your
 """.split()
 # Words beside a candidate that speak for and against a secret.
 FOR = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "private", "credential", "auth", "bearer")
-AGAINST = ("sha", "md5", "commit", "checksum", "digest", "integrity", "uuid", "guid", "revision", "etag", "example", "sample", "dummy", "placeholder", "changeme", "build", "version", "hash")
+AGAINST = ("sha", "md5", "commit", "checksum", "digest", "integrity", "uuid", "guid", "revision", "etag", "example", "sample", "dummy", "placeholder", "changeme", "build", "version", "hash", "base64", "data:", "your", "insert", "getenv", "${")
 PATHS = ("test", "example", "sample", "doc", "fixture", "mock", "lock", "vendor")
 
 _RUN = re.compile(r"[A-Za-z0-9_+/=\-]{16,}").finditer
@@ -59,12 +62,20 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     found = [r for r in runs if _DIGIT(text, *r)]
     values = []
     if "=" in text or ":" in text:
-        for m in _VALUE(text):
-            a, b = m.span(1)
-            if any(w in text[max(0, m.start() - 24) : m.start()].lower() for w in FOR) and not any(x < b and a < y for x, y in found):
-                values.append((a, b))
-    plain = [(a, b) for a, b in runs if not _DIGIT(text, a, b) and not any(x < b and a < y for x, y in values)]
-    return sorted(found + values + plain)
+        spans = (m.span(1) for m in _VALUE(text) if any(w in text[max(0, m.start() - 24) : m.start()].lower() for w in FOR))
+        values = _apart(spans, found)
+    return sorted(found + values + _apart((r for r in runs if not _DIGIT(text, *r)), values))
+
+
+def _apart(spans: Iterable[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of the taken ones; both come in order and don't overlap among themselves."""
+    out, i = [], 0
+    for a, b in spans:
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
+            out.append((a, b))
+    return out
 
 
 def _transitions() -> dict[str, float]:
@@ -180,6 +191,17 @@ def example_findings(n: int = 4000, seed: int = 11) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["value", "left", "right", "path", "label"])
 
 
+def labelled_findings() -> pd.DataFrame:
+    """Findings written by hand (shape, label, path, left, value, right); none is a real key."""
+    return pd.read_csv(FINDINGS, keep_default_na=False)
+
+
+def training_findings(by_hand: pd.DataFrame | None = None) -> pd.DataFrame:
+    """The examples made by rule, and those written by hand WEIGHT times each."""
+    by_hand = labelled_findings() if by_hand is None else by_hand
+    return pd.concat([example_findings(), *[by_hand[["value", "left", "right", "path", "label"]]] * WEIGHT])
+
+
 def fit(findings: pd.DataFrame) -> Forest:
     """A forest from labelled findings; of more than MAX_FINDINGS a sample is used."""
     rows = findings.sample(MAX_FINDINGS, random_state=1) if len(findings) > MAX_FINDINGS else findings
@@ -190,8 +212,9 @@ def fit(findings: pd.DataFrame) -> Forest:
 def scan(docs: DataFrame, forest: Forest, keep: float = KEEP, text: str = "text", path: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, start, length (code points), kind, score, is_secret: a row for each candidate of each row of docs.
 
-    Whole texts are read. Null and empty texts have no candidates; a null path is "". Repeated rows repeat their
-    findings, and candidates never overlap. Extra columns don't matter. Each row is handled alone, without a shuffle.
+    Whole texts are read, however long. Null and empty texts have no candidates; a null path is "". Repeated rows repeat
+    their findings, and candidates never overlap; equal candidates in equal surroundings have equal scores. An empty
+    table gives no row. Extra columns don't matter. Each row is handled alone, without a shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest.trees)
 
@@ -211,8 +234,8 @@ def scan(docs: DataFrame, forest: Forest, keep: float = KEEP, text: str = "text"
 
     picked = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), col(path).cast("string").alias("path"))
     arrow_id = pa.int64()
-    return picked.mapInArrow(run, T.StructType.fromDDL("doc_id long, start long, length long, kind string, score double, is_secret boolean"))
+    return short_batches(picked).mapInArrow(run, T.StructType.fromDDL("doc_id long, start long, length long, kind string, score double, is_secret boolean"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), fit(example_findings()))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), fit(training_findings()))

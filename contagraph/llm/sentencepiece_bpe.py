@@ -9,6 +9,7 @@ bitfield the places from which no continuation exists, so that each is tried onc
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -108,6 +109,8 @@ class PieceModel:
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.normal)
         known = {c for p in self.normal for c in p}
         self.single = {c for c in known if c in self.normal}
+        # neighbours within a piece; a character without a piece of its own is always a part of its own
+        self.joined = {p[i : i + 2] for p in reachable for i in range(len(p) - 1) if p[i] in self.single and p[i + 1] in self.single}
         self.apart = apart and "\n" not in known and self.prefix and self.escape
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.apart else r"[\s\S]+").findall
         self.cache, self.words = _Cache(self.encode_chunk), _Cache(self.encode_word)
@@ -172,19 +175,20 @@ class PieceModel:
                 at -= size[piece]
 
     def encode_chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        if self.single.issuperset(chunk):
-            ids = self.backtrack(chunk)
+        """Ids of a chunk, part by part: no piece holds the two characters on either side of a cut, so no merge crosses it."""
+        joined = self.joined
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return self.encode_part(chunk)
+        return b"".join([self.cache[chunk[i:j]] for i, j in zip([0, *cuts], [*cuts, len(chunk)])])
+
+    def encode_part(self, part: str) -> bytes:
+        """Ids of a part without a cut: pieces, or the bytes of one character that has none."""
+        if part[0] in self.single:
+            ids = self.backtrack(part)
         else:
-            start = 0
-            for i, c in enumerate(chunk + "\0"):
-                if i == len(chunk) or c not in self.single:
-                    if i > start:
-                        ids += self.backtrack(chunk[start:i])
-                    if i < len(chunk):
-                        ids += [self.bytes_at[b] for b in c.encode()] if self.bytes_at else [self.unk]
-                    start = i + 1
-        return np.array(ids, "<u4").tobytes()
+            ids = [self.bytes_at[b] for b in part.encode()] if self.bytes_at else [self.unk]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_word(self, word: str) -> bytes:
         """A word after one blank, or, if it starts with a line feed, after none."""

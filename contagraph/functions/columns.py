@@ -32,6 +32,11 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 def pack(codes: Column) -> Column:
     """Array of 64-bit words of an array of codes 0..3: 32 bases a word, the first in its top bits, zeros at the end."""
+    # as a lambda's variable the codes are computed once, not again for each base
+    return F.get(F.transform(F.array(codes), _words), F.lit(0))
+
+
+def _words(codes: Column) -> Column:
     n = F.ceil(F.size(codes) / WORD).cast("int")
     word = lambda w: F.aggregate(
         F.sequence(F.lit(0), F.lit(WORD - 1)), F.lit(0).cast("long"),

@@ -17,11 +17,12 @@ from contagraph.llm.line_dedup import OP10_SQL, op10_line_dedup
 from contagraph.llm.mixing import op5_mix_sources
 from contagraph.llm.secrets import op2_secret_scan
 from contagraph.llm.sentencepiece_bpe import op8_sentencepiece
+from contagraph.llm.suffix_dedup import op13_suffix_dedup
 from contagraph.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op2_secret_scan, op3_chroma, op4_jaccard_join, op5_mix_sources, op6_warc, op7_collision_ann, op8_sentencepiece, op9_language_id, op10_line_dedup, op11_conversation_repair, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_class_lm, op2_secret_scan, op3_chroma, op4_jaccard_join, op5_mix_sources, op6_warc, op7_collision_ann, op8_sentencepiece, op9_language_id, op10_line_dedup, op11_conversation_repair, op12_source_divergence, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +64,59 @@ def bases(codes: Column) -> Column:
 
 def wrapped(text: Column, width: int = 100) -> Column:
     return F.regexp_replace(text, f"(.{{{width}}})(?=.)", "$1\n")
+
+
+def _constant_sql(values: np.ndarray, kind: str) -> str:
+    """An array of numbers as SQL that folds into a constant; repr() of a double reads back as the same one."""
+    return f"cast(split('{','.join(map(repr, values.tolist()))}', ',') as array<{kind}>)"
+
+
+def _halvings(n: int) -> list[int]:
+    return [1 << i for i in reversed(range(n.bit_length()))]
+
+
+class Steps:
+    """A distribution function: sorted distinct values, and how many draws are no larger than each.
+
+    A column bisects the values in log2 of their number of steps, inside the engine.
+    """
+
+    def __init__(self, values: np.ndarray, cums: np.ndarray) -> None:
+        self.values, self.cums = np.asarray(values, float), np.asarray(cums, np.int64)
+        self.n = int(self.cums[-1])
+        self.single = self.n == len(self.values)  # no value twice: the counts are the places
+
+    def of(self, x: float) -> float:
+        """The share of draws no larger than x; 0 for NaN."""
+        at = 0 if np.isnan(x) else int(np.searchsorted(self.values, x, side="right"))
+        return float(self.cums[at - 1] / self.n) if at else 0.0
+
+    def share(self, x: Column) -> Column:
+        """The share of draws no larger than x; 1 for NaN."""
+        at = bisected(F.expr(_constant_sql(self.values, "double")), len(self.values), x)
+        count = at if self.single else F.coalesce(F.get(F.expr(_constant_sql(self.cums, "bigint")), at - 1), F.lit(0))
+        return count / F.lit(float(self.n))
+
+    def share_sql(self, x: str) -> str:
+        """The same as SQL, of an SQL expression."""
+        at = f"aggregate(array({', '.join(map(str, _halvings(len(self.values))))}), 0, (p, h) -> if(get({_constant_sql(self.values, 'double')}, p + h - 1) <= {x}, p + h, p))"
+        count = at if self.single else f"coalesce(get({_constant_sql(self.cums, 'bigint')}, {at} - 1), 0)"
+        return f"{count} / {float(self.n)!r}D"
+
+
+def bisected(values: Column, n: int, x: Column) -> Column:
+    """How many of n sorted values, an array, are no larger than x (all for NaN), by halving."""
+    return F.aggregate(F.array(*map(F.lit, _halvings(n))), F.lit(0), lambda p, h: F.when(F.get(values, p + h - 1) <= x, p + h).otherwise(p))
+
+
+def interpolated(x: Column, at: np.ndarray, values: np.ndarray) -> Column:
+    """The straight line between points (at, ascending; values) at x, the first or last value beyond them; null for NaN and null."""
+    xs, ys = F.expr(_constant_sql(np.asarray(at, float), "double")), F.expr(_constant_sql(np.asarray(values, float), "double"))
+    n, x = len(at), F.nullif(x.cast("double"), F.lit(float("nan")))
+
+    def line(p: Column) -> Column:
+        x0, y0 = F.get(xs, p - 1), F.get(ys, p - 1)
+        return F.when(p == 0, F.lit(float(values[0]))).when(p == n, F.lit(float(values[-1]))).otherwise((F.get(ys, p) - y0) / (F.get(xs, p) - x0) * (x - x0) + y0)
+
+    # as a lambda's variable the place is found once
+    return F.when(x.isNotNull(), F.get(F.transform(F.array(bisected(xs, n, x)), line), F.lit(0)))

@@ -6,9 +6,10 @@ A profile is a driver object; its grid is small and goes to executors as a DataF
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from contagraph.exceptions import ConfigurationError
+from contagraph.functions.columns import interpolated
 from contagraph.functions.gamma import gamma_cdf, gamma_pdf
 from contagraph.functions.parameters import NaturalHistory
 
@@ -28,7 +29,7 @@ class TransmissionProfile:
         self._grid: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __repr__(self) -> str:
-        return f"{type(self).__name__}({self.parameters!r})"
+        return f"{type(self).__name__}({self.parameters!r}, grid_min_days={self.grid_min_days}, grid_max_days={self.grid_max_days}, grid_points={self.grid_points})"
 
     def pdf(self, days) -> np.ndarray:
         raise NotImplementedError
@@ -55,6 +56,11 @@ class TransmissionProfile:
         x, _, c = self.grid()
         return np.interp(np.asarray(days, float), x, c, left=0.0, right=1.0)
 
+    def cdf_column(self, days: Column) -> Column:
+        """cdf() as an expression of the engine; null and NaN give null."""
+        x, _, c = self.grid()
+        return interpolated(days, x, c)
+
     def mean(self) -> float:
         x, f, _ = self.grid()
         mass = float(np.trapezoid(f, x))
@@ -64,6 +70,11 @@ class TransmissionProfile:
         x, _, c = self.grid()
         return np.interp(u, c, x)
 
+    def quantile_column(self, u: Column) -> Column:
+        """quantile() as an expression of the engine; null and NaN give null."""
+        x, _, c = self.grid()
+        return interpolated(u, c, x)
+
     def rvs(self, size=1, rng: np.random.Generator | None = None) -> np.ndarray:
         return self.quantile((rng or self.rng).random(size))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from contagraph.exceptions import ConfigurationError, SimulationError
 from contagraph.functions.profiles import FromInfectiousness
-from contagraph.operators.scenarios import Scenario, scenario_frame
+from contagraph.operators.scenarios import Scenario, enumerate_scenarios, scenario_frame
 
 BLOCK = 1000
 DRAWS = "ord int, label string, draw_id long, time_draw double, branch_draw double, genetic_draw double"
@@ -43,31 +44,48 @@ def scenario_draws(profile, scenario: Scenario, n: int, rng: np.random.Generator
 
 
 def genetic_draws(profile, branch: np.ndarray, process: str, rng: np.random.Generator | None = None, counts: np.random.Generator | None = None) -> np.ndarray:
-    """Mutations along the branch, with a clock rate for each draw: expected, or Poisson."""
+    """Mutations along the branch, with a clock rate for each draw: expected, by the profile's own rule if it has one, or Poisson."""
     process = mutation_process(process)
-    rates = profile.sample_clock_rate(len(branch), **({} if rng is None else {"rng": rng}))
-    expected = branch * rates
+    extra = {} if rng is None else {"rng": rng}
+    own = getattr(profile, "expected_mutations", None)
+    expected = np.asarray(own(branch, **extra) if own else branch * profile.sample_clock_rate(len(branch), **extra), float)
     return expected if process == "deterministic" else (counts or rng or np.random.default_rng()).poisson(expected)
 
 
+def _takes_rng(profile) -> bool:
+    """Whether all samplers can be given a generator."""
+    samplers = (profile.sample_incubation_periods, profile.sample_testing_delays, profile.sample_generation_intervals, getattr(profile, "expected_mutations", None) or profile.sample_clock_rate)
+    return all("rng" in (p := inspect.signature(f).parameters) or any(x.kind is x.VAR_KEYWORD for x in p.values()) for f in samplers)
+
+
 def draw_frame(spark: SparkSession, profile: FromInfectiousness, depth: int, n: int, process: str = "stochastic", seed: int = 0, mutation_seed: int | None = None) -> DataFrame:
-    """n draws of every scenario up to `depth`: rows of (scenario, block) are seeded by both, then drawn with NumPy."""
+    """n draws of every scenario up to `depth`: rows of (scenario, block) are seeded by both, then drawn with NumPy.
+
+    A profile is any object with the samplers of TransmissionProfile. Where they take no `rng`, they have a state of their
+    own that can't be dealt out: such a profile is asked on the driver, n at a time, in the order of the scenarios.
+    """
     process = mutation_process(process)
     mutation_seed = seed if mutation_seed is None else mutation_seed
-    profile.grid()
+    if hasattr(profile, "grid"):
+        profile.grid()
+
+    def drawn(order: int, label: str, block: int, size: int, rng: np.random.Generator | None) -> pd.DataFrame:
+        counts = np.random.default_rng([mutation_seed, order, block, 1])
+        try:
+            time, branch = scenario_draws(profile, Scenario.parse(label), size, rng)
+            genetic = np.asarray(genetic_draws(profile, branch, process, rng, counts), float)
+        except Exception as e:
+            raise SimulationError(f"the draws of scenario {label} failed: {e}") from e
+        return pd.DataFrame({"ord": order, "label": label, "draw_id": block * BLOCK + np.arange(size), "time_draw": time, "branch_draw": branch, "genetic_draw": genetic})
+
+    if not _takes_rng(profile):
+        every = pd.concat([drawn(i, s.label(), 0, n, None) for i, s in enumerate(enumerate_scenarios(depth))])
+        return spark.createDataFrame(every, DRAWS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                size = min(BLOCK, n - r.block * BLOCK)
-                rng = np.random.default_rng([seed, r.ord, r.block])
-                counts = np.random.default_rng([mutation_seed, r.ord, r.block, 1])
-                try:
-                    time, branch = scenario_draws(profile, Scenario.parse(r.label), size, rng)
-                    genetic = np.asarray(genetic_draws(profile, branch, process, rng, counts), float)
-                except Exception as e:
-                    raise SimulationError(f"the draws of scenario {r.label} failed: {e}") from e
-                yield pd.DataFrame({"ord": r.ord, "label": r.label, "draw_id": r.block * BLOCK + np.arange(size), "time_draw": time, "branch_draw": branch, "genetic_draw": genetic})
+                yield drawn(r.ord, r.label, r.block, min(BLOCK, n - r.block * BLOCK), np.random.default_rng([seed, r.ord, r.block]))
 
     blocks = spark.range(-(-n // BLOCK)).select(F.col("id").alias("block"))
     keys = scenario_frame(spark, depth).crossJoin(blocks)

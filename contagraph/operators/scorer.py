@@ -2,86 +2,75 @@
 
 from __future__ import annotations
 
-import math
+import operator
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from contagraph.exceptions import ConfigurationError, ScenarioError, SimulationError
-from contagraph.functions.columns import compatibility, known
+from contagraph.functions.columns import Steps, compatibility, known
 from contagraph.functions.profiles import FromInfectiousness
 from contagraph.operators.draws import draw_frame
 from contagraph.operators.draws import mutation_process as canonical_process
 from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolve_targets
-from contagraph.plans.shared import discard, materialised
+from contagraph.plans.shared import materialised
 
-#: Draws of up to so many rows are sorted and sent to all tasks (16 bytes a row); larger ones are looked up by joins, with
-#: the same results. EDGES is the most ranges of values that an axis is cut into.
-BROADCAST_DRAWS, EDGES = 4_000_000, 1024
+#: Up to so many distinct draws are constants of the plan; more become a table that observations are merged with. The
+#: results are the same either way.
+CONSTANT_DRAWS = 200_000
 TIME, GENETIC = "sample_time_difference", "genetic_distance"
 AXES = (("time", TIME, "time_draw"), ("genetic", GENETIC, "genetic_draw"))
 
 
 class EcdfTable:
-    """The distribution functions of one column of the draws, by label, in ranges of values.
+    """The distribution functions of one column of the draws, by label: counts has label, v, c for each distinct value."""
 
-    Equal draws are counted first, so a value that most draws share is one entry. The ranges are cut at quantiles of the
-    distinct values, about as many as entries in each. frame has a row for each label and range, empty ones too: label,
-    part, below (the label's draws in lower ranges), n (all of its draws), values and cums (sorted values of the range,
-    and how many of the range's draws are no larger).
-    """
+    def __init__(self, draws: DataFrame, value: str, label: str = "label") -> None:
+        self.counts = materialised(draws.groupBy(F.col(label).alias("label"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "ecdf-counts")
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> EcdfTable:
+        """From counts (label, v, c) that are kept already."""
+        out = cls.__new__(cls)
+        out.counts = counts
+        return out
 
-    def __init__(self, draws: DataFrame, value: str, label: str = "label", edges: int = EDGES) -> None:
-        counts = materialised(draws.groupBy(F.col(label).alias("label"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "ecdf-counts")
-        size = counts.where(~F.isnan("v")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
-        parts = int(min(edges, max(1.0, math.sqrt(size["n"] / max(1, size["labels"])))))
-        cuts = counts.where(~F.isnan("v")).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-        self.cuts = sorted({float(x) for x in cuts or []})
-        placed = counts.withColumn("part", self.part(F.col("v")))
-        cum = F.sum("c").over(Window.partitionBy("label", "part").orderBy("v"))
-        rows = placed.withColumn("e", F.struct("v", cum.alias("cum"))).groupBy("label", "part").agg(F.sum("c").alias("inside"), F.sort_array(F.collect_list("e")).alias("e"))
-        rows = materialised(rows.select("label", "part", "inside", F.transform("e", lambda e: e["v"]).alias("values"), F.transform("e", lambda e: e["cum"]).alias("cums")), "ecdf-parts")
-        # from here on at most `edges` rows a label
-        every = rows.groupBy("label").agg(F.sum("inside").alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(self.cuts)))))
-        below = F.sum("inside").over(Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-        held = every.join(rows, ["label", "part"], "left").select("label", "part", F.coalesce(below, F.lit(0)).alias("below"), "n", F.coalesce("values", F.array().cast("array<double>")).alias("values"), F.coalesce("cums", F.array().cast("array<bigint>")).alias("cums"))
-        self.frame = materialised(held, "ecdf")
-        discard(counts, rows)
-
-    def part(self, value: Column) -> Column:
-        """The range that a value lies in."""
-        if not self.cuts:
-            return F.lit(0)
-        return F.size(F.filter(F.array(*map(F.lit, self.cuts)), lambda e: e < value))
+    def totals(self) -> DataFrame:
+        """label, n: all of its draws."""
+        return self.counts.groupBy("label").agg(F.sum("c").alias("n"))
 
     def rows(self) -> DataFrame:
         """label, value, cum_count, n: one row for each distinct value."""
-        each = self.frame.select("label", "below", "n", F.explode(F.arrays_zip("values", "cums")).alias("e"))
-        return each.select("label", F.col("e.values").alias("value"), (F.col("below") + F.col("e.cums")).alias("cum_count"), "n")
+        cum = _running(self.counts.select("label", "v", "c", F.lit(0).alias("asked")))
+        return cum.join(self.totals(), "label").select("label", F.col("v").alias("value"), F.col("cum").alias("cum_count"), "n")
 
-    def percentile(self, labelled: DataFrame, value: str, out: str) -> DataFrame:
-        """labelled (label, value, ...) with the share of the label's draws that are no larger, as `out`; for streams too.
+    def percentile(self, asked: DataFrame, value: str, out: str) -> DataFrame:
+        """Distinct asked (label, value) with the share of the label's draws that are no larger, as `out`; 0 for NaN.
 
-        NaN and null have percentile 0. Rows of a label without draws go.
+        Rows of a label without draws go.
         """
-        x = known(F.col(value))
-        table = self.frame.select(F.col("label").alias("ecdf_label"), F.col("part").alias("ecdf_part"), F.struct("below", "n", "values", "cums").alias("ecdf_row"))
-        both = labelled.join(table, (F.col("label") == F.col("ecdf_label")) & (self.part(x) == F.col("ecdf_part")))
-        return both.select(*[F.col(c) for c in labelled.columns], _share(F.col("ecdf_row"), x).alias(out))
+        events = self.counts.select("label", "v", "c", F.lit(0).alias("asked")).unionByName(asked.select("label", F.col(value).alias("v"), F.lit(0).cast("long").alias("c"), F.lit(1).alias("asked")))
+        found = _running(events).where(F.col("asked") == 1).join(self.totals(), "label")
+        return found.select("label", F.col("v").alias(value), F.when(F.isnan("v"), 0.0).otherwise(F.col("cum") / F.col("n")).alias(out))
 
 
-def _share(row: Column, x: Column) -> Column:
-    """The percentile of x from a row of an EcdfTable."""
-    inside = F.size(F.filter(row["values"], lambda v: v <= x))
-    count = row["below"] + F.when(inside > 0, F.get(row["cums"], inside - 1)).otherwise(0)
-    return F.when(F.isnan(x), 0.0).otherwise(count / row["n"])
+def _running(events: DataFrame) -> DataFrame:
+    """events (label, v, c, asked) with cum: the sum of c over the label's rows of lower values, and equal ones not asked.
+
+    A sorted merge in parts: rows are cut into ranges of v at sampled quantiles, as many as the session has shuffle
+    partitions; each range adds up in order, from what the ranges below it hold. No row grows with the draws.
+    """
+    cut = materialised(events.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ecdf-ranges")
+    inside = cut.withColumn("inside", F.sum("c").over(Window.partitionBy("part", "label").orderBy("v", "asked")))
+    # a row for each range and label
+    carried = F.sum("held").over(Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = cut.groupBy("part", "label").agg(F.sum("c").alias("held")).select("part", "label", F.coalesce(carried, F.lit(0)).alias("before"))
+    return inside.join(before, ["part", "label"]).select("label", "v", "c", "asked", (F.col("before") + F.col("inside")).alias("cum"))
 
 
 def ecdf(draws: DataFrame, value: str, label: str = "label") -> DataFrame:
@@ -92,9 +81,9 @@ def ecdf(draws: DataFrame, value: str, label: str = "label") -> DataFrame:
 def percentiles(obs: DataFrame, draws: DataFrame | EcdfTable, column: str, value: str) -> DataFrame:
     """obs rows (with `label`) and percentile; 0 for NaN and null.
 
-    The ranges' table is looked up once for each label and distinct value of obs, so a value that many rows share costs
-    no more than another; rows then fetch theirs by an equi-join whose other side is written first, so that adaptive
-    execution broadcasts it or splits a hot value.
+    Each label and distinct value of obs is merged with the draws once, so a value that many rows share costs no more than
+    another; rows then fetch theirs by an equi-join whose other side is written first, so that adaptive execution
+    broadcasts it or splits a hot value.
     """
     table = draws if isinstance(draws, EcdfTable) else EcdfTable(draws, value)
     seen = obs.select(F.col("label"), known(F.col(column)).alias("ecdf_x")).distinct()
@@ -103,13 +92,19 @@ def percentiles(obs: DataFrame, draws: DataFrame | EcdfTable, column: str, value
     return both.select(*[F.col(c) for c in obs.columns], "percentile")
 
 
-def percentiles_by_join(obs: DataFrame, draws: DataFrame, column: str, value: str) -> DataFrame:
-    """The same by comparing every draw with every observation: for small tables and tests only."""
-    x = known(F.col(column))
-    keyed = obs.withColumn("row", F.monotonically_increasing_id())
-    both = keyed.join(draws.select(F.col("label").alias("l"), F.col(value).alias("v")), F.col("label") == F.col("l"))
-    hit = F.when((F.col("v") <= x) & ~F.isnan(x), 1.0).otherwise(0.0)
-    return both.groupBy("row", *obs.columns).agg(F.avg(hit).alias("percentile")).drop("row")
+def label_percentiles(obs: DataFrame, draws: DataFrame | EcdfTable, labels: Iterable[str], column: str, value: str, out: str = "percentiles") -> DataFrame:
+    """obs with the percentiles of `column` among each label's draws, as an array in the order of the labels; 0 for NaN and null.
+
+    The same as percentiles() of every row with every label, but rows are joined once, and whole. A label without draws
+    has null.
+    """
+    labels = list(labels)
+    table = draws if isinstance(draws, EcdfTable) else EcdfTable(draws, value)
+    seen = obs.select(known(F.col(column)).alias("ecdf_x")).distinct().select("ecdf_x", F.explode(F.array(*map(F.lit, labels))).alias("label"))
+    found = table.percentile(seen, "ecdf_x", "p").groupBy("ecdf_x").agg(*[F.max(F.when(F.col("label") == x, F.col("p"))).alias(f"p{i}") for i, x in enumerate(labels)])
+    found = materialised(found.select("ecdf_x", F.array(*[f"p{i}" for i in range(len(labels))]).alias("ecdf_p")), "percentiles")
+    both = obs.join(found, known(F.col(column)) == F.col("ecdf_x"))
+    return both.select(*[F.col(c) for c in obs.columns], F.col("ecdf_p").alias(out))
 
 
 @dataclass(frozen=True, slots=True)
@@ -166,105 +161,95 @@ def draw_counts(draws: DataFrame) -> DataFrame:
 
 
 class PairScorer:
-    """Scores of one set of target scenarios.
+    """Scores of one set of target scenarios, by expressions and joins of the engine alone.
 
-    Draws of up to BROADCAST_DRAWS rows go to all tasks as sorted arrays; larger ones stay tables that observations join.
-    Both give the same results and errors; a column or SQL function of a score needs the former.
+    Up to CONSTANT_DRAWS distinct draws are sorted constants of the plan, which each row bisects; more stay a table that
+    observations are merged with. Both give the same results and errors. Columns, SQL functions and streams bisect
+    constants whatever the number of draws.
     """
 
-    def __init__(self, draws: DataFrame, labels: tuple[str, ...], broadcast_draws: int | None = None) -> None:
+    def __init__(self, draws: DataFrame, labels: tuple[str, ...], constant_draws: int | None = None) -> None:
         self.labels = labels
-        most = BROADCAST_DRAWS if broadcast_draws is None else broadcast_draws
-        self.draws = draws.where(F.col("label").isin(*labels))
-        sizes = {r["label"]: r["n"] for r in draw_counts(self.draws).collect()}
-        if missing := [x for x in labels if x not in sizes]:
+        most = CONSTANT_DRAWS if constant_draws is None else constant_draws
+        ends = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(value).cast("double").alias("v")) for i, (_, _, value) in enumerate(AXES)]))
+        picked = draws.where(F.col("label").isin(*labels)).select("label", ends.alias("e")).select("label", "e.axis", "e.v")
+        self.counts = materialised(picked.groupBy("label", "axis", "v").agg(F.count("*").alias("c")), "ecdf-counts")
+        sizes = {(r["label"], r["axis"]): r["n"] for r in self.counts.groupBy("label", "axis").agg(F.count("*").alias("n")).collect()}
+        if missing := [x for x in labels if (x, 0) not in sizes]:
             raise SimulationError(f"no draws for {', '.join(missing)}")
-        self.sorted: list[tuple[str, np.ndarray, np.ndarray]] | None = None
-        self._tables: dict[str, EcdfTable] = {}
-        if sum(sizes.values()) <= most:
-            held = self.draws.select("label", F.col("time_draw").cast("double"), F.col("genetic_draw").cast("double")).toArrow().to_pandas()
-            by = dict(list(held.groupby("label")))
-            self.sorted = [(x, np.sort(by[x]["time_draw"].to_numpy()), np.sort(by[x]["genetic_draw"].to_numpy())) for x in labels]
-
-    def table(self, value: str) -> EcdfTable:
-        """The table of one axis, made at its first use."""
-        if value not in self._tables:
-            self._tables[value] = EcdfTable(self.draws, value)
-        return self._tables[value]
+        self.constant = sum(sizes.values()) <= most
+        self._steps: dict[tuple[str, int], Steps] | None = None
+
+    def table(self, axis: int) -> EcdfTable:
+        """The table of one axis."""
+        return EcdfTable.of(self.counts.where(F.col("axis") == axis).select("label", "v", "c"))
+
+    def steps(self) -> dict[tuple[str, int], Steps]:
+        """The distribution functions as sorted arrays, on the driver: 16 bytes a distinct draw."""
+        if self._steps is None:
+            held = self.counts.toArrow().to_pandas()
+            self._steps = {}
+            for (label, axis), rows in held.groupby(["label", "axis"]):
+                order = np.argsort(rows["v"].to_numpy())
+                self._steps[label, int(axis)] = Steps(rows["v"].to_numpy()[order], np.cumsum(rows["c"].to_numpy()[order]))
+        return self._steps
+
+    def _pairs(self) -> list[tuple[Steps, Steps]]:
+        steps = self.steps()
+        return [(steps[x, 0], steps[x, 1]) for x in self.labels]
 
     def score_column(self, time: Column, genetic: Column) -> Column:
         """The summed compatibility as a column; null and NaN score 0."""
-        return score_function(self)(known(time), known(genetic))
+        t, g = known(time), known(genetic)
+        return _total([compatibility(x.share(t)) * compatibility(y.share(g)) for x, y in self._pairs()])
+
+    def score_sql(self, time: str, genetic: str) -> str:
+        """The same as SQL, of two SQL expressions."""
+        known_sql = lambda x: f"coalesce(cast({x} as double), double('NaN'))"
+        fit = lambda s, x: f"(1 - 2 * abs({s.share_sql(known_sql(x))} - 0.5D))"
+        return " + ".join(f"{fit(x, time)} * {fit(y, genetic)}" for x, y in self._pairs())
+
+    def score_values(self, time: float, genetic: float) -> float:
+        """The same of two numbers, without a job."""
+        return float(sum(compatibility_from_percentile(x.of(time)) * compatibility_from_percentile(y.of(genetic)) for x, y in self._pairs()))
+
+    def _percentiles(self, obs: DataFrame, time: str, genetic: str) -> DataFrame:
+        """obs with scored_time and scored_genetic: percentiles in the order of the labels."""
+        if self.constant or obs.isStreaming:
+            columns = [F.array(*[F.when(F.isnan(x), 0.0).otherwise(pair[axis].share(x)) for pair in self._pairs()]) for axis, x in enumerate((known(F.col(time)), known(F.col(genetic))))]
+            return obs.select("*", columns[0].alias("scored_time"), columns[1].alias("scored_genetic"))
+        for axis, column, out in ((0, time, "scored_time"), (1, genetic, "scored_genetic")):
+            obs = label_percentiles(obs, self.table(axis), self.labels, column, "v", out)
+        return obs
 
     def breakdown(self, obs: DataFrame, time: str = TIME, genetic: str = GENETIC) -> DataFrame:
         """obs with label, both percentiles and compatibilities, and their product: a row for each scenario. NaN has percentile 0."""
         names = ["label", "time_percentile", "time_compatibility", "genetic_percentile", "genetic_compatibility", "compatibility"]
         if clash := {c.lower() for c in obs.columns} & set(names):
             raise ConfigurationError(f"columns {sorted(clash)} are those of the result")
-        if self.sorted is None:
-            both = obs.withColumn("label", F.explode(F.array(*map(F.lit, self.labels))))
-            for p, c, value in (("time_percentile", time, "time_draw"), ("genetic_percentile", genetic, "genetic_draw")):
-                table = self.table(value)
-                both = table.percentile(both, c, p) if obs.isStreaming else percentiles(both, table, c, value).withColumnRenamed("percentile", p)
-        else:
-            shared, at = self.sorted, (obs.columns.index(time), obs.columns.index(genetic))
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    x = [batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float) for i in at]
-                    for label, *axes in shared:
-                        p = [np.where(np.isnan(v), 0.0, np.searchsorted(s, v, side="right") / len(s)) for v, s in zip(x, axes)]
-                        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([label] * batch.num_rows, pa.string()), *map(pa.array, p)], names=[*batch.schema.names, "label", "time_percentile", "genetic_percentile"])
-
-            double = T.DoubleType()
-            both = obs.mapInArrow(run, T.StructType([*obs.schema.fields, T.StructField("label", T.StringType()), T.StructField("time_percentile", double), T.StructField("genetic_percentile", double)]))
+        rows = F.explode(F.arrays_zip(F.array(*map(F.lit, self.labels)).alias("label"), F.col("scored_time").alias("time_percentile"), F.col("scored_genetic").alias("genetic_percentile")))
+        both = self._percentiles(obs, time, genetic).select(*[F.col(c) for c in obs.columns], rows.alias("scored")).select(*[F.col(c) for c in obs.columns], "scored.*")
         both = both.withColumn("time_compatibility", compatibility(F.col("time_percentile"))).withColumn("genetic_compatibility", compatibility(F.col("genetic_percentile")))
         return both.withColumn("compatibility", F.col("time_compatibility") * F.col("genetic_compatibility")).select(*obs.columns, *names)
 
     def score(self, obs: DataFrame, time: str = TIME, genetic: str = GENETIC, out: str = "score") -> DataFrame:
         """obs, a table or a stream, with the sum of its compatibilities; null and NaN score 0."""
-        if self.sorted is not None:
+        if self.constant or obs.isStreaming:
             return obs.withColumn(out, self.score_column(F.col(time), F.col(genetic)))
-        # each axis is one column of all labels' compatibilities, so rows stay whole and need no key
         now = obs.drop(out) if out in obs.columns and out not in (time, genetic) else obs
-        names = list(now.columns)
-        for axis, column, value in (("scored_time", time, "time_draw"), ("scored_genetic", genetic, "genetic_draw")):
-            now = self._joined(now, column, self.table(value), axis)
-        total = F.aggregate(F.zip_with("scored_time", "scored_genetic", lambda p, q: p * q), F.lit(0.0), lambda acc, x: acc + x)
-        return now.select(*[F.col(c) for c in names if c != out], total.alias(out))
-
-    def _joined(self, obs: DataFrame, column: str, table: EcdfTable, out: str) -> DataFrame:
-        """obs with `out`, an array of compatibilities in the order of the labels."""
-        x = known(F.col(column))
-        if obs.isStreaming:  # a stream has no distinct values: its rows meet the table's ranges
-            wide = table.frame.groupBy("part").agg(*[F.max(F.when(F.col("label") == label, F.struct("below", "n", "values", "cums"))).alias(f"ecdf_{i}") for i, label in enumerate(self.labels)])
-            both = obs.join(wide.withColumnRenamed("part", "ecdf_part"), table.part(x) == F.col("ecdf_part"))
-            return both.select(*[F.col(c) for c in obs.columns], F.array(*[compatibility(_share(F.col(f"ecdf_{i}"), x)) for i in range(len(self.labels))]).alias(out))
-        seen = obs.select(x.alias("ecdf_x")).distinct().select("ecdf_x", F.posexplode(F.array(*map(F.lit, self.labels))).alias("i", "label"))
-        found = table.percentile(seen, "ecdf_x", "percentile").groupBy("ecdf_x").agg(F.sort_array(F.collect_list(F.struct("i", compatibility(F.col("percentile")).alias("c")))).alias("found"))
-        found = materialised(found.select("ecdf_x", F.transform("found", lambda s: s["c"]).alias(out)), "compatibilities")
-        return obs.join(found, x == F.col("ecdf_x")).drop("ecdf_x")
+        fits = F.zip_with("scored_time", "scored_genetic", lambda p, q: compatibility(p) * compatibility(q))
+        return self._percentiles(now, time, genetic).select(*[F.col(c) for c in now.columns if c != out], F.aggregate(fits, F.lit(0.0), lambda acc, x: acc + x).alias(out))
 
     __call__ = score
 
 
-def score_function(scorer: PairScorer):
-    """The score as a function of two columns, or to be registered for SQL; for draws that may go to all tasks only."""
-    if scorer.sorted is None:
-        raise ConfigurationError("a column or SQL function needs draws that may go to all tasks; score() takes tables and streams with any number")
-    shared = scorer.sorted
+def _total(columns: list[Column]) -> Column:
+    return reduce(operator.add, columns)
 
-    @F.pandas_udf("double")
-    def scored(t: pd.Series, g: pd.Series) -> pd.Series:
-        t, g = t.to_numpy(float), g.to_numpy(float)
-        total = np.zeros(len(t))
-        for _, times, distances in shared:
-            p = np.searchsorted(times, t, side="right") / len(times)
-            q = np.searchsorted(distances, g, side="right") / len(distances)
-            total += (1 - 2 * np.abs(p - 0.5)) * (1 - 2 * np.abs(q - 0.5))
-        return pd.Series(total)
 
-    return scored
+def score_function(scorer: PairScorer):
+    """The score as a function of two columns."""
+    return scorer.score_column
 
 
 class LinkageModel:
@@ -282,9 +267,10 @@ class LinkageModel:
         self.target_labels = resolve_targets(self.target, self.labels)
         self.args = {"maximum_depth": maximum_depth, "mc_samples": mc_samples, "target": self.target, "mutation_process": mutation_process, "seed": seed}
         if draws is None:
-            own = profile.seed if seed is None else seed
             try:
-                draws = materialised(draw_frame(spark, profile, maximum_depth, mc_samples, mutation_process, profile.seed, own), "draws")
+                start = getattr(profile, "seed", None)
+                start = int(np.random.SeedSequence().entropy % 2**63) if start is None else start
+                draws = materialised(draw_frame(spark, profile, maximum_depth, mc_samples, mutation_process, start, start if seed is None else seed), "draws")
             except Exception as e:  # the worker's error names the scenario
                 failed = re.search(r"the draws of scenario (ad|ca)\([0-9,]+\) failed: [^\n]*", str(e))
                 raise SimulationError(failed[0] if failed else f"the draws failed: {e}") from e
@@ -302,21 +288,32 @@ class LinkageModel:
             self._scorers[labels] = PairScorer(self.draws, labels)
         return self._scorers[labels]
 
-    def score_target(self, obs: DataFrame, target=None, time: str = TIME, genetic: str = GENETIC, out: str = "score") -> DataFrame:
+    def score_target(self, obs, *args, **more):
+        """The summed compatibility with a target: of a table or stream, as a column, or of two numbers, as a float.
+
+        score_target(obs, target=None, time=..., genetic=..., out="score") or
+        score_target(sample_time_difference, genetic_distance, target=None).
+        """
+        return self._score_table(obs, *args, **more) if isinstance(obs, DataFrame) else self._score_numbers(obs, *args, **more)
+
+    def _score_table(self, obs: DataFrame, target=None, time: str = TIME, genetic: str = GENETIC, out: str = "score") -> DataFrame:
         return self.scorer(target).score(obs, time, genetic, out)
 
+    def _score_numbers(self, sample_time_difference: float, genetic_distance: float, target=None) -> float:
+        return self.scorer(target).score_values(*_numbers(sample_time_difference, genetic_distance))
+
     def score_pairs(self, obs: DataFrame, time: str = TIME, genetic: str = GENETIC) -> DataFrame:
         """A row for each observation and scenario."""
         return self.scorer(self.labels).breakdown(obs, time, genetic)
 
     def score_pair(self, sample_time_difference: float, genetic_distance: float) -> PairResult:
         """All scores of one pair."""
-        for name, value in ((TIME, sample_time_difference), (GENETIC, genetic_distance)):
-            if value is None or np.ndim(value) != 0 or isinstance(value, (str, bool)):
-                raise TypeError(f"{name} must be one number")
-        one = self.spark.createDataFrame([(float(sample_time_difference), float(genetic_distance))], f"{TIME} double, {GENETIC} double")
-        rows = {r["label"]: r for r in self.score_pairs(one).collect()}
-        scores = {x: ScenarioScore(*(float(rows[x][k]) for k in ScenarioScore.__dataclass_fields__)) for x in self.labels}
+        t, g = _numbers(sample_time_difference, genetic_distance)
+        steps, scores = self.scorer(self.labels).steps(), {}
+        for label in self.labels:
+            p, q = steps[label, 0].of(t), steps[label, 1].of(g)
+            fits = compatibility_from_percentile(p), compatibility_from_percentile(q)
+            scores[label] = ScenarioScore(p, fits[0], q, fits[1], fits[0] * fits[1])
         target = self.target if isinstance(self.target, str) else tuple(Scenario.parse(t).label() for t in ([self.target] if isinstance(self.target, Scenario) else self.target))
         return PairResult(target, self.target_labels, sum(scores[x].compatibility for x in self.target_labels), scores)
 
@@ -327,6 +324,13 @@ class LinkageModel:
         return self.score_target(t.crossJoin(g), target)
 
 
+def _numbers(*values) -> list[float]:
+    for name, value in zip((TIME, GENETIC), values):
+        if value is None or np.ndim(value) != 0 or isinstance(value, (str, bool)):
+            raise TypeError(f"{name} must be one number")
+    return [float(x) for x in values]
+
+
 def percentile_score(observed: float, simulated) -> float:
     return float(np.mean(np.asarray(simulated) <= observed))
 
@@ -340,4 +344,4 @@ def compatibility_score(observed: float, simulated) -> tuple[float, float]:
     return p, compatibility_from_percentile(p)
 
 
-__all__ = ["LinkageModel", "PairScorer", "PairResult", "ScenarioScore", "ScenarioError", "EcdfTable", "ecdf", "percentile_score", "compatibility_from_percentile", "compatibility_score", "percentiles", "percentiles_by_join"]
+__all__ = ["LinkageModel", "PairScorer", "PairResult", "ScenarioScore", "ScenarioError", "EcdfTable", "ecdf", "percentile_score", "compatibility_from_percentile", "compatibility_score", "label_percentiles", "percentiles"]

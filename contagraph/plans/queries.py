@@ -22,12 +22,13 @@ from contagraph.functions.profiles import FromInfectiousness, FromSymptomOnset,
 from contagraph.operators.draws import draw_frame, genetic_draws, scenario_draws
 from contagraph.operators.pairs import pair_case_table
 from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolve_targets, scenario_frame
-from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, compatibility_score, draw_counts, ecdf, percentiles
+from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, compatibility_score, draw_counts, ecdf, label_percentiles, percentiles
 from contagraph.operators.sequences import along_tree, changed_words, distance_matrix, hamming_pairs, packed, simulate_sequences
 from contagraph.operators.trees import draw_periods, exact_sample, in_degrees, path_sums, related, roots, simulate_dates
 from contagraph.plans.shared import materialised, scratch
 from contagraph.sources.csv_io import read_observations, write_csv_folder
 from contagraph.sources.fasta import fasta_records
+from contagraph.streaming.scoring import register_function
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -145,8 +146,26 @@ def ecdf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.sample_time_difference, x.genetic_distance, x.label, coalesce(t.p, 0.0) AS percentile
 FROM x ASOF LEFT JOIN t ON x.label = t.label AND x.sample_time_difference >= t.v""")
 def ecdf_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = _observations(spark, sf_dir).withColumn("label", F.explode(F.array(*map(F.lit, LABELS))))
-    return percentiles(obs, _draws(spark, sf_dir), TIME, "time_draw")
+    found = label_percentiles(_observations(spark, sf_dir), _draws(spark, sf_dir), LABELS, TIME, "time_draw")
+    return found.select(TIME, GENETIC, F.explode(F.arrays_zip(F.array(*map(F.lit, LABELS)).alias("label"), F.col("percentiles").alias("percentile"))).alias("p")).select(TIME, GENETIC, "p.*")
+
+
+@query(f"""WITH {_D}, {_cdf('t', 'time_draw')}, x AS (SELECT event_id, event_type AS label, CAST(user_id AS DOUBLE) AS asked FROM events)
+SELECT event_id, x.label, asked, coalesce(t.p, 0.0) AS percentile FROM x ASOF LEFT JOIN t ON x.label = t.label AND x.asked >= t.v""")
+def own_label_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's user number among the values of its own type."""
+    asked = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"), F.col("user_id").cast("double").alias("asked"))
+    return percentiles(asked, _draws(spark, sf_dir), "asked", "time_draw")
+
+
+@query(f"""{_HEAD}, o2 AS (SELECT r, sample_time_difference, genetic_distance FROM o), obs AS (SELECT * FROM o2), {_SCORED}
+SELECT sample_time_difference, genetic_distance, round(sum(time_compatibility * genetic_compatibility), 9) AS score
+FROM c WHERE label IN ('click', 'view') GROUP BY r, sample_time_difference, genetic_distance""")
+def sql_function_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score as an SQL function."""
+    register_function(spark, PairScorer(_draws(spark, sf_dir), ("click", "view")), "cg_score")
+    _observations(spark, sf_dir).createOrReplaceTempView("cg_observations")
+    return spark.sql(f"SELECT {TIME}, {GENETIC}, round(cg_score({TIME}, {GENETIC}), 9) AS score FROM cg_observations")
 
 
 @query(f"""{_HEAD}, obs AS (SELECT * FROM o), {_SCORED}
@@ -182,23 +201,23 @@ def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE_SQL["score_breakdown"])
 def score_breakdown_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the draws as tables that observations join."""
-    return PairScorer(_draws(spark, sf_dir), LABELS, broadcast_draws=0).breakdown(_observations(spark, sf_dir))
+    """The same with the draws as a table that observations are merged with."""
+    return PairScorer(_draws(spark, sf_dir), LABELS, constant_draws=0).breakdown(_observations(spark, sf_dir))
 
 
 @query(ORACLE_SQL["score_with_missing"])
 def score_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the draws as tables that observations join."""
+    """The same with the draws as a table that observations are merged with."""
     obs = _observations(spark, sf_dir).withColumn("original", F.col(TIME)).withColumn(TIME, F.when(F.col(TIME) % 7 != 0, F.col(TIME)))
-    scored = PairScorer(_draws(spark, sf_dir), ("click", "view"), broadcast_draws=0).score(obs)
+    scored = PairScorer(_draws(spark, sf_dir), ("click", "view"), constant_draws=0).score(obs)
     return scored.select("original", GENETIC, (F.round("score", 9) + 0.0).alias("score"))
 
 
 @query(f"""WITH {_D}, {_cdf('t', 'time_draw')}, {_cdf('g', 'genetic_draw')}, obs AS (SELECT event_id, value AS sample_time_difference, CAST(user_id % 100 AS DOUBLE) AS genetic_distance FROM events), {_SCORED}
 SELECT event_id, round(sum(time_compatibility * genetic_compatibility), 9) AS score FROM c WHERE label IN ('click', 'view') GROUP BY event_id""")
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of observations, scored by joins with the draws' tables, until all are read."""
-    scorer = PairScorer(_draws(spark, sf_dir), ("click", "view"), broadcast_draws=0)
+    """The events as a stream of observations, scored as they come, until all are read."""
+    scorer = PairScorer(_draws(spark, sf_dir), ("click", "view"))
     stream = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     scored = scorer.score(stream.select("event_id", F.col("value").alias(TIME), (F.col("user_id") % 100).cast("double").alias(GENETIC)))
     out = scratch(spark, "scores")
@@ -289,11 +308,7 @@ def profile_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_CUM}, q AS (SELECT c_custkey, c_acctbal / 100 AS days FROM customer), n AS (SELECT x, cdf, lead(x) OVER (ORDER BY k) AS x2, lead(cdf) OVER (ORDER BY k) AS cdf2 FROM b)
 SELECT c_custkey, CASE WHEN days <= 0 THEN 0.0 WHEN days >= 40 THEN 1.0 ELSE round(cdf + (days - x) * (cdf2 - cdf) / (x2 - x), 6) END AS cdf FROM q LEFT JOIN n ON days >= x AND days < x2""")
 def cdf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def cdf(days: pd.Series) -> pd.Series:
-        return pd.Series(_EXPONENTIAL.cdf(days.to_numpy()))
-
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(cdf(F.col("c_acctbal") / 100), 6).alias("cdf"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(_EXPONENTIAL.cdf_column(F.col("c_acctbal") / 100), 6).alias("cdf"))
 
 
 _U = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
@@ -307,12 +322,8 @@ def _uniform(text) -> F.Column:
 n AS (SELECT cdf AS lo, x, lead(cdf) OVER (ORDER BY k) AS hi, lead(x) OVER (ORDER BY k) AS x2 FROM b)
 SELECT c_custkey, round(x + (u - lo) * (x2 - x) / (hi - lo), 4) AS days FROM u JOIN n ON u >= lo AND u < hi""")
 def inverse_cdf_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def quantile(u: pd.Series) -> pd.Series:
-        return pd.Series(_EXPONENTIAL.quantile(u.to_numpy()))
-
     u = _uniform(F.concat(F.lit("u|"), F.col("c_custkey").cast("string")))
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(quantile(u), 4).alias("days"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.round(_EXPONENTIAL.quantile_column(u), 4).alias("days"))
 
 
 # with a presymptomatic shape of 2 the gamma function has a closed form

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, score_function
+from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer
 
 
 def score_stream(stream: DataFrame, model: LinkageModel, target=None, time: str = TIME, genetic: str = GENETIC, out: str = "score") -> DataFrame:
-    """The stream with its scores. Large draws are static tables that the stream's rows join."""
+    """The stream with its scores; the draws' distinct values are constants of its plan."""
     return model.scorer(target).score(stream, time, genetic, out)
 
 
+def register_function(spark: SparkSession, scorer: PairScorer, name: str) -> None:
+    """A scorer as an SQL function of (time difference, distance), which the engine evaluates itself."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t DOUBLE, g DOUBLE) RETURNS DOUBLE RETURN {scorer.score_sql('t', 'g')}")
+
+
 def register_score(model: LinkageModel, name: str = "linkage_score", target=None) -> None:
-    """The score as an SQL function of (time difference, distance). ConfigurationError where the draws are too many to go to all tasks."""
-    model.spark.udf.register(name, score_function(model.scorer(target)))
+    """The score of a model's target as an SQL function."""
+    register_function(model.spark, model.scorer(target), name)

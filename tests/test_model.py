@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from contagraph.exceptions import ConfigurationError, ContagraphError, ScenarioError, SimulationError
+from contagraph.functions.columns import Steps
 from contagraph.functions.gamma import gamma_cdf
 from contagraph.functions.parameters import NaturalHistory
 from contagraph.functions.profiles import FromInfectiousness, FromSymptomOnset, TransmissionProfile
 from contagraph.operators.draws import draw_frame, genetic_draws, scenario_draws
 from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolve_targets, scenario_frame
 from contagraph.operators import scorer
-from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, compatibility_from_percentile, compatibility_score, ecdf, percentile_score, percentiles, percentiles_by_join
+from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, compatibility_from_percentile, compatibility_score, ecdf, label_percentiles, percentile_score, percentiles
 
 
 def test_parameters():
@@ -48,36 +49,108 @@ def test_scenarios(spark):
         resolve_targets("ad(3)", labels)
 
 
-class Constant(TransmissionProfile):
-    value = 0.5
+class Ramp(TransmissionProfile):
+    """Density x / 18 on 0 to 6."""
+
+    slope = 1 / 18
 
     def pdf(self, days):
-        return np.full(np.shape(days), self.value)
+        return np.asarray(days, float) * self.slope
+
 
+class Flat(Ramp):
+    slope = 0.0
 
-class Nothing(Constant):
-    value = 0.0
+
+class Wild(Ramp):
+    slope = float("inf")
 
 
 def test_profiles():
-    for kind in (Constant, Nothing):
-        p = kind(grid_min_days=0, grid_max_days=2, grid_points=5)
-        assert p.cdf([0, 1, 2, 0.5, 1.5]).tolist() == [0, 0.5, 1, 0.25, 0.75]
-    assert Constant(grid_max_days=2).mean() == pytest.approx(1) and math.isnan(Nothing().mean())
-    for bad in ({"grid_min_days": 3, "grid_max_days": 2}, {"grid_points": 1}):
+    ramp = Ramp(grid_min_days=0, grid_max_days=6, grid_points=7)
+    assert ramp.cdf([-1, 0, 3, 3.5, 6, 9]).tolist() == pytest.approx([0, 0, 9 / 36, 12.5 / 36, 1, 1])
+    assert Ramp(grid_max_days=6, grid_points=4001).mean() == pytest.approx(4, abs=1e-5)
+    with np.errstate(invalid="ignore"):
+        for kind in (Flat, Wild):  # no usable mass: a straight line
+            p = kind(grid_min_days=-1, grid_max_days=7, grid_points=9)
+            assert p.cdf([-1, 1, 4.5, 7]).tolist() == [0, 0.25, 0.6875, 1] and math.isnan(p.mean())
+    for bad in ({"grid_min_days": 8, "grid_max_days": 8}, {"grid_points": 0}):
         with pytest.raises(ConfigurationError):
-            Constant(**bad)
+            Ramp(**bad)
+    assert repr(ramp).startswith("Ramp(NaturalHistory(") and repr(ramp).endswith(", grid_min_days=0, grid_max_days=6, grid_points=7)")
     assert gamma_cdf(2.0, 0.5, 1.0) == pytest.approx(math.erf(math.sqrt(2)), abs=1e-14)
     p = FromInfectiousness(rng_seed=3)
     assert p.mean() == pytest.approx(2.76984, abs=1e-4) and p.rvs(20000).mean() == pytest.approx(p.mean(), abs=0.1)
     q = FromSymptomOnset()
     assert q.mean() == pytest.approx(-0.15749, abs=1e-4)
-    strict = FromInfectiousness(NaturalHistory(substitution_rate=2e-3, relaxation=0, genome_length=1000))
-    assert np.allclose(strict.sample_clock_rate((2, 3)), 2 / 365)
+    strict = FromInfectiousness(NaturalHistory(substitution_rate=7.3e-4, relaxation=0, genome_length=5000))
+    assert np.allclose(strict.sample_clock_rate((4, 2)), 0.01) and np.allclose(strict.expected_mutations([0.0, 250.0]), [0, 2.5])
     with pytest.raises(NotImplementedError):
         TransmissionProfile().pdf(1)
 
 
+def test_gamma_of_any_shape():
+    # at its shape a, the distribution function is 1/2 + (1/3 + 1/(540 a) - 25/(6048 a**2) + ...) / sqrt(2 pi a)
+    for shape in (1e2, 1e3, 1e4, 1e5, 1e6, 1e7):
+        near = 0.5 + (1 / 3 + 1 / (540 * shape) - 25 / (6048 * shape**2)) / math.sqrt(2 * math.pi * shape)
+        assert gamma_cdf(shape, shape, 1.0) == pytest.approx(near, abs=1e-9)
+        x = shape + np.linspace(-5, 5, 41) * math.sqrt(shape)
+        got = gamma_cdf(x, shape, 1.0)
+        assert (np.diff(got) > 0).all() and got[0] < 1e-5 and got[-1] > 1 - 1e-5
+        # P(a + 1, x) = P(a, x) - x**a exp(-x) / gamma(a + 1)
+        step = np.exp(shape * np.log(x) - x - math.lgamma(shape + 1))
+        assert np.allclose(gamma_cdf(x, shape + 1, 1.0), got - step, atol=1e-8 * shape**0.5)
+    with pytest.raises(ValueError):
+        gamma_cdf(1.0, 1e11, 1.0)
+
+
+class Counting:
+    """Samplers without a generator: each call goes on where the last one ended. Mutations follow a rule of its own."""
+
+    def __init__(self):
+        self.calls, self.at = [], 0.0
+
+    def _next(self, name, size):
+        self.calls.append((name, size))
+        n = int(np.prod(size))
+        out = self.at + np.arange(n).reshape(size)
+        self.at += n
+        return out
+
+    def sample_incubation_periods(self, size=1):
+        return self._next("incubation", size)
+
+    def sample_testing_delays(self, size=1):
+        return self._next("delay", size)
+
+    def sample_generation_intervals(self, size=1):
+        return self._next("generation", size)
+
+    def sample_clock_rate(self, size=1):
+        raise AssertionError("the profile has its own rule")
+
+    def expected_mutations(self, days):
+        return np.asarray(days) * 3 + 1
+
+
+def test_any_object_with_samplers_is_a_profile(spark):
+    profile = Counting()
+    model = LinkageModel(spark, profile, maximum_depth=0, mc_samples=3, mutation_process="deterministic")
+    rows = {(r["label"], r["draw_id"]): (r["time_draw"], r["branch_draw"], r["genetic_draw"]) for r in model.draws.collect()}
+    # direct: incubations 0-2 and 3-5, delays 6-8 and 9-11, a generation 12-14; shared source: the same from 15 on, and a second path
+    assert [rows["ad(0)", i] for i in range(3)] == [(18.0 + i, 18.0 + i, 55.0 + 3 * i) for i in range(3)]
+    assert [rows["ca(0,0)", i] for i in range(3)] == [(9.0, 27 + 30 + 15 + 18 + 21 + 24 + 6.0 * i, (135 + 6.0 * i) * 3 + 1) for i in range(3)]
+    assert [c for c, _ in profile.calls] == ["incubation", "incubation", "delay", "delay", "generation"] * 2 + ["generation"]
+    assert model.score_target(19.0, 58.0, "ad(0)") == pytest.approx((1 - 2 * abs(2 / 3 - 0.5)) ** 2)
+
+    class Short:
+        def sample_incubation_periods(self, size=1):
+            return np.zeros(size)
+
+    with pytest.raises(SimulationError):
+        LinkageModel(spark, Short(), maximum_depth=0, mc_samples=3)
+
+
 class Recorded:
     """Samplers that replay given numbers, one list for each call; the clock runs at its own list of rates."""
 
@@ -153,9 +226,12 @@ def test_scores(spark, model):
     obs = spark.createDataFrame([(5.0, 4.0, "x"), (None, 4.0, "y"), (nan, 4.0, "z"), (5.0, None, "w"), (-9.0, 4.0, "below"), (99.0, 4.0, "above")], f"{TIME} double, {GENETIC} double, id string")
     assert {r["id"]: r["score"] for r in model.score_target(obs).collect()} == {"x": 0.875, "y": 0, "z": 0, "w": 0, "below": 0, "above": 0}
     assert model.scorer("ad(0)") is model.scorer([" AD(0)"]) is model.scorer("ad(00)") and model.score_grid([5.0, 4.5], [1.0, 2.5, 4.0]).count() == 6
-    for bad in ([1.0], None):
+    assert model.score_target(5, 4) == 0.875 and model.score_target(5, 4, "ad(0)") == 0.375 and model.score_target(nan, 4) == 0
+    for bad in ([1.0], None, "5"):
         with pytest.raises(TypeError):
             model.score_pair(bad, 1.0)
+        with pytest.raises(TypeError):
+            model.score_target(bad, 1.0)
     with pytest.raises(ConfigurationError):
         LinkageModel(spark, model.profile, mutation_process="odd", draws=model.draws)
     with pytest.raises(ConfigurationError):
@@ -181,13 +257,27 @@ def rows_of(df):
     return sorted(map(repr, map(tuple, df.collect())))
 
 
+def percentiles_by_join(obs, draws, column, value):
+    """By comparing every draw with every observation."""
+    x = F.coalesce(F.col(column).cast("double"), F.lit(float("nan")))
+    keyed = obs.withColumn("row", F.monotonically_increasing_id())
+    both = keyed.join(draws.select(F.col("label").alias("l"), F.col(value).alias("v")), F.col("label") == F.col("l"))
+    hit = F.when((F.col("v") <= x) & ~F.isnan(x), 1.0).otherwise(0.0)
+    return both.groupBy("row", *obs.columns).agg(F.avg(hit).alias("percentile")).drop("row")
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_strategies_agree(spark, model):
     values = [(float(t), float(g)) for t in (-3, -2, 0, 1, 3.6, 5, 6, 9, 12, 40) for g in (-1, 0, 1.5, 4, 7, 10, 11)] + [(float("nan"), 1.0), (0.0, float("nan"))]
     obs = spark.createDataFrame([*values, (None, 4.0)], f"{TIME} double, {GENETIC} double")
     labelled = obs.withColumn("label", F.explode(F.array(F.lit("ad(0)"), F.lit("ca(0,0)"))))
     assert rows_of(percentiles(labelled, model.draws, TIME, "time_draw").select(TIME, GENETIC, "label", "percentile")) == rows_of(percentiles_by_join(labelled, model.draws, TIME, "time_draw").select(TIME, GENETIC, "label", "percentile"))
-    one, other = PairScorer(model.draws, ("ad(0)", "ca(0,0)")), PairScorer(model.draws, ("ad(0)", "ca(0,0)"), broadcast_draws=0)
-    assert one.sorted is not None and other.sorted is None
+    one, other = PairScorer(model.draws, ("ad(0)", "ca(0,0)")), PairScorer(model.draws, ("ad(0)", "ca(0,0)"), constant_draws=0)
+    assert one.constant and not other.constant and "Python" not in plan_of(one.score(obs)) + plan_of(other.score(obs)) + plan_of(one.breakdown(obs))
     assert rows_of(one.breakdown(obs)) == rows_of(other.breakdown(obs))
     assert rows_of(one.score(obs)) == rows_of(other.score(obs))
     assert rows_of(one.score(obs, out=GENETIC)) == rows_of(other.score(obs, out=GENETIC))
@@ -208,6 +298,49 @@ def test_ecdf_of_many_draws(spark):
         mine = table[table.label == k].sort_values("value")
         assert mine.value.tolist() == values.tolist() and mine.cum_count.tolist() == np.cumsum(counts).tolist() and set(mine.n) == {10000}
     assert percentiles(obs.limit(0), draws, "asked", "v").count() == 0
+    alone = obs.where("label = 'a'").drop("label")
+    wide = label_percentiles(alone, draws, ["b", "none", "a"], "asked", "v").collect()
+    assert len(wide) == len(asked)
+    for r in wide:
+        assert r["percentiles"] == [float((x["b"] <= r["asked"]).mean()), None, float((x["a"] <= r["asked"]).mean())]
+
+
+def test_a_value_that_half_of_the_rows_share(spark, monkeypatch):
+    """Its rows are split among tasks, on the merged path; no row of any table grows with the draws."""
+    draws = spark.range(40_000).select(F.lit("ad(0)").alias("label"), (F.col("id") % 9000 / 7.0).alias("time_draw"), (F.col("id") % 500).cast("double").alias("genetic_draw"))
+    obs = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 3.0).otherwise(F.col("id") / 100.0).alias(TIME), (F.col("id") % 700).cast("double").alias(GENETIC), F.repeat(F.lit("x"), 60).alias("note"))
+    scorer = PairScorer(draws, ("ad(0)",), constant_draws=0)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        scored = scorer.score(obs)
+        plan = plan_of(scored)
+        sizes = sorted(r["n"] for r in scored.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan and "Python" not in plan and sum(sizes) == 200_000
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    some = obs.limit(400)
+    assert rows_of(scorer.score(some)) == rows_of(PairScorer(draws, ("ad(0)",)).score(some))
+
+
+def test_columns_that_bisect(spark):
+    x = np.array([-2.0, 0.0, 0.1, 3.0, 1e300])
+    asked = [-3.0, -2.0, -0.0, 0.05, 0.1, 2.9999999999999996, 3.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in asked], "x double")
+    steps = Steps(x, np.array([1, 2, 4, 5, 10]))
+    got = [r[0] for r in df.select(steps.share(F.col("x"))).collect()]
+    assert got == [0.0, 0.1, 0.2, 0.2, 0.4, 0.4, 0.5, 1.0, 1.0, 1.0] and [steps.of(v) for v in asked[:-1]] == got[:-1]
+    assert [r[0] for r in df.selectExpr(f"{steps.share_sql('x')} as s").collect()] == got
+    profile = Ramp(grid_min_days=0, grid_max_days=6, grid_points=130)
+    at = spark.createDataFrame([(float(v),) for v in np.linspace(-1, 7, 333)] + [(None,), (float("nan"),)], "x double")
+    rows = at.select("x", profile.cdf_column(F.col("x")).alias("c"), profile.quantile_column(F.col("x") / 6).alias("q")).collect()
+    for r in rows[:-2]:
+        assert r["c"] == pytest.approx(float(profile.cdf(r["x"])), abs=1e-14) and r["q"] == pytest.approx(float(profile.quantile(r["x"] / 6)), abs=1e-12)
+    assert all(r["c"] is None and r["q"] is None for r in rows[-2:])
 
 
 @pytest.mark.parametrize("most", [None, 0])
@@ -215,7 +348,7 @@ def test_stream(spark, model, tmp_path, monkeypatch, most):
     from contagraph.streaming.scoring import register_score, score_stream
 
     if most is not None:
-        monkeypatch.setattr(scorer, "BROADCAST_DRAWS", most)
+        monkeypatch.setattr(scorer, "CONSTANT_DRAWS", most)
     fresh = model.with_draws(model.draws)
     spark.createDataFrame([(5.0, 4.0), (None, 4.0), (99.0, 1.0)], f"{TIME} double, {GENETIC} double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(f"{TIME} double, {GENETIC} double").parquet(str(tmp_path / "in"))
@@ -225,11 +358,7 @@ def test_stream(spark, model, tmp_path, monkeypatch, most):
         q.stop()
     assert sorted(r["score"] for r in spark.table(f"scored{most}").collect()) == [0, 0, 0.875]
     assert sorted(r["compatibility"] for r in spark.table(f"broken_down{most}").collect()) == [0, 0, 0, 0, 0.375, 0.5]
-    if most is None:
-        register_score(fresh)
-        assert spark.sql("select linkage_score(5D, 4D) s").first()["s"] == 0.875
-    else:
-        with pytest.raises(ConfigurationError):
-            register_score(fresh)
-        with pytest.raises(ConfigurationError):
-            fresh.scorer().score_column(F.lit(5.0), F.lit(4.0))
+    # functions and columns bisect constants, however many draws there are
+    register_score(fresh)
+    assert spark.sql("select linkage_score(5D, 4D) s, linkage_score(null, 4D) t").first()[:] == (0.875, 0)
+    assert spark.range(1).select(fresh.scorer().score_column(F.lit(5.0), F.lit(4.0)).alias("s")).first()["s"] == 0.875

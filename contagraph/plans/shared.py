@@ -41,3 +41,21 @@ def discard(*frames: DataFrame | None) -> None:
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def copy_parts(spark: SparkSession, folder: str, to: str) -> None:
+    """Append the part files of a folder, in order, to a file of the driver, and delete the folder; bytes are copied as they are."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    paths = [x.getPath() for x in fs.listStatus(where)]
+    parts = sorted((p for p in paths if p.getName().startswith("part-")), key=lambda p: int(p.getName().split("-")[1].split(".")[0]))
+    out = jvm.java.io.FileOutputStream(to, True)
+    try:
+        for p in parts:
+            given = fs.open(p)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
+            given.close()
+    finally:
+        out.close()
+    fs.delete(where, True)

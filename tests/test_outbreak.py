@@ -9,7 +9,7 @@ from contagraph.exceptions import ConfigurationError, SimulationError
 from contagraph.functions.columns import pack, unpack
 from contagraph.operators.pairs import pair_case_table
 from contagraph.operators.sequences import along_tree, changed_words, distance_matrix, packed, simulate_sequences
-from contagraph.operators.trees import ancestors, exact_sample, path_sums, simulate_dates
+from contagraph.operators.trees import check_forest, exact_sample, path_sums, related, siblings, simulate_dates
 from contagraph.plans.shared import materialised
 from contagraph.sources.csv_io import read_observations, write_csv
 from contagraph.sources.fasta import fasta_records, write_fasta, write_fasta_file
@@ -78,12 +78,83 @@ def test_deep_chain(spark):
     nodes = frame(spark, [(i, str(i), 1.0) for i in range(n)], "idx int, node string, w double")
     edges = frame(spark, [(str(i), str(i + 1)) for i in range(n - 1)], "parent string, child string")
     assert {int(r["node"]): r["total"] for r in path_sums(nodes, edges, "w").collect()} == {i: float(i) for i in range(n)}
-    assert ancestors(nodes, edges).count() == n * (n + 1) // 2
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 4, (n, 45))
     steps = frame(spark, [(str(i), str(i - 1) if i else None, codes[i].tolist()) for i in range(n)], "node string, up string, codes array<int>").withColumn("words", pack(F.col("codes"))).drop("codes")
-    got = {int(r["node"]): r["c"] for r in along_tree(steps, ("words",)).select("node", unpack(F.col("words"), 45).alias("c")).collect()}
-    assert [got[i] for i in range(n)] == (np.cumsum(codes, 0) % 4).tolist()
+    for local in (None, 5):
+        got = {int(r["node"]): r["c"] for r in along_tree(steps, ("words",), local).select("node", unpack(F.col("words"), 45).alias("c")).collect()}
+        assert [got[i] for i in range(n)] == (np.cumsum(codes, 0) % 4).tolist()
+
+
+@pytest.mark.parametrize("shape, n", [("chain", 10_000), ("star", 100_000), ("random", 3_000), ("forest", 3_000)])
+def test_contraction_moves_few_rows(spark, shape, n):
+    """Rows fall from round to round, and all rounds together hold a small multiple of the nodes."""
+    rng = np.random.default_rng(5)
+    up = {"chain": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: int(rng.integers(0, i)), "forest": lambda i: int(rng.integers(max(0, i - 40), i)) if i % 300 else None}[shape]
+    parent = [None, *(up(i) for i in range(1, n))]
+    nodes = spark.createDataFrame(pd.DataFrame({"node": range(n), "w": [float(i % 10) for i in range(n)]}))
+    edges = spark.createDataFrame(pd.DataFrame([(p, c) for c, p in enumerate(parent) if p is not None], columns=["parent", "child"]))
+    rounds = []
+    got = {r["node"]: (r["root"], r["depth"], r["total"]) for r in path_sums(nodes, edges, "w", local=50, watch=rounds.append).collect()}
+    want = {}
+    for i, p in enumerate(parent):
+        root, depth, total = want[p] if p is not None else (i, -1, -(i % 10))
+        want[i] = (root, depth + 1, float(total + i % 10))
+    assert got == want
+    assert rounds == sorted(rounds, reverse=True) and len(set(rounds)) == len(rounds) and sum(rounds) <= 5 * n
+
+
+def test_contraction_finds_cycles(spark):
+    nodes = frame(spark, [(i, 1.0) for i in range(12)], "node int, w double")
+    edges = frame(spark, [(i, i + 1) for i in range(5)] + [(11, 6), *((i, i + 1) for i in range(6, 11))], "parent int, child int")
+    for local in (0, 3, 100):
+        with pytest.raises(ConfigurationError, match="cycle"):
+            path_sums(nodes, edges, "w", local=local)
+    lone = frame(spark, [(i, 1.0) for i in range(4)], "node int, w double")
+    assert path_sums(lone, edges.limit(0), "w", local=1).count() == 4 and path_sums(lone.limit(0), edges.limit(0), "w").count() == 0
+
+
+def test_forest_is_checked_in_one_job(spark):
+    nodes, edges = frame(spark, [(i, str(i)) for i in range(9)], "idx int, node string"), edges_of(spark, ("1", "2"), ("2", "3"))
+    sc = spark.sparkContext
+    sc.setJobGroup("forest", "forest")
+    check_forest(nodes, edges)
+    sc.setJobGroup("one query", "one query")
+    nodes.groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n")).first()
+    sc.setJobGroup("rest", "rest")
+    # adaptive execution runs the stages of one query as jobs of their own
+    of = lambda group: len(sc.statusTracker().getJobIdsForGroup(group))
+    assert of("forest") <= of("one query")
+
+
+def test_siblings_of_a_large_family(spark):
+    n = 3_000
+    edges = spark.range(n).select(F.lit("p").alias("parent"), F.format_string("c%04d", "id").alias("child")).unionByName(edges_of(spark, ("q", "x"), ("q", "y"), ("q", "y"), ("r", "z")))
+    pairs = siblings(edges.repartition(7), block=300)
+    assert pairs.count() == n * (n - 1) // 2 + 1 == pairs.distinct().count() and pairs.where("a >= b").isEmpty()
+    assert pairs.where("a = 'x'").collect() == [("x", "y")]
+    # the tiles of one family are many, and none holds more than the pairs of two blocks
+    tiles = pairs.groupBy(F.pmod(F.xxhash64("a"), F.lit(10)), F.pmod(F.xxhash64("b"), F.lit(10))).count().agg(F.max("count")).first()[0]
+    assert tiles <= 2 * (n // 10 * 1.3) ** 2
+    few = related(edges_of(spark, ("a", "b"), ("a", "c"), ("b", "d")))
+    assert sorted(map(tuple, few.collect())) == sorted(t for x in (("a", "b"), ("a", "c"), ("b", "d"), ("b", "c")) for t in (x, x[::-1]))
+
+
+@pytest.mark.parametrize("kind", ["small", "equal", "wide", "lopsided"])
+def test_sample_by_any_key(spark, monkeypatch, kind):
+    from contagraph.operators import trees
+
+    monkeypatch.setattr(trees, "ROOM", 20)
+    monkeypatch.setattr(trees, "BUCKETS", 16)
+    rng = np.random.default_rng(8)
+    n = 2_000
+    keys = {"small": rng.permutation(n), "equal": np.full(n, -7), "wide": rng.integers(-(2**63), 2**63 - 1, n), "lopsided": np.where(rng.random(n) < 0.6, 5, rng.integers(-(2**62), 2**62, n))}[kind]
+    if kind == "wide":
+        keys[:2] = (-(2**63), 2**63 - 1)
+    nodes = spark.createDataFrame([(f"n{i:05d}", int(k)) for i, k in enumerate(keys)], "node string, k long").repartition(6)
+    for fraction in (0.0, 0.0004, 0.3333, 0.5, 0.9995, 1.0):
+        got = {r["node"] for r in exact_sample(nodes, fraction, key=F.col("k")).where("sampled").collect()}
+        assert got == {f"n{i:05d}" for i in sorted(range(n), key=lambda i: (keys[i], i))[: round(fraction * n)]}
 
 
 def test_sequences(spark):
@@ -151,6 +222,8 @@ def test_pair_table_against_brute_force(spark):
     for blocks in (None, 1, 3):
         got = pair_case_table(seq, nodes, edges, blocks, with_idx=True).orderBy("idx_a", "idx_b").collect()
         assert [tuple(None if x != x else x for x in r) for r in got] == want
+    one = {v: seq.select("idx", "node", F.col(v).alias("words")) for v in ("deterministic", "stochastic")}
+    assert [tuple(None if x != x else x for x in r) for r in pair_case_table(one, nodes, edges, with_idx=True).orderBy("idx_a", "idx_b").collect()] == want
     bare = pair_case_table(seq, nodes.select("node"), edges).collect()
     assert len(bare) == len(want) and not any(r["BothSampled"] for r in bare) and all(r["SamplingDateDistanceDays"] != r["SamplingDateDistanceDays"] for r in bare)
 
@@ -184,6 +257,46 @@ def test_csv(spark, tmp_path):
         read_observations(spark, str(tmp_path / "text.csv")).collect()
 
 
+def test_csv_as_others_write_it(spark, tmp_path):
+    given = tmp_path / "in.csv"
+    given.write_bytes(b'note,sample_time_difference,note,genetic_distance,note\r\n"a\r\nb",#N/A,,<NA>,NA\r\n\r\nx,-nan,"""",-1.#IND,"c,d"\r\n,1e2,"\n\n",null,\r\n')
+    rows = read_observations(spark, str(given), keep_order=True).orderBy("csv_row").collect()
+    assert rows[0].__fields__ == ["note", "sample_time_difference", "note.1", "genetic_distance", "note.2", "csv_row"]
+    clean = [tuple("nan" if isinstance(v, float) and v != v else v for v in r[:5]) for r in rows]
+    assert clean == [("a\r\nb", "nan", None, "nan", "NA"), ("x", "nan", '"', "nan", "c,d"), (None, 100.0, "\n\n", "nan", None)]
+    (tmp_path / "open.csv").write_text('sample_time_difference,genetic_distance\n1,2\n"3,4\n')
+    with pytest.raises(ConfigurationError):
+        read_observations(spark, str(tmp_path / "open.csv"))
+
+
+def test_csv_in_splits(spark, tmp_path):
+    """Quoted line feeds wherever a split may fall; the file written back is the same, byte for byte."""
+    import csv
+    import random
+
+    r = random.Random(1)
+    words = ["plain", "a,b", 'say "x"', "two\nlines", "\n", "many\n" * 30, '"\n"', "é" * 9]
+    path = tmp_path / "in.csv"
+    rows = [[i, r.choice(words), i / 8, r.choice(words) + str(i), float(i % 9)] for i in range(3000)]
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(["id", "note", "sample_time_difference", "text", "genetic_distance"])
+        w.writerows(rows)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(path)).rdd.getNumPartitions() >= 20
+        found = read_observations(spark, str(path), keep_order=True)
+        got = [tuple(x)[:5] for x in found.orderBy("csv_row").collect()]
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, held[k]) if k in held else spark.conf.unset(k)
+    assert got == [(str(i), a, t, b, g) for i, a, t, b, g in rows]
+    write_csv(found, str(tmp_path / "out.csv"))
+    assert (tmp_path / "out.csv").read_bytes() == path.read_bytes()
+
+
 def test_cli(spark, tmp_path, capsys):
     good, bad = tmp_path / "in.csv", tmp_path / "bad.csv"
     good.write_text("id,sample_time_difference,genetic_distance\na,4.5,3\nb,,2\nc,0.5,7\n")

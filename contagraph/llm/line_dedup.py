@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import BLANKS, ascii_lower, col, fresh, table
+from contagraph.llm.common import BLANKS, ascii_lower, col, fresh, stash, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _NO_ID = -(2**63)
@@ -28,8 +28,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     A row's keys leave it as a pair of 64-bit hashes, so text crosses the network once, in the last join. Keys are first
     made distinct with their document, which spreads a line that every document has; the count that follows combines
-    before its shuffle, and the join after that has a plain hash key, which adaptive execution can split. Inside a
-    document its lost lines are found again by the first hash.
+    before its shuffle. The frequent keys, and the lost ones of each document, are written before they are joined, so
+    that adaptive execution can split a line that every text holds, and rows that share an id. Inside a document its lost
+    lines are found again by the first hash. An empty table gives an empty one.
     """
     n_lines, n_dropped, did, gone, whole, kept_lines = fresh(docs, "n_lines", "n_dropped", "did", "gone", "whole", "kept_lines")
     did_of = F.coalesce(col(doc_id).cast("long"), F.lit(_NO_ID))
@@ -42,6 +43,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         .groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
     )
     frequent = occurs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("last")).where(F.col("n") >= min_docs)
+    # a table that is joined as it is written, not as it is summed up, leaves the join's hot keys to be split
+    frequent = stash(frequent.drop("n"), "lines-frequent")
     # a document's lost hashes in bins, so that a text which loses thousands of lines isn't compared with all of them each time
     bins = F.ceil(F.sqrt(F.size(gone) / 8)).cast("long")
     drops = (
@@ -52,6 +55,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     lines = F.split(F.col(whole), "\n", -1)
     lost = lambda h: F.array_contains(F.get(gone, F.pmod(h, F.size(gone).cast("long")).cast("int")), h)
     kept = F.filter(lines, lambda x: ~((F.char_length(x) >= min_chars) & lost(F.xxhash64(line_key(x)))))
+    drops = stash(drops, "lines-drops")
     joined = docs.withColumn(did, did_of).withColumn(whole, body).join(drops, did, "left")
     parts = joined.withColumn(kept_lines, F.when(F.col(gone).isNull(), lines).otherwise(kept))
     return parts.select(

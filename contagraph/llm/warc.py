@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
-from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +19,7 @@ from contagraph.llm.common import col, scratch, stash, table
 #: A record's block is cut into segments of so many bytes, so a file holds at most RECORDS times a little more.
 SEGMENT, CHUNK, RECORDS = 16_384, 4_096, 2_000
 _DATE = "2020-01-01T00:00:00Z"
-_END = "\r\n\r\n"
+_END, _GZIP = "\r\n\r\n", b"\x1f\x8b\x08"
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -50,9 +47,15 @@ def dechunked(body: bytes) -> bytes:
 
 
 def payload_of(block: bytes) -> bytes:
-    """The payload of an HTTP response."""
+    """The payload of an HTTP response: chunks are put together where `chunked` is the last transfer coding of the header."""
     head, _, body = block.partition(b"\r\n\r\n")
-    return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    codings: list[bytes] = []
+    unfolded = re.sub(rb"\r?\n[ \t]+", b" ", head)
+    for line in unfolded.splitlines()[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"transfer-encoding":
+            codings += [x.strip().lower() for x in value.split(b",") if x.strip()]
+    return dechunked(body) if codings[-1:] == [b"chunked"] else body
 
 
 def digest(payload: bytes) -> str:
@@ -88,7 +91,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = S
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     small = rows.select("sha", "page_id", F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
     equal = small.groupBy("sha", "page_id").agg(F.count("*").alias("m")).groupBy("sha").agg(F.max(F.struct("page_id", "m")).alias("x"), F.sum("m").alias("all"))
-    equal = equal.where(F.col("all") > 1).select("sha", F.col("x.page_id").alias("last"), F.col("x.m").alias("m"))
+    # written first, so that adaptive execution can split a payload that many pages share
+    equal = stash(equal.where(F.col("all") > 1).select("sha", F.col("x.page_id").alias("last"), F.col("x.m").alias("m")), "warc-equal")
     joined = rows.join(equal, "sha", "left")
     joined = joined.withColumn("again", F.col("m").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")))
     alone = F.coalesce(F.col("m"), F.lit(2)) == 1  # the only row of its id and payload that others can refer to
@@ -118,27 +122,141 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = S
     ready.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record, one at a time. Raises ValueError where there is no whole record."""
+class Fault(Exception):
+    """Bytes that can't be read; the reader stands where it may go on."""
+
+    def __init__(self, member: int) -> None:
+        self.member = member
+
+
+class Archive:
+    """The bytes of an archive, plain or gzipped in any number of members, unzipped a piece at a time."""
+
+    def __init__(self, content: bytes) -> None:
+        self.content, self.at, self.held = memoryview(content), 0, b""
+        self.zipped, self.z, self.start, self.member = content[:2] == _GZIP[:2], None, 0, 0
+
+    def more(self) -> bool:
+        """Hold some more bytes; false at the end. After a damaged member the next one comes."""
+        while self.at < len(self.content):
+            piece = self.content[self.at : self.at + 65_536]
+            if not self.zipped:
+                self.at += len(piece)
+                self.held += piece
+                return True
+            if self.z is None:
+                self.z, self.start, self.member = zlib.decompressobj(31), self.at, self.member + 1
+            try:
+                found = self.z.decompress(piece)
+            except zlib.error:
+                raise self._damaged() from None
+            self.at += len(piece) - len(self.z.unused_data)
+            if self.z.eof:
+                self.z = None
+            if found:
+                self.held += found
+                return True
+        if self.z is not None:
+            raise self._damaged()
+        return False
+
+    def _damaged(self) -> Fault:
+        self.at, self.z, self.held = self._member_after(self.start), None, b""
+        return Fault(self.member)
+
+    def _member_after(self, start: int) -> int:
+        """Where the next member may begin, or the end."""
+        for i in range(start + 1, len(self.content), 1 << 20):
+            found = bytes(self.content[i : i + (1 << 20) + len(_GZIP) - 1]).find(_GZIP)
+            if found >= 0:
+                return i + found
+        return len(self.content)
+
+    def line(self) -> bytes:
+        """The next line, with its end; what is left where there is none."""
+        while (end := self.held.find(b"\n")) < 0 and self.more():
+            pass
+        end = len(self.held) if end < 0 else end + 1
+        out, self.held = self.held[:end], self.held[end:]
+        return out
+
+    def read(self, n: int) -> bytes:
+        """n bytes, or fewer at the end."""
+        parts, size = [self.held], len(self.held)
+        while size < n:
+            self.held = b""
+            if not self.more():
+                break
+            parts.append(self.held)
+            size += len(self.held)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        return whole[:n]
+
+    def seek_record(self, behind: bytes = b"") -> Fault:
+        """Go on at the next line that begins a record, in bytes read already or after them."""
+        self.held = behind + self.held
+        while (found := re.search(rb"\n(?=WARC/)", self.held)) is None:
+            self.held = self.held[-8:]
+            try:
+                if not self.more():
+                    self.held = b""
+                    break
+            except Fault:
+                break
+        else:
+            self.held = self.held[found.end() :]
+        return Fault(self.member)
+
+
+def records(archive: Archive) -> Iterator[tuple[dict[str, str], bytes] | None]:
+    """Headers (names in lower case) and block of each record, one at a time; None for each run of bytes that hold no whole one.
+
+    A record is passed on when what follows it is known: the last one of a member whose checksum fails isn't.
+    """
+    waiting, member, gap = None, 0, False
     while True:
-        line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
-        if not line:
+        try:
+            found = _record_of(archive)
+        except Fault as fault:
+            if waiting and not (archive.zipped and member == fault.member):
+                yield waiting
+                gap = False
+            waiting = None
+            if not gap:
+                yield None
+            gap = True
+            continue
+        if waiting:
+            yield waiting
+        if found is None:
             return
-        if not line.startswith(b"WARC/"):
-            raise ValueError("no WARC record")
-        headers = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n"):
-            if not line:
-                raise ValueError("a record's headers have no end")
-            k, _, v = line.decode("utf-8", "replace").partition(":")
-            headers[k.strip().lower()] = v.strip()
-        n = int(headers.get("content-length", "none"))
-        block = stream.read(n)
-        if n < 0 or len(block) < n:
-            raise ValueError("a record is shorter than its length")
-        yield headers, block
+        waiting, member, gap = found, archive.member, False
+
+
+def _record_of(archive: Archive) -> tuple[dict[str, str], bytes] | None:
+    """The next record; None at the end."""
+    while (line := archive.line()) in (b"\r\n", b"\n"):
+        pass
+    if not line:
+        return None
+    if not line.startswith(b"WARC/"):
+        raise archive.seek_record(b"\n")
+    headers = {}
+    while (line := archive.line()) not in (b"\r\n", b"\n"):
+        if not line or line.startswith(b"WARC/"):
+            raise archive.seek_record(b"\n" + line)
+        k, _, v = line.decode("utf-8", "replace").partition(":")
+        headers[k.strip().lower()] = v.strip()
+    if not re.fullmatch(r"[0-9]{1,18}", headers.get("content-length", "")):
+        raise archive.seek_record(b"\n")
+    n = int(headers["content-length"])
+    block = archive.read(n)
+    behind = archive.read(4)
+    if len(block) < n or not re.match(rb"\r?\n|\Z", behind):
+        raise archive.seek_record(b"\n" + block + behind)
+    archive.held = behind + archive.held
+    return headers, block
 
 
 def _number(text: str | None) -> int | None:
@@ -166,22 +284,22 @@ def _schemas(fields: dict[str, str]) -> tuple[pa.Schema, str]:
 
 def _rows(content: bytes, segments: bool) -> Iterator[dict]:
     """Of an archive, plain or gzipped in any number of members: its segments, or all else."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-    try:
-        for h, block in records(stream):
-            kind, said = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-            number, page = _number(h.get("warc-segment-number")) or 0, _number(h.get("x-page-id"))
-            if kind not in ("response", "revisit", "continuation") or (number > 0) != segments:
-                continue
-            if segments:
-                origin = h.get("warc-segment-origin-id", h.get("warc-record-id"))
-                yield {"origin": origin, "segment": number, "total": _number(h.get("warc-segment-total-length")), "page_id": page, "said": said, "block": block}
-            else:
-                row = {"record_id": h.get("warc-record-id"), "record_type": kind, "page_id": page, "refers_to": h.get("warc-refers-to"), "payload_digest": said, "payload_bytes": None, "intact": kind == "revisit", "payload": None}
-                yield row | _decoded(block, said) if kind == "response" else row
-    except (ValueError, EOFError, OSError, zlib.error):
-        if not segments:
-            yield {"record_type": "unreadable", "intact": False}
+    for record in records(Archive(content)):
+        if record is None:
+            if not segments:
+                yield {"record_type": "unreadable", "intact": False}
+            continue
+        h, block = record
+        kind, said = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        number, page = _number(h.get("warc-segment-number")) or 0, _number(h.get("x-page-id"))
+        if kind not in ("response", "revisit", "continuation") or (number > 0) != segments:
+            continue
+        if segments:
+            origin = h.get("warc-segment-origin-id", h.get("warc-record-id"))
+            yield {"origin": origin, "segment": min(number, 2**31 - 1), "total": _number(h.get("warc-segment-total-length")), "page_id": page, "said": said, "block": block}
+        else:
+            row = {"record_id": h.get("warc-record-id"), "record_type": kind, "page_id": page, "refers_to": h.get("warc-refers-to"), "payload_digest": said, "payload_bytes": None, "intact": kind == "revisit", "payload": None}
+            yield row | _decoded(block, said) if kind == "response" else row
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -212,8 +330,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     archives = spark.read.format("binaryFile").load(path).select("content")
     whole = archives.mapInArrow(parse(False), row_ddl)
     pieces = (
-        archives.mapInArrow(parse(True), piece_ddl).groupBy("origin")
-        .agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("said").alias("said"))
+        archives.mapInArrow(parse(True), piece_ddl)
+        .groupBy("origin", F.when(F.col("origin").isNull(), F.monotonically_increasing_id()).alias("lone"))
+        .agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("said").alias("said")).drop("lone")
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +362,7 @@ def revisits_resolved(read: DataFrame) -> DataFrame:
     stem = F.regexp_replace("record_id", "^(<urn:page:[^:]*:[^:]*)(:.*)?>$", "$1>")
     again = slim.where(F.col("record_type") == "revisit")
     needed = slim.where(F.col("record_type") == "response").groupBy(stem.alias("to")).agg(F.max("page_id").alias("to_page"), F.max("payload_bytes").alias("to_bytes"))
+    needed = stash(needed, "warc-responses")  # so that a response with many revisits can be split
     found = again.join(needed, again["refers_to"] == needed["to"], "left").select("record_id", "record_type", "page_id", F.col("to_page").alias("refers_to"), "payload_digest", F.col("to_bytes").alias("payload_bytes"), (F.col("intact") & F.col("to").isNotNull()).alias("intact"))
     return slim.where(F.col("record_type") == "response").withColumn("refers_to", F.lit(None).cast("long")).unionByName(found)
 

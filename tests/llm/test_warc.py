@@ -1,6 +1,7 @@
 """Archives with faults: each has a defined result, and none ends the read."""
 
 import gzip
+import re
 
 from contagraph.llm import warc
 
@@ -60,6 +61,73 @@ def test_archives_that_break_off(spark, tmp_path):
     assert [g for g in got if g[1] != "response"] == [(None, "unreadable", False, None, None)] * 4
 
 
+def test_records_after_damage_come(spark, tmp_path):
+    """Ten members of which one is broken give nine records, wherever the flipped byte lies; other members and lines go on."""
+    members = [gzip.compress(b"".join(r + b"\r\n\r\n" for r in record(i, f"text {i} ".encode() * 50))) for i in range(10)]
+    starts = [sum(map(len, members[:i])) for i in range(10)]
+    for n, at in enumerate((0, 1, 12, 60, len(members[1]) - 9, len(members[1]) - 6, len(members[1]) - 2)):
+        data = bytearray(b"".join(members))
+        data[starts[1] + at] ^= 0x55
+        folder = tmp_path / f"zipped{n}"
+        folder.mkdir()
+        got = read(spark, folder, a=bytes(data))
+        assert [g[0] for g in got if g[1] == "response" and g[2]] == [i for i in range(10) if i != 1]
+        assert [g[1] for g in got if g[1] != "response"] == ["unreadable"]
+    rows = [b"".join(record(i, f"plain {i}".encode())) + b"\r\n\r\n" for i in range(6)]
+    rows[1] = rows[1].replace(b"Content-Length: ", b"Content-Length: 9")  # swallows what follows
+    rows[3] = b"noise\r\n" + rows[3][9:]
+    rows[4] = re.sub(rb"Content-Length: \d+", b"Content-Length: 20", rows[4])
+    (tmp_path / "plain").mkdir()
+    got = read(spark, tmp_path / "plain", a=b"".join(rows))
+    assert [g[0] for g in got if g[1] == "response"] == [0, 2, 5] and sum(g[1] == "unreadable" for g in got) == 2
+
+
+def test_transfer_coding_is_a_header_field(spark, tmp_path):
+    head = lambda *lines: b"".join(x + b"\r\n" for x in (b"HTTP/1.1 200 OK", *lines)) + b"\r\n"
+    framed = warc.chunked(b"text")
+    forms = [b"Transfer-Encoding:chunked", b"transfer-encoding:\tChunked ", b"Transfer-Encoding: gzip, chunked", b"Transfer-Encoding: gzip\r\nTransfer-Encoding: chunked", b"Transfer-Encoding: gzip,\r\n chunked"]
+    for form in forms:
+        assert warc.payload_of(head(form) + framed) == b"text"
+    for form in (b"X-Note: transfer-encoding: chunked", b"Transfer-Encoding: chunked, gzip", b"Transfer-Encoding: identity"):
+        assert warc.payload_of(head(form) + framed) == framed
+
+
+def test_segments_without_an_id_stand_alone(spark, tmp_path):
+    parts = [r.replace(b"WARC-Record-ID", b"X-ID").replace(b"WARC-Segment-Origin-ID", b"X-Origin") for r in (*record(1, b"a" * 50, segment=80), *record(2, b"b" * 50, segment=80))]
+    got = read(spark, tmp_path, a=archive(parts))
+    assert [g[1:] for g in got] == [("response", False, None, None)] * len(parts) and len(parts) >= 4
+
+
+def skewed(spark, run):
+    """What run(spark) gives, with hot keys split from a few KB on and nothing broadcast."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        return run(spark)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_payload_that_half_of_the_pages_share_is_split(spark, tmp_path):
+    plans = []
+    pages = spark.range(20_000).selectExpr("id as page_id", "'u' as url", "if(id % 2 = 0, 'the same', concat('page ', id)) as html").repartition(8)
+    path = f"file://{tmp_path}/w"
+
+    def run(spark):
+        warc.write_warc(pages, path)
+        found = warc.revisits_resolved(warc.read_warc(spark, path))
+        rows = found.collect()
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    rows = skewed(spark, run)
+    assert sum(r["record_type"] == "revisit" and r["refers_to"] == 19_998 for r in rows) == 9_999 and len(rows) == 20_000
+    assert "skew=true" in plans[0]
+
+
 def test_pages_without_rows(spark, tmp_path):
     """An empty table gives an archive without records; extra columns and repeated rows are fine."""
     schema = "page_id long, url string, html string, sha string, `own` int"

@@ -55,8 +55,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     lines = F.split(F.col(whole), "\n", -1)
     lost = lambda h: F.array_contains(F.get(gone, F.pmod(h, F.size(gone).cast("long")).cast("int")), h)
     kept = F.filter(lines, lambda x: ~((F.char_length(x) >= min_chars) & lost(F.xxhash64(line_key(x)))))
-    drops = stash(drops, "lines-drops")
-    joined = docs.withColumn(did, did_of).withColumn(whole, body).join(drops, did, "left")
+    drops = stash(drops, "lines-drops")  # merged at every size: texts take the same way whether few or many lose lines
+    joined = docs.withColumn(did, did_of).withColumn(whole, body).join(drops.hint("merge"), did, "left")
     parts = joined.withColumn(kept_lines, F.when(F.col(gone).isNull(), lines).otherwise(kept))
     return parts.select(
         *[(F.array_join(kept_lines, "\n").alias(c) if c == text else col(c)) for c in docs.columns],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contagraph.plans.shared import discard, scratch
 from contagraph.plans.shared import materialised as stash
 
-__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "col", "discard", "fold", "fresh", "scratch", "short_batches", "stash", "table", "word_count"]
+__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "col", "discard", "fold", "fresh", "in_order", "scratch", "short_batches", "stash", "table", "word_count"]
 
 #: The characters that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -48,6 +48,12 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def in_order(df: DataFrame, *but: str) -> Column | None:
+    """The columns of df other than `but` as text, to order rows by; None without any. Rows of equal ones differ in no column."""
+    others = [c for c in df.columns if c not in but]
+    return F.struct(*[col(c).cast("string") for c in others]) if others else None
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

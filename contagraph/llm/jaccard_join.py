@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import col, discard, fresh, short_batches, stash, table
+from contagraph.llm.common import col, discard, fresh, in_order, short_batches, stash, table
 from contagraph.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -259,7 +259,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     class_id is the smallest doc_id linked to it directly or through others (its own, if none); n_copies the rows with
     the same n-gram set, itself included; n_links the different texts of similarity >= threshold; stays is true for one
     row a class, that of the smallest id. Texts without words are in no class but their own and always stay; so do
-    null texts. Null ids join classes but name them only where no other does. Repeated rows are copies.
+    null texts. Null ids join classes but name them only where no other does. Repeated rows are copies. An empty table
+    gives none; texts of any length are compared whole; other columns aren't read, whatever their names.
     """
     used: list[DataFrame] = []  # scratch tables, deleted when the last is written
 
@@ -320,13 +321,20 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without all but the row of each class that stays. Rows are found again by id and text; of those that repeat both, one stays."""
+    """docs without all but the row of each class that stays.
+
+    Rows are found again by id and text; of those that repeat both, the one stays whose other columns, as text and in
+    their order, come first, null before all. An empty table stays empty; texts may be of any length; existing columns
+    are kept, whatever their names.
+    """
     kept_id, mark, gone_id, gone_mark, want = fresh(docs, "kept_id", "kept_mark", "gone_id", "gone_mark", "want")
     rows = similar(docs, text=text, doc_id=doc_id, links=False, marks=True).groupBy("doc_id", "mark").agg(F.count("*").alias("all"), F.count_if("stays").alias("want"))
     gone = stash(rows.where("want < all").select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark), F.col("want").alias(want)), "join-gone")
     mine = docs.withColumn(kept_id, col(doc_id).cast("long")).withColumn(mark, _mark(text))
     same = F.col(kept_id).eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
-    once = mine.join(gone.where(F.col(want) > 0), same, "left_semi").groupBy(kept_id, mark).agg(F.first(F.struct(*map(col, docs.columns))).alias("row")).select("row.*")
+    order = in_order(docs, doc_id, text)
+    least = F.min_by(F.struct(*map(col, docs.columns)), order) if order is not None else F.first(F.struct(*map(col, docs.columns)))
+    once = mine.join(gone.where(F.col(want) > 0), same, "left_semi").groupBy(kept_id, mark).agg(least.alias("row")).select("row.*")
     return mine.join(gone, same, "left_anti").select(*map(col, docs.columns)).unionByName(once)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import col, fresh, stash, table, word_count
+from contagraph.llm.common import col, fresh, in_order, stash, table, word_count
 
 WEIGHTS, MAX_COPIES, BLOCK, SEED = (5, 2, 1), 3, 64, 20
 #: Source tables of up to so many rows are broadcast; larger ones are joined by a salted key.
@@ -127,8 +127,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, doc_id: str = "do
     """The mix itself: docs with every row repeated as often as decided, columns unchanged."""
     size, nth, copies, d_id, d_source, d_size, d_copy, _ = names = fresh(docs, "size", "nth", "copies", "d_id", "d_source", "d_size", "d_copy", "each")
     decided = mixing_decisions(docs, weights, doc_id, source, text).select(F.col("doc_id").alias(d_id), F.col("source").alias(d_source), F.col("size").alias(d_size), F.col("copy").alias(d_copy), F.col("copies").alias(copies))
+    others = in_order(docs, doc_id, source, text)  # equal texts of one id are numbered in the order of their other columns
     numbered = docs.withColumn(size, word_count(col(text)))
-    numbered = numbered.withColumn(nth, F.row_number().over(Window.partitionBy(col(doc_id), col(source).cast("string"), col(size)).orderBy(F.xxhash64(col(text)))))
+    numbered = numbered.withColumn(nth, F.row_number().over(Window.partitionBy(col(doc_id), col(source).cast("string"), col(size)).orderBy(F.xxhash64(col(text)), *([] if others is None else [others]))))
     match = col(doc_id).eqNullSafe(F.col(d_id)) & col(source).cast("string").eqNullSafe(F.col(d_source)) & (F.col(size) == F.col(d_size)) & (F.col(nth) == F.col(d_copy))
     return numbered.join(decided, match).withColumn(names[-1], F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*map(col, docs.columns))
 

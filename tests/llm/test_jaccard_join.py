@@ -60,3 +60,17 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, got.select("doc_id", "class_id", "n_copies", "n_links").collect()), key=repr) == sorted(want, key=repr)
     assert sum(r["stays"] for r in got.collect()) == len({top(i) for i in range(len(rows))})
     assert jaccard_join.keep_one(docs).count() == len({top(i) for i in range(len(rows))})
+
+
+def test_which_copy_stays_does_not_hang_on_partitions(spark):
+    """Rows of one id and text but other columns: the same one stays, and the mix takes the same ones, however rows are dealt."""
+    from contagraph.llm.mixing import mix
+
+    rows = [(1, "one two three four five six seven", "s", i % 40, f"note {i * 7 % 40}" if i % 9 else None) for i in range(40)] + [(2, "a text of quite other words than that", "t", 0, "x")] * 2
+    found = set()
+    for n in (1, 3, 5, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int, note string").repartition(n)
+        kept = sorted(map(tuple, jaccard_join.keep_one(docs).collect()))
+        mixed = sorted(map(repr, map(tuple, mix(docs).collect())))
+        found.add(repr((kept, mixed)))
+    assert len(found) == 1 and len(kept) == 2 and kept[0] == (1, rows[0][1], "s", 0, None)

@@ -28,8 +28,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     A row's keys leave it as a pair of 64-bit hashes, so text crosses the network once, in the last join. Keys are first
     made distinct with their document, which spreads a line that every document has; the count that follows combines
-    before its shuffle. The frequent keys, and the lost ones of each document, are written before they are joined, so
-    that adaptive execution can split a line that every text holds, and rows that share an id. Inside a document its lost
+    before its shuffle. The frequent keys are written before they are joined, so that adaptive execution can split a
+    line that every text holds; a document's lost keys meet its rows in one task. Inside a document its lost
     lines are found again by the first hash. An empty table gives an empty one.
     """
     n_lines, n_dropped, did, gone, whole, kept_lines = fresh(docs, "n_lines", "n_dropped", "did", "gone", "whole", "kept_lines")
@@ -55,8 +55,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     lines = F.split(F.col(whole), "\n", -1)
     lost = lambda h: F.array_contains(F.get(gone, F.pmod(h, F.size(gone).cast("long")).cast("int")), h)
     kept = F.filter(lines, lambda x: ~((F.char_length(x) >= min_chars) & lost(F.xxhash64(line_key(x)))))
-    drops = stash(drops, "lines-drops")  # merged at every size: texts take the same way whether few or many lose lines
-    joined = docs.withColumn(did, did_of).withColumn(whole, body).join(drops.hint("merge"), did, "left")
+    joined = docs.withColumn(did, did_of).withColumn(whole, body).join(drops, did, "left")
     parts = joined.withColumn(kept_lines, F.when(F.col(gone).isNull(), lines).otherwise(kept))
     return parts.select(
         *[(F.array_join(kept_lines, "\n").alias(c) if c == text else col(c)) for c in docs.columns],

@@ -24,10 +24,12 @@ from contagraph.operators.pairs import pair_case_table
 from contagraph.operators.scenarios import Scenario, enumerate_scenarios, resolve_targets, scenario_frame
 from contagraph.operators.scorer import GENETIC, TIME, LinkageModel, PairScorer, compatibility_score, draw_counts, ecdf, label_percentiles, percentiles
 from contagraph.operators.sequences import along_tree, changed_words, distance_matrix, hamming_pairs, packed, simulate_sequences
+from contagraph.operators.sketches import BOUND, approximate_percentiles, merged, sketches
 from contagraph.operators.trees import draw_periods, exact_sample, in_degrees, path_sums, related, roots, simulate_dates
 from contagraph.plans.shared import materialised, scratch
-from contagraph.sources.csv_io import read_observations, write_csv_folder
-from contagraph.sources.fasta import fasta_records
+from contagraph.sources.csv_io import ROW, read_observations, write_csv, write_csv_folder
+from contagraph.sources.fasta import fasta_records, register_fasta
+from contagraph.streaming.links import best_links
 from contagraph.streaming.scoring import register_function
 
 QUERIES: dict = {}
@@ -110,6 +112,16 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_observations(spark, path)
 
 
+@query("""SELECT row_number() OVER (ORDER BY event_id)::BIGINT AS place, CAST(event_id AS VARCHAR) AS event_id, value AS sample_time_difference, CAST(user_id AS DOUBLE) AS genetic_distance, props || chr(10) AS note FROM events""")
+def csv_ordered_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written to one CSV file, in order, and read back in splits, with the place of each row in the file."""
+    e = _table(spark, sf_dir, "events").repartition(5)
+    path = scratch(spark, "ordered") + ".csv"
+    write_csv(e.select("event_id", F.col("value").alias(TIME), F.col("user_id").alias(GENETIC), F.concat("props", F.lit("\n")).alias("note"), F.col("event_id").alias(ROW)), path)
+    read = read_observations(spark, path, keep_order=True)
+    return read.select(F.row_number().over(Window.orderBy(ROW)).cast("long").alias("place"), "event_id", TIME, GENETIC, "note")
+
+
 _CHECKS = [("latent_shape", 5.807, "ValueError"), ("latent_shape", 5.0, "ok"), ("relaxation", -0.5, "ValueError"), ("relaxation", 0, "ok"), ("incubation_scale", 0, "ValueError"), ("symptomatic_rate", True, "TypeError"), ("genome_length", "10", "TypeError"), ("genome_length", 10, "ok"), ("testing_delay_scale", -1.0, "ValueError"), ("transmission_rate_ratio", None, "TypeError")]
 
 
@@ -168,6 +180,38 @@ def sql_function_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT {TIME}, {GENETIC}, round(cg_score({TIME}, {GENETIC}), 9) AS score FROM cg_observations")
 
 
+@query(f"""WITH {_D}, {_cdf('t', 'time_draw')}, x AS (SELECT event_id, event_type AS label, CAST(user_id AS DOUBLE) * 4 AS asked FROM events)
+SELECT event_id, x.label, asked, coalesce(t.p, 0.0) AS percentile, true AS near, true AS merged_near FROM x ASOF LEFT JOIN t ON x.label = t.label AND x.asked >= t.v""")
+def sketch_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles, and whether those of sketches, of all draws and of two parts merged, lie within the sketches' bound."""
+    draws = _draws(spark, sf_dir)
+    parts = [sketches(draws.where(F.col("draw_id") % 3 < 2), "time_draw"), sketches(draws.where(F.col("draw_id") % 3 == 2), "time_draw")]
+    asked = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"), (F.col("user_id") * 4.0).alias("asked"))
+    exact = percentiles(asked, draws, "asked", "time_draw").withColumnRenamed("percentile", "exact")
+    both = approximate_percentiles(exact, sketches(draws, "time_draw"), "asked", "whole")
+    both = approximate_percentiles(both, merged(*parts), "asked", "joined")
+    near = lambda c: F.abs(F.col(c) - F.col("exact")) <= BOUND
+    return both.select("event_id", "label", "asked", F.col("exact").alias("percentile"), near("whole").alias("near"), near("joined").alias("merged_near"))
+
+
+@query("""SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, user_id AS case_id, (max(struct_pack(v := value, e := -event_id))).e * -1 AS linked, max(value) AS score, count(*)::BIGINT AS seen
+FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2""")
+def best_link_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as links of their users, which come in three files in the order of time: each user's best one of each day."""
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("linked"), F.col("value").alias("score"), F.col("ts").cast("timestamp").alias("at"))
+    given, out = scratch(spark, "links"), scratch(spark, "links-best")
+    cuts = e.agg(F.percentile_approx(F.unix_micros("at"), [1 / 3, 2 / 3]).alias("c")).first()["c"]
+    third = F.when(F.unix_micros("at") <= cuts[0], 0).when(F.unix_micros("at") <= cuts[1], 1).otherwise(2)
+    for i in range(3):
+        e.where(third == i).coalesce(1).write.mode("append").parquet(given)
+    links = best_links(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(given), "1 day")
+    writer = links.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "stream")).foreachBatch(lambda rows, n: rows.write.mode("append").parquet(out))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema(links.schema).parquet(out)
+    last = told.groupBy("start", "case_id").agg(F.max_by(F.struct("linked", "score", "seen"), "seen").alias("best"))
+    return last.select("start", "case_id", "best.*")
+
+
 @query(f"""{_HEAD}, obs AS (SELECT * FROM o), {_SCORED}
 SELECT sample_time_difference, genetic_distance, label, time_percentile, time_compatibility, genetic_percentile, genetic_compatibility,
 time_compatibility * genetic_compatibility AS compatibility FROM c""")
@@ -539,6 +583,17 @@ def fasta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta_records(_suppliers_packed(spark, sf_dir))
 
 
+@query(f"SELECT 'd' || doc_id AS node, {_BASES.format(_MD5S.format('doc_id'), 100)} AS seq, 100 AS length FROM documents")
+def fasta_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences written in the FASTA format by all tasks, and read back in splits."""
+    register_fasta(spark)
+    rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node"), pack(_codes("doc_id", 100)).alias("words"), F.lit(100).alias("length"))
+    path = scratch(spark, "fasta")
+    rows.repartition(3).write.format("fasta").mode("append").save(path)
+    read = spark.read.format("fasta").option("split", 50_000).load(path)
+    return read.select("node", bases(unpack(F.col("words"), F.col("length"))).alias("seq"), "length")
+
+
 @query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, x AS (SELECT node, {_BASES.format(_MD5S.format("('c' || node)"), 70)} AS seq FROM nodes), walk AS (
 SELECT node, seq FROM x WHERE node NOT IN (SELECT child FROM edges)
 UNION ALL SELECT x.node, (SELECT string_agg(substr('ACGT', 1 + (strpos('ACGT', substr(w.seq, i::INTEGER, 1)) + strpos('ACGT', substr(x.seq, i::INTEGER, 1)) - 2) % 4, 1), '' ORDER BY i) FROM range(1, 71) t(i))

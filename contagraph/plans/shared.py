@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -43,19 +44,30 @@ def discard(*frames: DataFrame | None) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def copy_parts(spark: SparkSession, folder: str, to: str) -> None:
-    """Append the part files of a folder, in order, to a file of the driver, and delete the folder; bytes are copied as they are."""
-    jvm = spark._jvm
+def copy_parts(spark: SparkSession, folder: str, to: str, head: str = "") -> None:
+    """Make one file of head and the part files of a folder, in order, and delete the folder; bytes are copied as they are.
+
+    to is a path of the driver's machine, or a URI that Hadoop can write; the file appears when it is whole.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs = where.getFileSystem(conf)
     paths = [x.getPath() for x in fs.listStatus(where)]
     parts = sorted((p for p in paths if p.getName().startswith("part-")), key=lambda p: int(p.getName().split("-")[1].split(".")[0]))
-    out = jvm.java.io.FileOutputStream(to, True)
+    target = jvm.org.apache.hadoop.fs.Path(to if "://" in to else "file://" + os.path.abspath(to))
+    into = target.getFileSystem(conf)
+    into = into.getRawFileSystem() if into.getScheme() == "file" else into  # without a file of checksums beside it
+    begun = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.part")
+    out = into.create(begun, True)
     try:
+        out.write(bytearray(head.encode()))
         for p in parts:
             given = fs.open(p)
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
             given.close()
     finally:
         out.close()
+    if into.exists(target):
+        into.delete(target, False)
+    into.rename(begun, target)
     fs.delete(where, True)

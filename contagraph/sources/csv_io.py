@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import os
 from collections.abc import Iterator
 from typing import TextIO
 
@@ -117,7 +116,7 @@ def _line(values) -> str:
 
 
 def write_csv(df: DataFrame, out: str | TextIO) -> None:
-    """One file (or stream) with header, in input order.
+    """One file, of the driver's machine or of a URI, or a stream, with header, in input order.
 
     Tasks write their parts of the order to the shared folder; the file is these, one after the other. A stream gets the
     formatted lines, a partition at a time.
@@ -130,11 +129,7 @@ def write_csv(df: DataFrame, out: str | TextIO) -> None:
         return
     parts = scratch(df.sparkSession, "csv-parts")
     lines.write.option("lineSep", "\n").text(parts)
-    part = f"{out}.part"
-    with open(part, "w", newline="") as f:
-        f.write(header + "\n")
-    copy_parts(df.sparkSession, parts, part)
-    os.replace(part, out)
+    copy_parts(df.sparkSession, parts, out, header + "\n")
 
 
 def write_csv_folder(df: DataFrame, path: str) -> None:

@@ -209,9 +209,19 @@ class PairScorer:
         fit = lambda s, x: f"(1 - 2 * abs({s.share_sql(known_sql(x))} - 0.5D))"
         return " + ".join(f"{fit(x, time)} * {fit(y, genetic)}" for x, y in self._pairs())
 
+    def shares(self, time: float, genetic: float) -> dict[str, tuple[float, float]]:
+        """Each label's percentiles of two numbers: from the driver's arrays, or by one aggregation where draws are many."""
+        if self.constant:
+            steps = self.steps()
+            return {x: (steps[x, 0].of(time), steps[x, 1].of(genetic)) for x in self.labels}
+        asked = F.when(F.col("axis") == 0, F.lit(time)).otherwise(F.lit(genetic))
+        below = F.sum(F.when((F.col("v") <= asked) & ~F.isnan(asked), F.col("c")).otherwise(0)) / F.sum("c")
+        found = {(r["label"], r["axis"]): r["p"] for r in self.counts.groupBy("label", "axis").agg(below.alias("p")).collect()}
+        return {x: (found[x, 0], found[x, 1]) for x in self.labels}
+
     def score_values(self, time: float, genetic: float) -> float:
-        """The same of two numbers, without a job."""
-        return float(sum(compatibility_from_percentile(x.of(time)) * compatibility_from_percentile(y.of(genetic)) for x, y in self._pairs()))
+        """The summed compatibility of two numbers."""
+        return float(sum(compatibility_from_percentile(p) * compatibility_from_percentile(q) for p, q in self.shares(time, genetic).values()))
 
     def _percentiles(self, obs: DataFrame, time: str, genetic: str) -> DataFrame:
         """obs with scored_time and scored_genetic: percentiles in the order of the labels."""
@@ -309,9 +319,8 @@ class LinkageModel:
     def score_pair(self, sample_time_difference: float, genetic_distance: float) -> PairResult:
         """All scores of one pair."""
         t, g = _numbers(sample_time_difference, genetic_distance)
-        steps, scores = self.scorer(self.labels).steps(), {}
-        for label in self.labels:
-            p, q = steps[label, 0].of(t), steps[label, 1].of(g)
+        scores = {}
+        for label, (p, q) in self.scorer(tuple(self.labels)).shares(t, g).items():
             fits = compatibility_from_percentile(p), compatibility_from_percentile(q)
             scores[label] = ScenarioScore(p, fits[0], q, fits[1], fits[0] * fits[1])
         target = self.target if isinstance(self.target, str) else tuple(Scenario.parse(t).label() for t in ([self.target] if isinstance(self.target, Scenario) else self.target))

@@ -281,6 +281,8 @@ def test_strategies_agree(spark, model):
     assert rows_of(one.breakdown(obs)) == rows_of(other.breakdown(obs))
     assert rows_of(one.score(obs)) == rows_of(other.score(obs))
     assert rows_of(one.score(obs, out=GENETIC)) == rows_of(other.score(obs, out=GENETIC))
+    for t, g in ((5.0, 4.0), (-2.0, 0.0), (float("nan"), 4.0)):
+        assert one.shares(t, g) == other.shares(t, g) and one.score_values(t, g) == other.score_values(t, g)
 
 
 def test_ecdf_of_many_draws(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import BLANKS, ascii_lower, col, fresh, stash, table
+from contagraph.llm.common import BLANKS, ascii_lower, col, fresh, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _NO_ID = -(2**63)
@@ -28,7 +28,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     A row's keys leave it as a pair of 64-bit hashes, so text crosses the network once, in the last join. Keys are first
     made distinct with their document, which spreads a line that every document has; the count that follows combines
-    before its shuffle. The frequent keys are written before they are joined, so that adaptive execution can split a
+    before its shuffle. The frequent keys are shuffled once more for their join, so that adaptive execution can split a
     line that every text holds; a document's lost keys meet its rows in one task. Inside a document its lost
     lines are found again by the first hash. An empty table gives an empty one.
     """
@@ -43,12 +43,13 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         .groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
     )
     frequent = occurs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("did").alias("last")).where(F.col("n") >= min_docs)
-    # a table that is joined as it is written, not as it is summed up, leaves the join's hot keys to be split
-    frequent = stash(frequent.drop("n"), "lines-frequent")
+    # one more key than the sums were dealt out by: the join shuffles them anew, and only such a side lets hot keys be split
+    both = F.xxhash64("h1", "h2").alias("h")
+    frequent = frequent.select("h1", "h2", both, "last")
     # a document's lost hashes in bins, so that a text which loses thousands of lines isn't compared with all of them each time
     bins = F.ceil(F.sqrt(F.size(gone) / 8)).cast("long")
     drops = (
-        occurs.join(frequent, ["h1", "h2"]).where(F.col("did") < F.col("last"))
+        occurs.select("h1", "h2", both, "did").join(frequent, ["h1", "h2", "h"]).where(F.col("did") < F.col("last"))
         .groupBy(F.col("did").alias(did)).agg(F.collect_list("h1").alias(gone))
         .withColumn(gone, F.transform(F.sequence(F.lit(0).cast("long"), bins - 1), lambda b: F.filter(gone, lambda g: F.pmod(g, bins) == b)))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contagraph.plans.shared import discard, scratch
 from contagraph.plans.shared import materialised as stash
 
-__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "col", "discard", "fold", "fresh", "in_order", "scratch", "short_batches", "stash", "table", "word_count"]
+__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "col", "discard", "fold", "fresh", "in_order", "scratch", "short_batches", "spread", "stash", "table", "word_count"]
 
 #: The characters that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if its scan has fewer splits than the session has cores, so that all of them work on a small table."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, whose session hands texts to Python workers in batches of at most `rows` from now on.
 

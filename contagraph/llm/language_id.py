@@ -1,7 +1,9 @@
 """Language identification, word first: log frequencies of known words, else of ever shorter character n-grams.
 
-The model is arrays: sorted 64-bit hashes of all words and n-grams of the sample, and for each a row of log
-frequencies by language. A worker keeps the rows of the words it met last; words it meets anew are looked up together.
+The model is arrays: sorted 64-bit hashes of all words and n-grams of the sample, and for each the languages it was
+counted in, with the log frequency there; a language's items that weren't counted share one default. So the model grows
+with what was counted, and not with items times languages. A worker keeps the entries of the words it met last; words it
+meets anew are looked up together.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contagraph.llm.common import col, fold, fresh, short_batches, stash, table
+from contagraph.llm.common import col, fold, fresh, short_batches, spread, stash, table
 
 #: The fit reads about so many documents a language; that alone bounds the model.
 SAMPLE = 1500
@@ -27,6 +29,8 @@ BROADCAST_LABELS, SALTS = 50_000, 64
 UNKNOWN = "und"
 #: A worker keeps the rows of so many words, and looks so many words of texts up at once. Neither changes a result.
 CACHE, TOGETHER = 100_000, 50_000
+#: Sums of so many texts times languages are held at once.
+CELLS = 1_000_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -48,15 +52,36 @@ def _gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-class _Table:
-    """Sorted keys, and a row of log frequencies for each."""
+def _cut(padded: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of n code points that lie within one of the strings, and which one that is."""
+    size = np.array([len(w) for w in padded], np.int64)
+    owner, last = np.repeat(np.arange(len(padded)), size), np.repeat(np.cumsum(size), size)
+    h = _gram_hashes(_points(padded), n)
+    inside = np.flatnonzero(np.arange(len(h)) + n <= last[: len(h)])
+    return h[inside], owner[inside]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ... of all spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Equal keys, if any, add up."""
-        self.keys, at = np.unique(keys, return_inverse=True)
-        n = np.zeros((len(self.keys), counts.shape[1]))
-        np.add.at(n, at, counts)
-        self.rows = np.log((n + 0.5) / (n.sum(0) + 0.5 * (len(n) + 1))).astype(np.float32)
+
+class _Table:
+    """Sorted keys; from starts[i] to starts[i + 1] the languages that key i was counted in, and how far its log frequency
+    there lies above the language's default, that of what it wasn't counted in."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, languages: int) -> None:
+        """A count for each key and language; pairs that occur more than once add up."""
+        order = np.lexsort((langs, keys))
+        keys, langs = keys[order], langs[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (langs[1:] != langs[:-1])] if len(keys) else np.zeros(0, bool)
+        n = np.add.reduceat(counts[order].astype(float), np.flatnonzero(new)) if len(keys) else np.zeros(0)
+        keys, self.langs = keys[new], langs[new].astype(np.int32)
+        self.keys, first = np.unique(keys, return_index=True)
+        self.starts = np.r_[first, len(keys)].astype(np.int64)
+        total = np.bincount(self.langs, n, languages) + 0.5 * (len(self.keys) + 1)
+        self.default = np.log(0.5 / total)
+        self.above = (np.log((n + 0.5) / total[self.langs]) - self.default[self.langs]).astype(np.float32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of keys, and which of them are known."""
@@ -65,6 +90,11 @@ class _Table:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many entries each of these keys has, and the places of all of them."""
+        sizes = self.starts[at + 1] - self.starts[at]
+        return sizes, _spans(self.starts[at], sizes)
+
 
 class WordFirstModel:
     """languages, and the tables of words and n-grams."""
@@ -77,44 +107,55 @@ class WordFirstModel:
         return WordFirstModel, (self.languages, self.words, self.grams)
 
     def reset(self) -> None:
-        self.rows = np.zeros((CACHE + TOGETHER, len(self.languages)))
         self.slots, self.new = _Slots(self), []
+        self.kinds, self.starts = np.zeros(0, np.int8), np.zeros(1, np.int64)
+        self.langs, self.values = np.zeros(0, np.int32), np.zeros(0)
 
-    def vectors(self, words: list[str]) -> np.ndarray:
-        """A row for each word: its own if it is known, else the mean of its longest known n-grams; zeros without any."""
+    def entries(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word which default it starts from (0: none, 1: that of words, 2: that of n-grams), and what its row has above it.
+
+        The row is the word's own if it is known, else the mean of those of its longest known n-grams. What is above the
+        default comes as (word, language, value), sorted.
+        """
         at, known = self.words.find(_word_hashes(words))
-        out = np.zeros((len(words), len(self.languages)))
-        out[known] = self.words.rows[at[known]]
+        kinds = known.astype(np.int8)
+        sizes, places = self.words.entries(at[known])
+        owners, langs, values = [np.repeat(np.flatnonzero(known), sizes)], [self.words.langs[places]], [self.words.above[places].astype(float)]
         left = np.flatnonzero(~known)
         for n in ORDERS:
             if not len(left):
                 break
-            padded = [f"^{words[i]}$" for i in left]
-            size = np.array([len(w) for w in padded])
-            owner, last = np.repeat(np.arange(len(left)), size), np.repeat(np.cumsum(size), size)
-            h = _gram_hashes(_points(padded), n)
-            inside = np.flatnonzero(np.arange(len(h)) + n <= last[: len(h)])
-            at, known = self.grams.find(h[inside])
-            owner = owner[inside[known]]
+            h, owner = _cut([f"^{words[i]}$" for i in left], n)
+            at, hit = self.grams.find(h)
+            owner = owner[hit]
             count = np.bincount(owner, minlength=len(left))
-            for k in range(len(self.languages)):
-                out[left, k] = np.bincount(owner, self.grams.rows[at[known], k], len(left)) / np.maximum(count, 1)
+            sizes, places = self.grams.entries(at[hit])
+            of = np.repeat(owner, sizes)
+            owners.append(left[of])
+            langs.append(self.grams.langs[places])
+            values.append(self.grams.above[places] / count[of])
+            kinds[left[count > 0]] = 2
             left = left[count == 0]
-        return out
+        owner, lang, value = map(np.concatenate, (owners, langs, values))
+        code, at = np.unique(owner * len(self.languages) + lang, return_inverse=True)
+        return kinds, code // len(self.languages), (code % len(self.languages)).astype(np.int32), np.bincount(at, value, len(code))
 
     def _totals(self, texts: list[list[str]]) -> np.ndarray:
         """Sums of the words' rows; at most TOGETHER words in all. A text's sum doesn't depend on the others."""
-        size = np.array([len(t) for t in texts], np.int64)
         if len(self.slots) > CACHE:
             self.reset()
-        at = np.fromiter((self.slots[w] for t in texts for w in t), np.int64, size.sum())
+        sizes = np.array([len(t) for t in texts], np.int64)
+        at = np.fromiter((self.slots[w] for t in texts for w in t), np.int64, sizes.sum())
         if self.new:
-            self.rows[len(self.slots) - len(self.new) : len(self.slots)] = self.vectors(self.new)
-            self.new = []
-        out = np.zeros((len(texts), len(self.languages)))
-        if len(at):
-            out[size > 0] = np.add.reduceat(self.rows[at], (np.cumsum(size) - size)[size > 0])
-        return out
+            kinds, owner, langs, values = self.entries(self.new)
+            self.kinds = np.r_[self.kinds, kinds]
+            self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(np.bincount(owner, minlength=len(kinds)))]
+            self.langs, self.values, self.new = np.r_[self.langs, langs], np.r_[self.values, values], []
+        text, n = np.repeat(np.arange(len(texts)), sizes), len(self.languages)
+        out = sum(np.bincount(text[self.kinds[at] == k], minlength=len(texts))[:, None] * table.default for k, table in ((1, self.words), (2, self.grams)))
+        held = self.starts[at + 1] - self.starts[at]
+        places = _spans(self.starts[at], held)
+        return out + np.bincount(np.repeat(text, held) * n + self.langs[places], self.values[places], len(texts) * n).reshape(len(texts), n)
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
@@ -130,7 +171,7 @@ class WordFirstModel:
             words = _WORDS((t or "").lower())
             if not self.languages or not any(c.isalpha() for w in words for c in w):
                 words = []
-            if size + len(words) > TOGETHER:
+            if size + len(words) > TOGETHER or len(held) * len(self.languages) > CELLS:
                 settle()
                 size = 0
             if len(words) > TOGETHER:
@@ -163,7 +204,7 @@ class _Slots(dict):
 def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> WordFirstModel:
     """Fit on about `sample` documents of each language, chosen by a hash of id and text; all of them where fewer.
 
-    Every word and n-gram of the sample is in the model, with a number for each language. Rows with null text or lang are
+    Every word and n-gram of the sample is in the model, with a number for each language that it was counted in. Rows with null text or lang are
     left out. Languages are data: labels may differ in case alone or be any text. An empty table gives a model without languages, which says `und`.
     """
     rows = labelled.select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.xxhash64(col(doc_id), F.length(col(text))).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -178,29 +219,34 @@ def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, found in counts.items():
+                words, n = list(found), np.fromiter(found.values(), np.int64, len(found))
+                cut = [_cut([f"^{w}$" for w in words], k) for k in ORDERS]
+                grams, at = np.unique(np.concatenate([h for h, _ in cut]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([n[owner] for _, owner in cut]), len(grams)).astype(np.int64)
+                for kind, keys, many in ((0, _word_hashes(words), n), (1, grams, sums)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array([kind] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(many)], names=["lang", "kind", "item", "n"])
+            counts.clear()
+
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts.setdefault(name, Counter()).update(_WORDS(t.as_py().lower()))
-        for name, found in counts.items():
-            grams: Counter = Counter()
-            for w, c in found.items():
-                padded = f"^{w}$"
-                for n in ORDERS:
-                    for i in range(len(padded) - n + 1):
-                        grams[padded[i : i + n]] += c
-            for kind, x in ((0, found), (1, grams)):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array([kind] * len(x), pa.int32()), pa.array(list(x), pa.string()), pa.array(x.values(), pa.int64())], names=["lang", "kind", "item", "n"])
-
-    counted = stash(short_batches(chosen).mapInArrow(run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "lang-counts")
-    place, tables = {name: i for i, name in enumerate(languages)}, []
+            if sum(map(len, counts.values())) > CACHE:
+                yield from out()
+        yield from out()
+
+    # items are hashes from here on
+    counted = stash(short_batches(chosen).mapInArrow(run, "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "lang-counts")
+    tables = []
     for kind in (0, 1):
         got = counted.where(F.col("kind") == kind).select("lang", "item", "n").toArrow().combine_chunks()
-        items = got["item"].combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
-        names = items.dictionary.to_pylist()
-        n = np.zeros((len(names), len(languages)))
-        n[items.indices.to_numpy(zero_copy_only=False).astype(np.int64), [place[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
-        keys = _word_hashes(names) if kind == 0 else np.array([_gram_hashes(_points([g]), len(g))[0] for g in names], np.uint64)
-        tables.append(_Table(keys, n))
+        names = got["lang"].combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
+        at = {x: i for i, x in enumerate(languages)}
+        place = np.array([at[x] for x in names.dictionary.to_pylist()], np.int32)
+        langs = place[names.indices.to_numpy(zero_copy_only=False)] if got.num_rows else place
+        tables.append(_Table(got["item"].to_numpy().astype(np.int64).view(np.uint64), langs, got["n"].to_numpy(), len(languages)))
     return WordFirstModel(languages, *tables)
 
 
@@ -232,6 +278,6 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = train(training_rows(docs))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")

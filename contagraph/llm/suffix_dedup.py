@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import col, fresh, short_batches, stash, table
+from contagraph.llm.common import col, fresh, short_batches, spread, stash, table
 
 LENGTH = 400
 #: Places of a window that its anchor may have; the bytes from an anchor on that all of its windows hold.
@@ -283,7 +283,8 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, hot: int | None = No
     kinds = live.where(F.col("n") > 0).groupBy("core", "t1", "t2").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("doc", "first", "anchor", "last")])
     kinds = stash(kinds, "suffix-kinds")
     whole = kinds.where(F.col("n") > 1).select("core", "t1", "t2")
-    sure = live.drop("n").join(whole, ["core", "t1", "t2"]).select("doc", "first", "last")
+    # of equal texts one is enough, before their contexts meet
+    sure = live.drop("n", "anchor").distinct().join(whole, ["core", "t1", "t2"]).select("doc", "first", "last")
     crowds = stash(kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("n").alias("least")).where((F.col("m") > 1) & (F.col("least") == 1)).select("core", (F.col("m") > most).alias("hot")), "suffix-crowds")
     wanted = kinds.join(crowds, "core").select("doc", F.struct("core", "first", "anchor", "last", F.least("n", F.lit(2)).cast("int").alias("weight"), "hot").alias("w"))
     wanted = stash(wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted")), "suffix-wanted")
@@ -293,7 +294,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, hot: int | None = No
     found = sure.unionByName(local)
     if not contexts.where("hot").isEmpty():
         found = found.unionByName(_counted(contexts.where("hot"), length))
-    return stash(found.distinct().groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "suffix-spans")
+    return stash(found.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "suffix-spans")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", hot: int | None = None) -> DataFrame:
@@ -345,5 +346,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", hot:
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = suffix_dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contagraph.llm.common import col, fresh, short_batches, table
+from contagraph.llm.common import col, fresh, short_batches, spread, table
 
 SPACE = "▁"
 #: A worker keeps 2 * CACHE chunks and PAIRS pairs of pieces at most, and encodes ROWS texts at once. None changes a result.
@@ -295,5 +295,5 @@ def encode_decode(docs: DataFrame, model_file: str | None = None, text: str = "t
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    coded = encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -38,6 +38,7 @@ def main(argv: list[str] | None = None) -> None:
 
         from contagraph.functions.profiles import FromInfectiousness
         from contagraph.operators.scorer import LinkageModel
+        from contagraph.plans.shared import discard_all
         from contagraph.sources.csv_io import read_observations, write_csv
 
         spark = SparkSession.builder.appName("contagraph").getOrCreate()
@@ -46,6 +47,7 @@ def main(argv: list[str] | None = None) -> None:
         profile = FromInfectiousness(parameters, rng_seed=args.seed)
         model = LinkageModel(spark, profile, args.maximum_depth, args.mc_samples, args.target, args.mutation_process)
         write_csv(model.score_target(obs, out=SCORE), args.output or sys.stdout)
+        discard_all(spark)
         log.info("scored %s", args.input)
     except Exception as e:
         log.error("%s", e)

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths in the shared folder that this process has asked for and not deleted.
+_MADE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir); a fresh local one only where that is unset and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
@@ -39,9 +45,19 @@ def discard(*frames: DataFrame | None) -> None:
     """Delete the files of materialised tables that nothing is going to read any more; other frames and None are passed over."""
     for df in frames:
         if path := getattr(df, "scratch_path", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all that this process has left in the shared folder, when no result that reads it is needed any more."""
+    for path in list(_MADE):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.discard(path)
 
 
 def copy_parts(spark: SparkSession, folder: str, to: str, head: str = "") -> None:

@@ -95,3 +95,33 @@ def test_links_stream_with_late_rows(spark, tmp_path):
     late = (1, 99, 0.9, at(6))
     batch = best_links(spark.createDataFrame([r for f in files for r in f if r != late], schema), "1 day")
     assert {(r["start"], r["case_id"]): (r["linked"], r["score"], r["seen"]) for r in batch.collect()} == want
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    from contagraph.plans import shared
+
+    monkeypatch.setattr(shared, "_MADE", set())
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    kept = [shared.materialised(spark.range(3), name) for name in ("a", "b", "c")]
+    assert sorted(p.name[0] for p in tmp_path.iterdir()) == ["a", "b", "c"] and kept[1].count() == 3
+    shared.discard(kept[0], None, spark.range(1))
+    assert sorted(p.name[0] for p in tmp_path.iterdir()) == ["b", "c"]
+    shared.discard_all(spark)
+    assert not [p for p in tmp_path.iterdir() if not p.name.endswith(".crc")] and not shared._MADE
+
+
+def test_codes_are_checked_while_they_are_packed(spark):
+    from contagraph.operators.sequences import packed
+
+    raw = spark.createDataFrame([(i, [0, 1, 2, 3, i % 4]) for i in range(50)], "idx int, codes array<int>").repartition(3)
+    sc = spark.sparkContext
+    sc.setJobGroup("packed", "packed")
+    out = packed(raw)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("packed"))
+    sc.setJobGroup("read", "read")
+    raw.write.format("noop").mode("overwrite").save()
+    assert jobs <= len(sc.statusTracker().getJobIdsForGroup("read")) and out.count() == 50
+    for bad, match in (([0, 4, 1, 1, 1], "0..3"), ([-1] * 5, "0..3"), ([1], "one length")):
+        with pytest.raises(ValueError, match=match):
+            packed(raw.unionByName(spark.createDataFrame([(99, bad)], "idx int, codes array<int>")))
+    assert packed(raw.limit(0)).count() == 0

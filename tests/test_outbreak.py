@@ -229,6 +229,15 @@ def test_matrix_is_made_in_one_pass(spark):
     assert len(got) == 1600 and {(r["idx_a"], r["idx_b"]): r["distance"] for r in got} == {(i, j): int((x[i] != x[j]).sum()) for i in range(40) for j in range(40)}
 
 
+def test_properties_are_added_up_where_pairs_meet(spark):
+    from contagraph.plans.queries import QUERIES
+
+    found = QUERIES["outbreak_properties"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and not any(f in plan for f in ("zip_with", "arrays_overlap", "bround"))
+    assert found.first()["in_range"]
+
+
 @pytest.mark.parametrize("twice", [False, True])
 def test_pair_table_of_a_small_table_is_spread(spark, twice):
     """With a parent each, pairs are compared in compiled code; with several, by their arrays. Days are rounded as bround() does."""

@@ -16,7 +16,7 @@ the suffixes at their anchors share their first CORE bytes. An anchor's context
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contagraph.llm.common import col, fresh, short_batches, stash, table
+from contagraph.llm.common import col, discard, fresh, short_batches, stash, table
 
 LENGTH = 400
 #: Places of a window that its anchor may have; the bytes from an anchor on that all of its windows hold.
 SPAN = 256
 #: Contexts of one core that one task sorts at most; contexts that are sorted together; starts of a text that are looked at together.
 HOT, TOGETHER, PIECE = 4_096, 8_192, 1 << 20
+#: Words of a passage: over 50. Words of texts that are looked at together; words whose hashes a task remembers.
+PASSAGE, WORDS_TOGETHER, WORDS_KNOWN = 51, 1 << 18, 100_000
 _GRAM = 8
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -296,7 +298,129 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, hot: int | None = No
     return stash(found.distinct().groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "suffix-spans")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", hot: int | None = None) -> DataFrame:
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KNOWN:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _rolled(x: np.ndarray, base: int) -> Callable[[np.ndarray, np.ndarray | int], np.ndarray]:
+    """A function of starts and lengths that gives the hashes of these parts of x, wherever they lie in it."""
+    inverse = pow(base, -1, 1 << 64)
+    powers, back = np.full(len(x), base, np.uint64), np.full(len(x), inverse, np.uint64)
+    powers[:1] = back[:1] = 1
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(x * np.cumprod(powers))]
+    back = np.cumprod(back)
+
+    def part(starts: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        h = (sums[starts + size] - sums[starts]) * back[starts]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ h >> np.uint64(32)
+
+    return part
+
+
+def _passages(texts: Iterator[tuple[int, bytes | memoryview]], words: int) -> Iterator[tuple]:
+    """For texts (d, bytes), some at a time: d, core and context of each run of windows that share an anchor, the runs' first
+    windows and numbers, and a function of first words that gives the windows' hashes. A window has `words` words."""
+    span = max(1, min(words - words // 3, words - 1))
+    bare, known = words - span + 1, _WordHashes()
+
+    def solve(parts: list[tuple[int, np.ndarray]]) -> tuple:
+        x = np.concatenate([p for _, p in parts])
+        sizes = np.array([len(p) for _, p in parts])
+        text = np.repeat(np.arange(len(parts)), sizes)
+        cores, rest = _rolled(x, 0x9E3779B97F4A7C15), _rolled(x, 0xC2B2AE3D27D4EB4F)
+        places = np.arange(len(x) - bare + 1)
+        core = cores(places, bare)
+        # the place in the low bits: of equal hashes the first
+        at = (_sliding_min(core & ~_PLACE | places.astype(np.uint64), span) & _PLACE).astype(np.int64)
+        windows = np.flatnonzero(text[: len(at)] == text[words - 1 :])
+        at, of = at[windows], text[windows]
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1])])
+        count = np.diff(np.r_[first, len(windows)])
+        begin = windows[first]
+        name = np.array([d for d, _ in parts], np.int64)[of[first]]
+        return name, core[at[first]].view(np.int64), rest(begin, count + words - 1).view(np.int64), begin, count, lambda starts: rest(starts, words).view(np.int64)
+
+    parts: list[tuple[int, np.ndarray]] = []
+    total = 0
+    for d, body in texts:
+        all_ = bytes(body).split()
+        for i in range(0, len(all_) - words + 1, WORDS_TOGETHER):
+            some = all_[i : i + WORDS_TOGETHER + words - 1]
+            parts.append((d, np.fromiter(map(known.__getitem__, some), np.uint64, len(some))))
+            total += len(some)
+            if total >= WORDS_TOGETHER:
+                yield solve(parts)
+                parts, total = [], 0
+    if parts:
+        yield solve(parts)
+
+
+def _passage_runs(texts: DataFrame, words: int) -> DataFrame:
+    """Core and context of the runs of windows of texts (d, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d.as_py(), body.as_buffer()) for batch in batches for d, body in zip(batch.column(0), batch.column(1)))
+        for name, core, context, *_ in _passages(rows, words):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (core, context, name)], names=["core", "context", "d"])
+
+    return short_batches(texts).mapInArrow(run, "core long, context long, d long")
+
+
+def _passage_windows(texts: DataFrame, words: int) -> DataFrame:
+    """The windows of those contexts of texts (d, text, wanted) that are wanted, by core and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # what one text wants may be taken from others of its batch too: windows are only counted
+            wanted = np.unique(batch.column(2).flatten().to_numpy(zero_copy_only=False))
+            rows = ((d.as_py(), body.as_buffer()) for d, body in zip(batch.column(0), batch.column(1)))
+            for name, core, context, begin, count, digest in _passages(rows, words):
+                some = np.isin(context, wanted)
+                name, core, begin, count = name[some], core[some], begin[some], count[some]
+                starts = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(count) else begin
+                columns = np.repeat(core, count), digest(starts), np.repeat(name, count)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "window", "d"])
+
+    return short_batches(texts).mapInArrow(run, "core long, window long, d long")
+
+
+def repeated_passages(texts: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """doc of those texts (doc, text: binary) that hold `words` words in a row which another row holds too.
+
+    Words are what blanks (BLANKS) separate, whatever the blanks. Windows are equal if their digests and their cores' are,
+    of 64 bits each. A text that shares a whole context needs no more; only for others are windows compared one by one, with
+    those of all contexts of their cores.
+    """
+    if words < 2:
+        raise ValueError("words must be above 1")
+
+    def held(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.min("d").alias("a"), F.max("d").alias("b"))
+
+    ids = stash(texts.groupBy("doc").agg((F.count("*") > 1).alias("copied")).withColumn("d", F.xxhash64("doc")), "passage-ids")
+    keyed = texts.where(F.octet_length("text") >= 2 * words - 1).select(F.xxhash64("doc").alias("d"), "text")
+    runs = stash(_passage_runs(keyed, words), "passage-runs")
+    live = stash(runs.join(held(runs, "core").where("a < b").select("core"), "core"), "passage-live")
+    kinds = stash(held(live, "core", "context"), "passage-kinds")
+    alike = live.join(kinds.where("a < b").select("core", "context"), ["core", "context"]).select("d")
+    copied = runs.select("d").distinct().join(ids.where("copied"), "d").select("d")
+    sure = stash(alike.unionByName(copied).distinct(), "passage-sure")
+    unsure = kinds.where("a = b").join(sure.select(F.col("d").alias("a")), "a", "left_anti").select("core").distinct()
+    wanted = stash(kinds.join(unsure, "core").groupBy(F.col("a").alias("d")).agg(F.collect_list("context").alias("wanted")), "passage-wanted")
+    windows = stash(_passage_windows(keyed.join(wanted, "d"), words), "passage-windows")
+    met = windows.join(held(windows, "core", "window").where("a < b").select("core", "window"), ["core", "window"]).select("d")
+    out = stash(ids.join(sure.unionByName(met).distinct(), "d").select("doc"), "passage-docs")
+    discard(ids, runs, live, kinds, sure, wanted, windows)
+    return out
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", hot: int | None = None, passage: int | None = None) -> DataFrame:
     """docs and n_bytes, n_removed, n_spans, kept: the bytes that stay of `text` in UTF-8, as binary.
 
     A byte goes if it lies in a string of `length` bytes that starts anywhere else too, in another row or the same one,
@@ -305,15 +429,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", hot:
     Null and empty texts have no bytes. Every row counts, repeated ones too, whatever its other columns are; equal texts
     have equal results. Texts may be of any length below 2 GB; a task holds one text and some 50 bytes for each of PIECE of
     its bytes. An empty table gives none. Existing columns are kept; ours get an underscore where names clash.
+
+    With `passage`, a column repeats_passage follows: whether the text holds so many words in a row that another row holds too.
+    It takes nothing away.
     """
     if length <= _GRAM:
         raise ValueError(f"length must be above {_GRAM}")
-    names = fresh(docs, "n_bytes", "n_removed", "n_spans", "kept", "suffix_doc", "suffix_spans", "suffix_text")
-    *results, doc, spans, body = names
+    names = fresh(docs, "n_bytes", "n_removed", "n_spans", "kept", "suffix_doc", "suffix_spans", "suffix_text", "repeats_passage")
+    *results, doc, spans, body, flag = names
     raw = F.coalesce(col(text), F.lit("")).cast("binary")
     mark = F.unhex(F.md5(raw))
-    found = repeated_starts(docs.select(mark.alias("doc"), raw.alias("text")), length, hot)
-    joined = docs.withColumn(doc, mark).withColumn(body, raw).join(found.select(F.col("doc").alias(doc), F.col("spans").alias(spans)), doc, "left").drop(doc)
+    texts = docs.select(mark.alias("doc"), raw.alias("text"))
+    found = repeated_starts(texts, length, hot).select(F.col("doc").alias(doc), F.col("spans").alias(spans))
+    if passage is not None:
+        found = found.join(repeated_passages(texts, passage).select(F.col("doc").alias(doc), F.lit(True).alias(flag)), doc, "full")
+    joined = docs.withColumn(doc, mark).withColumn(body, raw).join(found, doc, "left").drop(doc)
     others = docs.columns
     at = {c: i for i, c in enumerate(joined.columns)}
 
@@ -337,13 +467,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", hot:
                 gone.append(begun)
                 runs.append(n)
                 kept.append(b"".join(parts))
-            columns = [batch.column(at[c]) for c in others]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in (sizes, gone, runs)], pa.array(kept, pa.binary())], names=[*others, *results])
+            columns = [*[batch.column(at[c]) for c in others], *[pa.array(x, pa.int64()) for x in (sizes, gone, runs)], pa.array(kept, pa.binary())]
+            more = [batch.column(at[flag]).fill_null(False)] if flag in at else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*others, *results, *[flag for _ in more]])
 
-    ddl = ", ".join([f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes] + [f"{c} long" for c in results[:3]] + [f"{results[3]} binary"])
+    ddl = ", ".join([f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes] + [f"{c} long" for c in results[:3]] + [f"{results[3]} binary"] + [f"{flag} boolean"] * (flag in at))
     return short_batches(joined).mapInArrow(run, ddl)
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "repeats_passage")

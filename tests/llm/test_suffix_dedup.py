@@ -88,3 +88,52 @@ def test_anchors_of_equal_windows_agree():
         assert len(x) == len(a) - 399
         for s in range(cut, len(part) - 399):
             assert x[333 + s] - 333 - s == y[77 + s - cut] - 77 - s + cut
+
+
+def holders(texts, words):
+    """Places of the texts that hold `words` words in a row which another one holds too."""
+    at = {}
+    for i, t in enumerate(texts):
+        w = (t or "").encode().split()
+        for j in range(len(w) - words + 1):
+            at.setdefault(tuple(w[j : j + words]), set()).add(i)
+    return {i for found in at.values() if len(found) > 1 for i in found}
+
+
+@pytest.mark.parametrize("together, known", [(1 << 18, 100_000), (70, 30)])
+def test_passages_of_words_against_all_runs(spark, monkeypatch, together, known):
+    monkeypatch.setattr(suffix_dedup, "WORDS_TOGETHER", together)
+    monkeypatch.setattr(suffix_dedup, "WORDS_KNOWN", known)
+    r = random.Random(together)
+    some = lambda n, k=500: [f"w{r.randrange(k)}" if r.random() < 0.9 else "é漢" for _ in range(n)]
+    shared = [some(n) for n in (49, 50, 51, 52, 60, 85, 200)]
+    texts = []
+    for i in range(120):
+        parts = [some(r.randint(0, 80), 2 if i % 7 == 0 else 500), *[s[r.choice([0, 0, 1, 40]) :] for s in r.sample(shared, r.choice([0, 0, 1]))], some(r.randint(0, 80))]
+        texts.append("".join(w + r.choice([" ", "\n", "\t ", " \r\n"]) for p in parts for w in p))
+    # held twice by one text only; copies that are long enough or not; as many words as fit or one less; the edge of another text
+    edge = some(90)
+    texts += [" ".join((x := some(51)) + ["-"] + x), *[" ".join(some(70))] * 3, *[" ".join(some(50))] * 2, "a " * 400, "a " * 51, " ".join(edge[:40]), " ".join(edge[40:]), " ".join(edge[:60]), None, "", " \n"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, repeats_passage int").repartition(5)
+    got = suffix_dedup.suffix_dedup(docs, 400, passage=51)
+    assert got.columns == ["id", "text", "repeats_passage", "n_bytes", "n_removed", "n_spans", "kept", "repeats_passage_"]
+    rows = sorted(got.collect(), key=lambda x: x["id"])
+    assert {x["id"] for x in rows if x["repeats_passage_"]} == holders(texts, 51)
+    assert [(x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in rows] == plain(texts, 400)
+    # some are too short for 400 bytes, the contract's length, and are told by this column alone
+    assert any(x["repeats_passage_"] and not x["n_removed"] for x in rows)
+
+
+def test_no_passages(spark):
+    assert suffix_dedup.suffix_dedup(spark.createDataFrame([], "doc_id long, text string"), passage=51).collect() == []
+    one = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, "a " * 300), (2, None)], "doc_id long, text string"), passage=51)
+    assert {(x["doc_id"], x["repeats_passage"]) for x in one.collect()} == {(1, False), (2, False)}
+
+
+def test_the_query_tells_shared_passages_shorter_than_its_strings(spark, tmp_path):
+    r = random.Random(3)
+    passage = " ".join(f"{r.randrange(9999)}" for _ in range(51))
+    texts = [f"{i} {passage} {i}" for i in range(2)] + ["only here " + " ".join(f"{r.randrange(9999)}" for _ in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in suffix_dedup.op13_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [(got[i]["n_removed"], got[i]["repeats_passage"]) for i in range(3)] == [(0, True), (0, True), (0, False)]

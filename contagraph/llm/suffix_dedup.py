@@ -362,12 +362,16 @@ def _passages(texts: Iterator[tuple[int, bytes | memoryview]], words: int) -> It
 
 
 def _passage_runs(texts: DataFrame, words: int) -> DataFrame:
-    """Core and context of the runs of windows of texts (d, text)."""
+    """Core and context of the runs of windows of texts (d, text), once where a text repeats them; of equal texts a task takes one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((d.as_py(), body.as_buffer()) for batch in batches for d, body in zip(batch.column(0), batch.column(1)))
+        seen = set()
+        rows = ((d, body.as_buffer()) for batch in batches for d, body in zip(batch.column(0).to_pylist(), batch.column(1)) if not (d in seen or seen.add(d)))
         for name, core, context, *_ in _passages(rows, words):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (core, context, name)], names=["core", "context", "d"])
+            columns = np.array([core, context, name])
+            columns = columns[:, np.lexsort(columns)]
+            columns = columns[:, np.r_[True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "context", "d"])
 
     return short_batches(texts).mapInArrow(run, "core long, context long, d long")
 
